@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import remove, written
-from .words import STEP, U64, find_words, mix, room, windows
+from .words import STEP, U64, find_words, mix, room, slices, windows
 
 COORD, HEIGHT, BAND = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
 
@@ -74,16 +74,9 @@ def shingles(words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashed, owner
 
 
-def _slices(batch: pa.RecordBatch, step: int = 2 << 20):
-    """The rows of a batch, in pieces of about `step` bytes."""
-    each = max(1, min(len(batch), int(step * len(batch) / max(1, batch.nbytes))))
-    for at in range(0, len(batch), each):
-        yield batch.slice(at, each)
-
-
 def _sign(batches, size: int, bands: int, rows: int):
     for batch in batches:
-        for part in _slices(batch):
+        for part in slices(batch):
             words = find_words(part.column("text"))
             hashed, owner = shingles(words, size)
             n = len(part)
@@ -104,7 +97,7 @@ def _sign(batches, size: int, bands: int, rows: int):
 
 def _sets(batches, size: int):
     for batch in batches:
-        for part in _slices(batch):
+        for part in slices(batch):
             hashed, owner = shingles(find_words(part.column("text")), size)
             order = np.lexsort((hashed, owner))
             hashed, owner = hashed[order], owner[order]

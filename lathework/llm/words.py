@@ -6,6 +6,9 @@ UTF-8 and never part of another character, so words are found in the bytes of an
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -91,15 +94,18 @@ def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(U64))
 
 
-def find_words(texts: pa.Array | pa.ChunkedArray, step: int = 1 << 20) -> Words:
-    """All words of all texts; step bounds the bytes that are hashed at once (one text at least)."""
+def find_words(texts: pa.Array | pa.ChunkedArray, step: int = 1 << 20, outside: np.ndarray = WHITE) -> Words:
+    """All words of all texts; step bounds the bytes that are hashed at once (one text at least).
+
+    outside marks the byte values that belong to no word.
+    """
     data, offsets = bytes_of(texts)
     starts, ends, hashes = [], [], []
     lo = 0
     while lo < len(offsets) - 1:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + step, "right")) - 1)
         piece, base = data[offsets[lo] : offsets[hi]], offsets[lo]
-        start, end = runs(~WHITE[piece], offsets[lo : hi + 1] - base)
+        start, end = runs(~outside[piece], offsets[lo : hi + 1] - base)
         hashes.append(hash_runs(piece, start, end))
         starts.append(start + base)
         ends.append(end + base)
@@ -119,6 +125,19 @@ def windows(hashed: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def slices(batch: pa.RecordBatch, step: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in pieces of about `step` bytes, so that a task's memory does not follow its batch."""
+    each = max(1, min(len(batch), int(step * len(batch) / max(1, batch.nbytes))))
+    for at in range(0, len(batch), each):
+        yield batch.slice(at, each)
+
+
+def process_cache() -> dict:
+    """Lives as long as the Python worker; functions and their globals arrive anew with every task."""
+    name = "lathework_process_cache"
+    return vars(sys.modules.setdefault(name, types.ModuleType(name)))
+
+
 def room(first: np.ndarray) -> np.ndarray:
     """For each word, how many words its text has from there on."""
     counts = np.diff(first)
