@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import fingerprints, licenses, mixing, quality, secrets, sharding
 from .near_dedup import near_duplicates
 from .packing import pack
 from .substring_dedup import substring_dedup
@@ -32,10 +33,114 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_packing, op4_toxicity, op8_near_dedup)}
+#: Production parameters of the sharding query.
+SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(64)], 65537
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id"), SHARDS, SLOTS).select("doc_id", "slot", "shard")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words", "n_lines")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_substring_dedup, op2_sharding, op3_packing, op4_toxicity, op5_secrets, op6_quality, op7_mixing, op8_near_dedup, op9_fingerprints, op10_licenses)
+}
 
 WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 
+
+
+def _sharding_sql() -> str:
+    """The table in SQL: in turn t, shard t modulo their number claims a slot.
+
+    The claims depend on each other one by one, so the filled table stands in the SQL as a list.
+    """
+    filled = ",".join(map(str, sharding.fill_table(SHARDS, SLOTS)))
+    return f"""
+        with t as (select string_split('{filled}', ',') as slots)
+        select doc_id, slot, printf('shard-%02d', slots[slot + 1]::int) as shard
+        from (select doc_id, ('0x' || md5(coalesce(doc_id::varchar, ''))[1:8])::bigint % {SLOTS} as slot from documents), t"""
+
+
+def _quality_sql() -> str:
+    stop = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+    return f"""
+        with d as (select doc_id, {WORDS} as w, coalesce(text, '') as t, [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^\\x20\\x09-\\x0D]')] as lines from documents),
+        win as (select doc_id, i, array_to_string(w[i:i + 2], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d)),
+        twice as (select doc_id, k from win group by doc_id, k having count(*) > 1),
+        hit as (select doc_id, unnest([i, i + 1, i + 2]) as j from win join twice using (doc_id, k)),
+        rep as (select doc_id, count(distinct j) as n_repeat_words from hit group by doc_id),
+        m as (select d.doc_id, len(w)::bigint as n_words, coalesce(list_sum([length(x) for x in w]), 0)::bigint as word_chars,
+                     len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+                     coalesce(n_repeat_words, 0)::bigint as n_repeat_words, len([x for x in w if x in ({stop})])::bigint as n_stop_words, len(lines)::bigint as n_lines
+              from d left join rep using (doc_id))
+        select *, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
+               not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and word_chars / n_words between 2 and 12 and n_symbols / n_words <= 0.1
+               and n_stop_words / n_words >= 0.02 and n_dup_lines / greatest(n_lines, 1) <= 0.4 as kept
+        from m"""
+
+
+MIXING_SQL = """
+    with d as (select doc_id, source, len(coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []))::bigint as size from documents),
+    s as (select source, sum(size)::bigint as source_size from d group by source),
+    w as (select *, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight, 3 * source_size as bound from s),
+    l as (select *, bound / weight as ratio,
+                 ((select sum(source_size)::bigint from s) - coalesce(sum(bound) over before, 0)::bigint) / ((select sum(weight)::bigint from w) - coalesce(sum(weight) over before, 0)::bigint) as level
+          from w window before as (order by bound / weight, source nulls last rows between unbounded preceding and 1 preceding)),
+    f as (select *, ratio < level as is_full from l),
+    e as (select source, source_size, case when is_full then bound::double
+                 else weight * (((select sum(source_size)::bigint from s) - coalesce((select sum(bound)::bigint from f where is_full), 0)) / (select sum(weight)::bigint from f where not is_full)) end as target from f),
+    x as (select *, coalesce(target / nullif(source_size, 0), 0.0) as expected from e),
+    y as (select *, floor(expected)::bigint as whole, expected - floor(expected) as fraction, target - floor(expected)::bigint * source_size as rest from x),
+    u as (select d.doc_id, d.source, d.size, source_size, target, whole, fraction, rest,
+                 (('0x' || md5('0:' || coalesce(d.doc_id::varchar, ''))[1:13])::bigint::double + 0.5) / 4503599627370496.0 as u
+          from d join y on d.source is not distinct from y.source),
+    r as (select *, (u / (1 - u)) / (fraction / (1 - fraction)) as rank from u),
+    c as (select *, coalesce(sum(size) over (partition by source order by rank, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as before from r)
+    select doc_id, size, source_size, target, ((whole + case when fraction > 0 and 2 * before + size <= 2 * rest then 1 else 0 end) * size)::bigint as taken from c"""
+
+
+def _licenses_sql() -> str:
+    """Sentences by splitting, identifiers by a join, rules as nested positions."""
+    known = ", ".join(f"('{licenses.normalised_text(s.replace('#', '0'))}', '{name}')" for name, s in licenses.SENTENCES.items())
+    ends = licenses.ENDS.replace(r"(?=[\x20\x09-\x0D]|$)|\n", r"([\x20\x09-\x0D]|$)|\n")
+    rules = []
+    for rule in licenses.RULES:
+        at = "0"
+        for name in rule.sentences:
+            place = f"list_position(ids[({at}) + 1:], '{name}')"
+            at = f"({at}) + nullif({place}, 0)"
+        rules.append(f"case when ({at}) > 0 then '{rule.licence}' end")
+    return f"""
+        with k(sentence, id) as (values {known}),
+        d as (select doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '{ends}')) as part, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '{ends}'), 1) as i from documents),
+        n as (select doc_id, i, trim(regexp_replace(regexp_replace(lower(part), '[0-9]+', '#', 'g'), '[^a-z#]+', ' ', 'g')) as sentence from d),
+        h as (select doc_id, list(id order by i) as found from n join k using (sentence) group by doc_id),
+        a as (select doc_id, coalesce(found, []) as ids from documents left join h using (doc_id))
+        select doc_id, array_to_string(ids, ',') as sentence_ids, array_to_string(list_sort(list_distinct([x for x in [{", ".join(rules)}] if x is not null])), ',') as licences, len(ids)::bigint as n_sentences from a"""
+
+
 ORACLE_SQL = {
     "op1_substring_dedup": f"""
         with d as (select doc_id, {WORDS} as w from documents),
@@ -47,4 +152,8 @@ ORACLE_SQL = {
         select d.doc_id, len(w)::bigint as n_words, coalesce(len(js), 0)::bigint as n_removed,
                sha256(case when js is null then array_to_string(w, ' ') else array_to_string([x for x, j in w if not list_contains(js, j)], ' ') end) as kept_sha256
         from d left join lost using (doc_id)""",
+    "op2_sharding": _sharding_sql(),
+    "op6_quality": _quality_sql(),
+    "op7_mixing": MIXING_SQL,
+    "op10_licenses": _licenses_sql(),
 }
