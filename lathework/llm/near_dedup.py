@@ -179,3 +179,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     result = members.select("doc_id", "copy_of").join(classes, "copy_of", "left").select("doc_id", "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
     unknown = docs.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("copy_of"), F.lit(None).cast("long").alias("class_id"))
     return result.unionByName(unknown)
+
+
+def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+    """The rows of docs, with all their columns, whose id is the smallest of its class; of rows that share an id, one.
+
+    Rows with a null id stay. settings are those of near_duplicates().
+    """
+    key = F.col(id_col).cast("long")
+    classes = written(near_duplicates(docs, id_col=id_col, **settings), "classes")
+    gone = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, key == F.col("_gone"), "left_anti")
+    shared = written(classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_shared")), "shared")
+    if not shared.limit(1).count():
+        return kept
+    once = kept.join(shared, key == F.col("_shared"), "left_semi").dropDuplicates([id_col])
+    return kept.join(shared, key == F.col("_shared"), "left_anti").unionByName(once)

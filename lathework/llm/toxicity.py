@@ -90,18 +90,35 @@ def fit(docs: DataFrame, labelled: DataFrame, per_class: int = 4096, bits: int =
     return np.fromiter(weights, np.int64, len(weights)), np.fromiter(weights.values(), float, len(weights)), bias
 
 
-def _score(batches, model, bits: int):
+def scores(texts: pa.Array, weights: np.ndarray, bias: float, bits: int) -> np.ndarray:
+    """The probability of label 1 for each text; a feature counts once a text."""
+    found, owner = features(texts, bits)
+    some = weights[found] != 0
+    pairs = np.unique((owner[some] << bits) | found[some])
+    sums = np.bincount(pairs >> bits, weights[pairs & ((1 << bits) - 1)], len(texts)) + bias
+    return 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
+
+
+def _dense(model, bits: int) -> tuple[np.ndarray, float]:
     at, values, bias = model.value
     weights = np.zeros(1 << bits)
     weights[at] = values
+    return weights, bias
+
+
+def _score(batches, model, bits: int):
+    weights, bias = _dense(model, bits)
     for batch in batches:
         for part in slices(batch):
-            found, owner = features(part.column("text"), bits)
-            some = weights[found] != 0
-            pairs = np.unique((owner[some] << bits) | found[some])
-            sums = np.bincount(pairs >> bits, weights[pairs & ((1 << bits) - 1)], len(part)) + bias
-            score = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score)], names=["doc_id", "held_out", "score"])
+            score = pa.array(scores(part.column("text"), weights, bias, bits))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), score], names=["doc_id", "held_out", "score"])
+
+
+def _clean(batches, model, bits: int, text_col: str):
+    weights, bias = _dense(model, bits)
+    for batch in batches:
+        for part in slices(batch):
+            yield part.filter(pa.array(scores(part.column(text_col), weights, bias, bits) < 0.5))
 
 
 def held_out(doc_id) -> F.Column:
@@ -118,8 +135,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4096, bits: in
     an empty result. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    labelled = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(~held_out(F.col("doc_id")))
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labelled, per_class, bits, **settings))
+    model = _model(docs, labels, per_class, bits, id_col, label_col, settings)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     scored = rows.mapInArrow(lambda batches: _score(batches, model, bits), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def _model(docs: DataFrame, labels: DataFrame, per_class: int, bits: int, id_col: str, label_col: str, settings: dict):
+    labelled = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(~held_out(F.col("doc_id")))
+    return docs.sparkSession.sparkContext.broadcast(fit(docs, labelled, per_class, bits, **settings))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 4096, bits: int = 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **settings) -> DataFrame:
+    """The rows of docs, with all their columns, that toxicity() doesn't predict as toxic. No row is shuffled."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    model = _model(texts, labels, per_class, bits, id_col, label_col, settings)
+    return docs.mapInArrow(lambda batches: _clean(batches, model, bits, text_col), docs.schema)
