@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,14 +55,23 @@ def pair_counts(samples: DataFrame) -> DataFrame:
     return samples.filter(F.length("value") > 1).select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").agg(F.count("*").alias("n"))
 
 
-def likelihood_ratios(counts: list[tuple[int, str, int]], smooth: float = 0.5) -> list[int]:
-    """For each pair of characters, a thousand times log P(second | first, random) - log P(second | first, identifier)."""
-    n = {(label, pair): c for label, pair, c in counts}
-    first: dict[tuple[int, str], int] = {}
-    for label, pair, c in counts:
-        first[label, pair[0]] = first.get((label, pair[0]), 0) + c
+def likelihood_ratios(counts: list[tuple[int, str, int]], smooth: float = 0.5, back_off: float = 5.0) -> list[int]:
+    """For each pair of characters, a thousand times log P(second | first, random) - log P(second | first, identifier).
+
+    Rare first characters fall back on how frequent the second is in all pairs of the label.
+    """
+    pair, first, second = Counter(), Counter(), Counter()
+    for label, (a, b), n in counts:
+        pair[label, a, b] += n
+        first[label, a] += n
+        second[label, b] += n
     signs = [chr(LOWEST + i) for i in range(SYMBOLS)]
-    log = lambda label, a, b: math.log((n.get((label, a + b), 0) + smooth) / (first.get((label, a), 0) + smooth * SYMBOLS))
+    total = {label: sum(second[label, b] for b in signs) for label in (0, 1)}
+
+    def log(label: int, a: str, b: str) -> float:
+        alone = (second[label, b] + smooth) / (total[label] + smooth * SYMBOLS)
+        return math.log((pair[label, a, b] + back_off * alone) / (first[label, a] + back_off))
+
     return [round(1000 * (log(1, a, b) - log(0, a, b))) for a in signs for b in signs]
 
 
