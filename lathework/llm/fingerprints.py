@@ -102,22 +102,23 @@ def edited_fingerprints(docs: DataFrame, keep: int = 128, id_col: str = "doc_id"
     a null id has no next one: its last third is cut and its likeness to the next is 0. An empty table gives
     an empty result. Other columns are not read.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    known = docs.filter("doc_id is not null")
-    lengths = written(known.groupBy("doc_id").agg(F.max(F.length("text")).alias("n")), "lengths")
-    order = following(lengths).join(lengths, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("reader"), F.floor(F.col("n") / 3).cast("int").alias("wanted"))
+    # Renamed, so that both joins below read one and the same shuffle of the texts by id.
+    docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    known = docs.filter("_id is not null")
+    lengths = written(known.groupBy(F.col("_id").alias("doc_id")).agg(F.max(F.length("text")).alias("n")), "lengths")
+    order = following(lengths).join(lengths, "doc_id").select(F.col("next_id").alias("_id"), F.col("doc_id").alias("reader"), F.floor(F.col("n") / 3).cast("int").alias("wanted"))
     order = written(order, "order")
-    given = with_sketch(known.join(order, "doc_id"), "text", "next_sketch", keep)
-    given = given.select(F.col("reader").alias("doc_id"), F.struct(F.expr("substring(text, 1, wanted)").alias("head"), "next_sketch").alias("given"))
-    given = given.groupBy("doc_id").agg(F.min("given").alias("given")).select("doc_id", "given.head", "given.next_sketch")
-    rows = known.join(given, "doc_id")
-    none = docs.filter("doc_id is null").withColumns({"head": F.lit(""), "next_sketch": F.lit(None).cast("array<bigint>")})
+    given = with_sketch(known.join(order, "_id"), "text", "next_sketch", keep)
+    given = given.select(F.col("reader").alias("_id"), F.struct(F.expr("substring(text, 1, wanted)").alias("head"), "next_sketch").alias("given"))
+    given = given.groupBy("_id").agg(F.min("given").alias("given")).select("_id", "given.head", "given.next_sketch")
+    rows = known.join(given, "_id")
+    none = docs.filter("_id is null").withColumns({"head": F.lit(""), "next_sketch": F.lit(None).cast("array<bigint>")})
     rows = rows.unionByName(none).withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3)
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring(F.col("head"), F.lit(1), third.cast("int"))))
     rows = with_sketch(with_sketch(rows, "text", "sketch", keep), "edited", "edited_sketch", keep)
     return rows.select(
-        "doc_id",
+        F.col("_id").alias("doc_id"),
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("sketch")).alias("fingerprint"),
