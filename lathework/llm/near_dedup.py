@@ -108,30 +108,79 @@ def _sets(batches, size: int):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Those of pairs(a, b) whose shingle sets have at least the wanted Jaccard similarity."""
+    """Those of pairs(a, b) whose shingle sets have at least the wanted Jaccard similarity.
+
+    texts has the documents' texts, or already their sets as elements.
+    """
+    pairs = written(pairs, "pairs")
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    sets = written(texts.join(ids, "doc_id", "left_semi").mapInArrow(lambda batches: _sets(batches, size), "doc_id long, elements array<long>").dropDuplicates(["doc_id"]), "sets")
+    sets = texts.join(ids, "doc_id", "left_semi")
+    if "elements" not in texts.columns:
+        sets = sets.mapInArrow(lambda batches: _sets(batches, size), "doc_id long, elements array<long>").dropDuplicates(["doc_id"])
+    sets = written(sets, "sets")
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("elements").alias(f"of_{c}"))
     common = F.size(F.array_intersect("of_a", "of_b"))
     alike = common >= F.lit(threshold) * (F.size("of_a") + F.size("of_b") - common)
-    # The sizes alone rule out many pairs before the second set is shuffled to the first.
+    # The sizes alone rule out many pairs before the sets are shuffled.
     sizes = lambda c: sets.select(F.col("doc_id").alias(c), F.size("elements").alias(f"n_{c}"))
     near = pairs.join(sizes("a"), "a").join(sizes("b"), "b").filter(F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")).select("a", "b")
     out = written(near.join(side("a"), "a").join(side("b"), "b").filter(alike).select("a", "b"), "links")
-    remove(ids)
-    remove(sets)
+    for table in (pairs, ids, sets):
+        remove(table)
     return out
 
 
+def _mixed(places: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of places(place, doc_id) whose place holds documents of several classes, with their component."""
+    placed = written(places.join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed")
+    several = placed.groupBy("place").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("place")
+    return placed.join(written(several, "several"), "place", "left_semi")
+
+
+def _needed(n, m, threshold: float) -> F.Column:
+    """How many elements sets of n and m elements have in common at least, if their Jaccard similarity is the threshold."""
+    return F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - 1e-9)
+
+
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(place, doc_id, n, left): each document at those of its elements by which any similar one must be met.
+
+    With elements in order of frequency, rarest first, the first element that two sets share has all others
+    they share behind it. left counts those from there on: it bounds what a pair that first meets there can
+    have in common. Elements of one document alone meet none, but come first.
+    """
+    entries = sets.select("doc_id", F.size("elements").alias("n"), F.explode("elements").alias("place"))
+    frequent = written(entries.groupBy("place").agg(F.count("*").alias("df")).filter("df > 1"), "frequent")
+    by_doc = Window.partitionBy("doc_id").orderBy(F.col("df").desc(), F.col("place").desc())
+    met = entries.join(frequent, "place").withColumn("left", F.row_number().over(by_doc))
+    return met.filter(F.col("left") >= F.ceil(F.lit(threshold) * F.col("n") - 1e-9)).select("place", "doc_id", "n", "left")
+
+
+def _meeting(places: DataFrame, threshold: float) -> DataFrame:
+    """Without documents that have too little left at a place to be similar to even the smallest set there."""
+    smallest = written(places.groupBy("place").agg(F.min("n").alias("smallest")), "smallest")
+    return places.join(smallest, "place").filter(_needed(F.col("n"), F.col("smallest"), threshold) <= F.col("left")).drop("smallest")
+
+
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes(id, component) after further links: only the components that they connect are labelled anew."""
+    label = lambda c: classes.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+    between = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    roots = connected_components(between)
+    moved = classes.join(roots.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    return written(moved.unionByName(roots.join(classes.select("id"), "id", "left_anti")), "classes")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 32, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, copy_of (smallest id with the same text) and class_id (smallest id of its class).
 
     Classes are the connected components of links between documents whose sets of `size`-word shingles
     have a Jaccard similarity of at least `threshold`, verified exactly. Candidates share a band of the
     signature. At the defaults a pair of similarity 0.8 misses every band with probability 6e-5.
-    Within a bucket, documents are compared with centres, not each with each: first with the smallest id,
-    then, only in buckets that still hold several classes, across classes with 2, 4, 8, ... further
-    centres, until every member of such a bucket was one. No bucket is capped.
+    Within a bucket, documents are compared with the smallest id, not each with each. Documents of buckets
+    that then still hold several classes are met again at their rarest shingles, where any pair of the wanted
+    similarity must meet; there they are compared across classes with 8, 64, 512, ... centres, until every
+    member of a place with several classes was one. No bucket and no place is capped.
 
     Null texts and texts without words are copies of equal texts only (null counts as empty). A shorter
     text than a shingle is one shingle. Rows sharing an id are one document. A null id stays in the
@@ -149,31 +198,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     full = written(entries.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("other")).filter("centre < other").drop("other"), "full")
     buckets = written(entries.join(full, "bucket").select("bucket", "doc_id", "centre"), "buckets")
     remove(full)
-    links = None
-    pairs = written(buckets.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    open_, done, more = buckets.select("bucket", "doc_id"), 1, 2
+    stars = buckets.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+    classes = connected_components(_verified(stars, known, size, threshold))
+
+    mixed = _mixed(buckets.select(F.col("bucket").alias("place"), "doc_id"), classes)
+    rest = written(known.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(lambda batches: _sets(batches, size), "doc_id long, elements array<long>").dropDuplicates(["doc_id"]), "rest")
+    open_ = written(_prefixes(rest, threshold), "prefixes")
+    remove(buckets)
+    done, more = 0, 8
     while True:
-        found = _verified(pairs, known, size, threshold)
-        remove(pairs)
-        links = found if links is None else links.union(found)
-        classes = connected_components(links)
-        # Buckets that still hold several classes, in an order that spreads centres over them.
-        placed = open_.join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        placed = written(placed, "placed")
-        mixed = written(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket"), "mixed")
-        open_ = written(placed.join(mixed, "bucket", "left_semi"), "open")
-        remove(placed)
-        remove(mixed)
-        # The smallest id was the first centre; the next ones follow in the order of ids.
-        order = Window.partitionBy("bucket").orderBy("doc_id")
+        open_ = written(_meeting(_mixed(open_, classes), threshold), "open")
+        order = Window.partitionBy("place").orderBy("doc_id")
         centres = open_.withColumn("nth", F.row_number().over(order)).filter((F.col("nth") > done) & (F.col("nth") <= done + more))
-        centres = centres.select("bucket", F.col("doc_id").alias("centre"), F.col("component").alias("centre_component"))
-        pairs = open_.join(centres, "bucket").filter("component <> centre_component")
-        pairs = written(pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct(), "pairs")
-        done, more = done + more, more * 2
+        centres = written(centres.select("place", F.col("doc_id").alias("centre"), F.col("component").alias("other"), F.col("n").alias("centre_n"), F.col("left").alias("centre_left")), "centres")
         if not centres.limit(1).count():
             break
-        open_ = open_.select("bucket", "doc_id")
+        possible = (F.col("component") != F.col("other")) & (_needed(F.col("n"), F.col("centre_n"), threshold) <= F.least("left", "centre_left"))
+        pairs = open_.join(centres, "place").filter(possible).select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
+        classes = _merged(classes, _verified(pairs, rest, size, threshold))
+        open_, done, more = open_.drop("component"), done + more, more * 8
     classes = classes.withColumnRenamed("id", "copy_of")
     # Ids outside any link are their own class; the join by copy_of can be split where a text has very many copies.
     result = members.select("doc_id", "copy_of").join(classes, "copy_of", "left").select("doc_id", "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
