@@ -6,41 +6,42 @@ import math
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder
-from .words import U64, find_words, slices
+from .tokens import Pieces, encoder, find_pieces
+from .words import U64, slices
 
 K1, B = 1.2, 0.75
 
 
-def _terms(batch: pa.RecordBatch, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashed terms of each text in order: text, term, count; and each text's number of words."""
-    words = find_words(batch.column("text"))
-    keys, counts = np.unique((words.text_of.astype(U64) << U64(bits)) | (words.hash >> U64(64 - bits)), return_counts=True)
-    return (keys >> U64(bits)).astype(np.int64), (keys & U64((1 << bits) - 1)).astype(np.int64), counts, np.diff(words.first)
+def _terms(pieces: Pieces, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashed terms (pieces of text) of each text, texts in order: text, term, count."""
+    text = np.repeat(np.arange(len(pieces.first) - 1), np.diff(pieces.first))
+    codes, keys = pd.factorize((text << bits) | (pieces.hash >> U64(64 - bits)).astype(np.int64))
+    return keys >> bits, keys & ((1 << bits) - 1), np.bincount(codes, minlength=len(keys))
 
 
 def _frequencies(batches, bits: int):
-    """Of a partition: in how many texts each term is; as terms -1 and -2 the number of texts and of words."""
-    total, texts, words = np.zeros(1 << bits, np.int64), 0, 0
+    """Of a partition: in how many texts each term is; as terms -1 and -2 the number of texts and of pieces."""
+    total, texts, count = np.zeros(1 << bits, np.int64), 0, 0
     for batch in batches:
         for part in slices(batch):
-            _, term, _, n = _terms(part, bits)
-            total += np.bincount(term, minlength=1 << bits)
-            texts, words = texts + len(part), words + int(n.sum())
+            pieces = find_pieces(part.column("text"))
+            total += np.bincount(_terms(pieces, bits)[1], minlength=1 << bits)
+            texts, count = texts + len(part), count + len(pieces.start)
     some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2])), pa.array(np.append(total[some], [texts, words]))], names=["term", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2])), pa.array(np.append(total[some], [texts, count]))], names=["term", "n"])
 
 
 def _encoded(batches, ranks, bits: int, end_id: int):
     encode = encoder(ranks.value)
     for batch in batches:
         for part in slices(batch):
-            ids, bounds = encode(part.column("text"))
-            owner, term, count, _ = _terms(part, bits)
+            ids, bounds, pieces = encode(part.column("text"))
+            owner, term, count = _terms(pieces, bits)
             packed = ((term << 8) | np.minimum(count, 255)).astype(np.uint32)
             cuts = np.searchsorted(owner, np.arange(len(part) + 1))
             end = np.array([end_id], encode.dtype).tobytes()
@@ -125,7 +126,7 @@ def fill(lengths: np.ndarray, index: Index, window: int) -> list[tuple[int, int,
         seed = -1
         if offset:
             scores = np.where(unused, index.scores(asker), -1.0)
-            for neighbour in np.argsort(-scores, kind="stable").tolist():
+            for neighbour in best_first(scores):
                 if not offset or scores[neighbour] < 0:
                     break
                 unused[neighbour] = False
@@ -135,6 +136,18 @@ def fill(lengths: np.ndarray, index: Index, window: int) -> list[tuple[int, int,
                     break
 
 
+def best_first(scores: np.ndarray, few: int = 16):
+    """Places in descending order of score, equal ones by number; all but the first few are only ordered if asked for."""
+    if few < len(scores):
+        least = np.partition(scores, len(scores) - few)[-few]
+        top = np.flatnonzero(scores > least)
+        top = top[np.argsort(-scores[top], kind="stable")]
+        yield from top.tolist()
+        yield from np.argsort(-scores, kind="stable")[len(top) :].tolist()
+    else:
+        yield from np.argsort(-scores, kind="stable").tolist()
+
+
 def _pack(key: tuple, table: pa.Table, statistics, window: int, query_terms: int, dtype: str) -> pa.Table:
     idf, mean_words = statistics.value
     table = table.sort_by("doc_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,13 +15,34 @@ from .words import WHITE, bytes_of, hash_runs, process_cache
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class Encoder:
-    """Encodes a text piece by piece and each distinct piece once.
+@dataclass
+class Pieces:
+    """Pieces of consecutive texts: bytes start[i]:end[i] of data, hash[i]; text d has the pieces first[d]:first[d+1]."""
+
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    hash: np.ndarray
+    first: np.ndarray
+
 
-    A piece begins where the pattern always begins a match: at white space after an ASCII character that is
-    none, and at a single space between a non-ASCII and an ASCII character that is no white space.
-    Known pieces stay in memory, up to `limit`.
-    """
+def find_pieces(texts: pa.Array) -> Pieces:
+    """Cuts texts where the pattern always begins a match: at white space after an ASCII character that is none,
+    and at a single space between a non-ASCII and an ASCII character that is no white space. A piece is mostly
+    a word and the white space before it."""
+    data, offsets = bytes_of(texts)
+    white, high = WHITE[data], data >= 0x80
+    begin = np.zeros(len(data), bool)
+    begin[1:] = white[1:] & ~white[:-1] & ~high[:-1]
+    begin[1:-1] |= (data[1:-1] == 0x20) & high[:-2] & ~white[2:] & ~high[2:]
+    begin[offsets[:-1][offsets[:-1] < len(data)]] = True
+    start = np.flatnonzero(begin)
+    end = np.append(start[1:], len(data))[: len(start)]
+    return Pieces(data, start, end, hash_runs(data, start, end), np.searchsorted(start, offsets))
+
+
+class Encoder:
+    """Encodes a text piece by piece and each distinct piece once; known pieces stay in memory, up to `limit`."""
 
     def __init__(self, ranks: bytes, limit: int = 1 << 20):
         import tiktoken
@@ -36,19 +58,13 @@ class Encoder:
         self.ids = np.zeros(0, self.dtype)
         self.bounds = np.zeros(1, np.int64)
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, and each text's bounds in them."""
-        data, offsets = bytes_of(texts)
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Pieces]:
+        """The ids of all texts, each text's bounds in them, and the pieces."""
+        pieces = find_pieces(texts)
+        data, start, end = pieces.data, pieces.start, pieces.end
         if not len(data):
-            return np.zeros(0, self.dtype), np.zeros(len(offsets), np.int64)
-        white, high = WHITE[data], data >= 0x80
-        begin = np.zeros(len(data), bool)
-        begin[1:] = white[1:] & ~white[:-1] & ~high[:-1]
-        begin[1:-1] |= (data[1:-1] == 0x20) & high[:-2] & ~white[2:] & ~high[2:]
-        begin[offsets[:-1][offsets[:-1] < len(data)]] = True
-        start = np.flatnonzero(begin)
-        end = np.append(start[1:], len(data))
-        codes, distinct = pd.factorize(hash_runs(data, start, end))
+            return np.zeros(0, self.dtype), np.zeros(len(pieces.first), np.int64), pieces
+        codes, distinct = pd.factorize(pieces.hash)
         where = np.empty(len(distinct), np.int64)
         where[codes[::-1]] = np.arange(len(codes))[::-1]
         if len(self.known) > self.limit:
@@ -69,7 +85,7 @@ class Encoder:
         counts = (self.bounds[1:] - self.bounds[:-1])[piece]
         ends = np.cumsum(counts)
         ids = self.ids[np.repeat(self.bounds[piece] - ends + counts, counts) + np.arange(ends[-1])]
-        return ids, np.concatenate([[0], ends])[np.searchsorted(start, offsets)]
+        return ids, np.concatenate([[0], ends])[pieces.first], pieces
 
 
 def encoder(ranks: bytes) -> Encoder:
