@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from .plans import bi, documents, usage  # noqa: F401  each registers its queries
+from .plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "ranked_bar"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
