@@ -44,12 +44,16 @@ def _examples(batches, bits: int):
             yield pa.RecordBatch.from_arrays([part.column("place"), part.column("label"), lists], names=["place", "label", "features"])
 
 
-def ftrl(examples: list[tuple[int, np.ndarray]], size: int, epochs: int = 3, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0) -> tuple[np.ndarray, float]:
+def ftrl(examples: list[tuple[int, np.ndarray]], size: int, epochs: int = 10, alpha: float = 0.5, beta: float = 1.0, noise: float = 0.5, l2: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights of present features and the bias, learnt one example after the other.
 
     Every coordinate has its own learning rate alpha / (beta + root of its squared gradients) and stays
-    exactly 0 until its accumulated gradient exceeds l1. The bias is not regularised.
+    exactly 0 until its accumulated gradient exceeds l1: `noise` standard deviations of the sum of gradients
+    that a feature of all examples gets by chance. Below that, the thousands of features of a long document
+    move its score more than what tells the labels apart. The bias is not regularised.
     """
+    share = sum(label for label, _ in examples) / max(1, len(examples))
+    l1 = max(1.0, noise * math.sqrt(len(examples) * share * (1 - share)))
     z, n = np.zeros(size), np.zeros(size)
     bias_z = bias_n = 0.0
     weight = lambda z, n: np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
@@ -79,6 +83,7 @@ def fit(docs: DataFrame, labelled: DataFrame, per_class: int = 4096, bits: int =
 
     The fit takes at most per_class rows of each label: those first by a hash of their id. So the examples
     fit one task; of the weights there are at most 2**bits, and the driver passes on the few that are not 0.
+    The bound takes a larger share of the rarer label; the bias is set right by the shares among all labelled rows.
     """
     rows = labelled.filter("doc_id is not null and label in (0, 1)").distinct().withColumn("place", F.xxhash64("doc_id"))
     chosen = [rows.filter(F.col("label") == label).orderBy("place", "doc_id").limit(per_class) for label in (0, 1)]
@@ -87,6 +92,9 @@ def fit(docs: DataFrame, labelled: DataFrame, per_class: int = 4096, bits: int =
     learnt = examples.groupBy(F.lit(0).alias("all")).applyInArrow(lambda table: _learn(table, bits, settings), "feature long, weight double").collect()
     weights = {r.feature: r.weight for r in learnt}
     bias = weights.pop(-1, 0.0)
+    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
+    if len(counts) == 2:
+        bias += math.log(counts[1] / counts[0]) - math.log(min(counts[1], per_class) / min(counts[0], per_class))
     return np.fromiter(weights, np.int64, len(weights)), np.fromiter(weights.values(), float, len(weights)), bias
 
 

@@ -364,3 +364,20 @@ def test_licenses(spark, docs, rows, empty):
     assert licenses.scan(docs).count() == len(rows) and licenses.scan(empty).count() == 0
     with pytest.raises(ValueError):
         licenses.scan(data, {"a": "no hint here"}, ())
+
+
+def test_long_noisy_texts_stay_clean():
+    """Clean documents of hundreds of shared features must not be rejected; what marks the label must be found."""
+    from lathework.llm.toxicity import ftrl
+
+    rng = np.random.default_rng(5)
+
+    def example(label):
+        noise = 10 + rng.choice(4000, rng.integers(50, 900), replace=False)
+        return label, np.concatenate([rng.choice(10, 2, replace=False), noise]) if label else noise
+
+    labels = [int(rng.random() < 0.3) for _ in range(1500)]
+    examples = [example(label) for label in labels]
+    weights, bias = ftrl(examples[:1200], 4010)
+    wrong = collections.Counter(label for label, at in examples[1200:] if (bias + weights[at].sum() >= 0) != label)
+    assert wrong[0] <= 3 and wrong[1] <= 6
