@@ -36,8 +36,8 @@ def _frequencies(batches, bits: int):
     yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2])), pa.array(np.append(total[some], [texts, count]))], names=["term", "n"])
 
 
-def _encoded(batches, ranks, bits: int, end_id: int):
-    encode = encoder(ranks.value)
+def _encoded(batches, vocabulary, bits: int, end_id: int):
+    encode = encoder(vocabulary.value)
     for batch in batches:
         for part in slices(batch):
             ids, bounds, pieces = encode(part.column("text"))
@@ -173,7 +173,7 @@ def _pack(key: tuple, table: pa.Table, statistics, window: int, query_terms: int
 def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, shard_docs: int = 1024, query_terms: int = 24, bits: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs every document into sequences of at most `window` tokens.
 
-    vocabulary: path of a byte-level BPE vocabulary as ranks, read on the driver. Each document is its
+    vocabulary: path of a byte-level BPE tokenizer's JSON file, read on the driver. Each document is its
     tokens and then end_id. Shards of about shard_docs documents are dealt by a hash of id and text; term
     frequencies and lengths cover all documents, as a table of 2**bits hashed terms of fixed size.
 
@@ -190,11 +190,11 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1,
     df = np.zeros(1 << bits)
     df[list(found)] = list(found.values())
     statistics = spark.sparkContext.broadcast((np.log(1 + (texts - df + 0.5) / (df + 0.5)), mean_words))
-    with open(vocabulary, "rb") as file:
-        ranks = spark.sparkContext.broadcast(file.read())
+    with open(vocabulary, encoding="utf-8") as file:
+        tokenizer = spark.sparkContext.broadcast(file.read())
     shards = max(1, math.ceil(texts / shard_docs))
     docs = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
-    encoded = docs.mapInArrow(lambda batches: _encoded(batches, ranks, bits, end_id), "doc_id long, shard long, ids binary, terms binary")
-    dtype = "uint16" if ranks.value.count(b"\n") < 1 << 16 else "uint32"
+    encoded = docs.mapInArrow(lambda batches: _encoded(batches, tokenizer, bits, end_id), "doc_id long, shard long, ids binary, terms binary")
+    dtype = np.dtype(encoder(tokenizer.value).dtype).name
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return encoded.groupBy("shard").applyInArrow(lambda key, table: _pack(key, table, statistics, window, query_terms, dtype), fields)

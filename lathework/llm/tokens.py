@@ -1,8 +1,8 @@
-"""Token ids of whole columns of text with a byte-level BPE vocabulary."""
+"""Token ids of whole columns of text with a byte-level BPE tokenizer."""
 
 from __future__ import annotations
 
-import base64
+import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,9 +11,6 @@ import pyarrow as pa
 
 from .words import WHITE, bytes_of, hash_runs, process_cache
 
-#: How the vocabulary cuts text before it merges bytes. Fixed value.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
 
 @dataclass
 class Pieces:
@@ -27,7 +24,7 @@ class Pieces:
 
 
 def find_pieces(texts: pa.Array) -> Pieces:
-    """Cuts texts where the pattern always begins a match: at white space after an ASCII character that is none,
+    """Cuts texts where the byte-level pre-tokenizer always cuts them: at white space after an ASCII character that is none,
     and at a single space between a non-ASCII and an ASCII character that is no white space. A piece is mostly
     a word and the white space before it."""
     data, offsets = bytes_of(texts)
@@ -44,12 +41,14 @@ def find_pieces(texts: pa.Array) -> Pieces:
 class Encoder:
     """Encodes a text piece by piece and each distinct piece once; known pieces stay in memory, up to `limit`."""
 
-    def __init__(self, ranks: bytes, limit: int = 1 << 20):
-        import tiktoken
+    def __init__(self, vocabulary: str, limit: int = 1 << 20):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
 
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        self.dtype = np.uint16 if max(table.values()) < 1 << 16 else np.uint32
+        tokenizer = Tokenizer.from_str(vocabulary)
+        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.encode = lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.dtype = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.limit = limit
         self.forget()
 
@@ -76,11 +75,12 @@ class Encoder:
             if j is None:
                 j = known[h] = size
                 size += 1
-                fresh.append(self.encode(data[start[where[i]] : end[where[i]]].tobytes().decode()))
+                fresh.append(data[start[where[i]] : end[where[i]]].tobytes().decode())
             at[i] = j
         if fresh:
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in fresh])])
-            self.ids = np.concatenate([self.ids, *(np.array(x, self.dtype) for x in fresh)])
+            encoded = self.encode(fresh)
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in encoded])])
+            self.ids = np.concatenate([self.ids, *(np.array(x, self.dtype) for x in encoded)])
         piece = at[codes]
         counts = (self.bounds[1:] - self.bounds[:-1])[piece]
         ends = np.cumsum(counts)
@@ -88,8 +88,8 @@ class Encoder:
         return ids, np.concatenate([[0], ends])[pieces.first], pieces
 
 
-def encoder(ranks: bytes) -> Encoder:
+def encoder(vocabulary: str) -> Encoder:
     cache = process_cache()
-    if cache.get("ranks") != ranks:
-        cache["ranks"], cache["encoder"] = ranks, Encoder(ranks)
+    if cache.get("vocabulary") != vocabulary:
+        cache["vocabulary"], cache["encoder"] = vocabulary, Encoder(vocabulary)
     return cache["encoder"]

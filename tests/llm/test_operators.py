@@ -19,7 +19,7 @@ from lathework.llm.substring_dedup import substring_dedup
 from lathework.llm.toxicity import toxicity, without_toxic
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def words(text):
@@ -79,7 +79,7 @@ def test_packing_round_trip(docs, rows):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
     window = 256
-    got = pack(docs, RANKS, window=window, shard_docs=8).toPandas()
+    got = pack(docs, VOCABULARY, window=window, shard_docs=8).toPandas()
     want = collections.Counter()
     for i, t, *_ in rows:
         want[i if i is not None else -1, tuple(tokenizer.encode(t or "", add_special_tokens=False).ids + [1])] += 1
@@ -100,7 +100,7 @@ def test_packing_retrieves_similar_neighbours(spark):
     topics = {t: [f"{t}{i}" for i in range(40)] for t in ("cat", "dog", "sun")}
     rng = np.random.default_rng(0)
     texts = [(i, " ".join(rng.choice(topics[t], 60))) for i, t in enumerate(("cat", "dog", "sun") * 10)]
-    got = pack(spark.createDataFrame(texts, "doc_id long, text string"), RANKS, window=512).toPandas()
+    got = pack(spark.createDataFrame(texts, "doc_id long, text string"), VOCABULARY, window=512).toPandas()
     pairs = [a % 3 == b % 3 for _, s in got.groupby("sequence_id") for a, b in itertools.pairwise(s.sort_values("offset").doc_id)]
     assert np.mean(pairs) > 0.8
 
@@ -113,7 +113,7 @@ def test_tokens_equal_the_tokenizer():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
     texts = ["", "a", " a  b\n\n c", "don't we'll I'd", "é à  b  c　 d", "tab\t\tx  ", "<|endoftext|> x", "1 23 4,5", "日本 語", "a\u0085 b", "x   y", "   z"]
-    with open(RANKS, "rb") as file:
+    with open(VOCABULARY, encoding="utf-8") as file:
         encode = Encoder(file.read())
     for _ in range(2):  # the second time every piece is known
         ids, bounds, _ = encode(pa.array(texts))
@@ -122,7 +122,7 @@ def test_tokens_equal_the_tokenizer():
 
 
 def test_packing_empty(empty):
-    assert pack(empty, RANKS).count() == 0
+    assert pack(empty, VOCABULARY).count() == 0
 
 
 def test_toxicity_learns(spark):
