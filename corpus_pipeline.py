@@ -36,7 +36,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pieces of documents in sequences of 2048 tokens."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), window=2048)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=2048)
 
 
 STAGES = [
