@@ -205,18 +205,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     rest = written(known.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(lambda batches: _sets(batches, size), "doc_id long, elements array<long>").dropDuplicates(["doc_id"]), "rest")
     open_ = written(_prefixes(rest, threshold), "prefixes")
     remove(buckets)
-    done, more = 0, 8
+    # Of each place, the greatest id that was a centre. Members leave a place between rounds, so numbers are not kept.
+    asked, more = known.sparkSession.createDataFrame([], "place long, upto long"), 8
     while True:
         open_ = written(_meeting(_mixed(open_, classes), threshold), "open")
         order = Window.partitionBy("place").orderBy("doc_id")
-        centres = open_.withColumn("nth", F.row_number().over(order)).filter((F.col("nth") > done) & (F.col("nth") <= done + more))
+        waiting = open_.join(asked, "place", "left").filter("upto is null or doc_id > upto")
+        centres = waiting.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= more)
         centres = written(centres.select("place", F.col("doc_id").alias("centre"), F.col("component").alias("other"), F.col("n").alias("centre_n"), F.col("left").alias("centre_left")), "centres")
         if not centres.limit(1).count():
             break
         possible = (F.col("component") != F.col("other")) & (_needed(F.col("n"), F.col("centre_n"), threshold) <= F.least("left", "centre_left"))
         pairs = open_.join(centres, "place").filter(possible).select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
         classes = _merged(classes, _verified(pairs, rest, size, threshold))
-        open_, done, more = open_.drop("component"), done + more, more * 8
+        asked = written(asked.unionByName(centres.select("place", F.col("centre").alias("upto"))).groupBy("place").agg(F.max("upto").alias("upto")), "asked")
+        open_, more = open_.drop("component"), more * 8
     classes = classes.withColumnRenamed("id", "copy_of")
     # Ids outside any link are their own class; the join by copy_of can be split where a text has very many copies.
     result = members.select("doc_id", "copy_of").join(classes, "copy_of", "left").select("doc_id", "copy_of", F.coalesce("component", "copy_of").alias("class_id"))

@@ -289,6 +289,33 @@ def test_near_duplicate_chains(spark):
     assert {r.doc_id: r.class_id for r in got} == plain_classes(rows)
 
 
+def test_near_duplicates_of_places_that_lose_members(spark):
+    """A place of over 8 members loses its first two centres after round 1; the 9th and 10th are alike and meet nowhere else."""
+    import pyarrow as pa
+    from lathework.llm.near_dedup import shingles
+    from lathework.llm.words import find_words
+
+    rng = np.random.default_rng(4)
+    # The one word with the earliest dart is in all texts, so that one bucket holds them all.
+    names = [f"z{i}" for i in range(20000)]
+    hashed, owner = shingles(find_words(pa.array(names)), 1)
+    z = names[int(dart_signatures(hashed, np.ones(len(hashed)), owner, len(names), 1)[:, 0].argmin())]
+    pool, own = [f"pool{i}" for i in range(400)], (f"own{i}" for i in itertools.count())
+    common = lambda n: [z, *rng.choice(pool, n - 1, replace=False)]
+    unique = lambda n: list(itertools.islice(own, n))
+    sets = [["place", *common(69), *unique(10)] for _ in range(2)]  # stay while the smallest set has 72 words
+    sets += [["place", *common(79)] for _ in range(6)]
+    sets += [["place", *common(79)]]
+    sets += [sets[-1] + unique(20)]  # similarity 0.8
+    sets += [["place", *common(59), *unique(12)]]  # smallest, drops at once
+    sets += [common(80) for _ in range(200)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(sets)]
+    want = plain_classes(rows, size=1)
+    assert want[9] == 8
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=1, bands=1, rows=1).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 1 << 63, 60).astype(np.uint64)
