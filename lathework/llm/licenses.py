@@ -35,6 +35,13 @@ SENTENCES = {
 }
 
 
+#: Further forms in which headers have a known sentence.
+FORMS = (
+    ("apache_notice", "Licensed under the Apache License, Version #.# (the \"License\")"),
+    ("apache_copy", "You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-#.#"),
+)
+
+
 @dataclass(frozen=True)
 class Rule:
     """A licence is found where the sentences occur in this order; other sentences may stand between them."""
@@ -60,36 +67,56 @@ RULES = (
 )
 #: Sentences end at a line's end, and at a full stop, question or exclamation mark or colon before white space or the text's end.
 ENDS = r"[.!?:;]+(?=[\x20\x09-\x0D]|$)|\n"
+#: In scan() a line's end alone ends no sentence that goes on in the next line; a blank line does.
+MARKS = ENDS.removesuffix(r"|\n")
+#: Comment marks at a line's start.
+COMMENT = r"(?md)^[\x20\t]*[#;:*%/!<>'\"-]+(?=[\x20\t\r\n]|$)"
+#: Stands for an end mark or a blank line.
+END = "\x01"
 #: Only texts with one of these words can hold a known sentence.
 HINT = r"(?i)licen[sc]e|copyright|rights reserved|redistribution|permission|warranty"
 
 
 def normalised_text(sentence: str) -> str:
-    """As normalised(), for one string of ASCII characters."""
+    """Of a string of ASCII characters: lower case, each number as #, everything else but a to z as one space."""
     return re.sub(r"[^a-z#]+", " ", re.sub(r"[0-9]+", "#", sentence.lower())).strip()
 
 
-def normalised(sentence) -> F.Column:
-    """Lower case, each number as #, everything else but a to z as one space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(sentence), r"[0-9]+", "#"), r"[^a-z#]+", " "))
+def marked(text) -> F.Column:
+    """Lower case, each number as #, ends as END, single line breaks kept, everything else but a to z as one space."""
+    text = F.regexp_replace(F.translate(F.lower(text), END, " "), COMMENT, "")
+    text = F.regexp_replace(F.regexp_replace(text, MARKS, END), r"[0-9]+", "#")
+    text = F.regexp_replace(F.regexp_replace(text, r"[^a-z#\n\x01]+", " "), r"\x20?\n\x20?", "\n")
+    text = F.concat(F.lit(END), F.regexp_replace(text, r"\n{2,}", END), F.lit(END))
+    return F.regexp_replace(text, r"[\x20\n]*\x01[\x20\n\x01]*", END)
+
+
+def pattern(sentence: str) -> str:
+    """A known sentence in marked() text: lines may break between its words, and an end is met only where it has one itself."""
+    parts = [normalised_text(x) for x in re.split(ENDS, sentence.replace("#", "0"))]
+    return r"[\x20\n\x01]".join(x.replace(" ", r"[\x20\n]") for x in parts if x)
 
 
-def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES, forms=FORMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, sentence_ids (of its known sentences in order, comma-joined), licences (names of the
     rules that match, in order of name, comma-joined) and n_sentences (how many are known).
 
-    A rule matches if its sentences' first occurrences after one another exist. Null and empty texts have
+    A sentence stands between ends or line breaks. Its own lines may be wrapped and have comment marks before them.
+    forms are further forms of those sentences. A rule matches if its sentences' first occurrences after one another exist. Null and empty texts have
     none. Repeated rows are scanned each; null ids stay. An empty table gives an empty result. The known
     sentences are a small constant of the plan; no row is shuffled. Other columns are not read.
     """
-    known = {normalised_text(s.replace("#", "0")): name for name, s in sentences.items()}
+    listed = [*sentences.items(), *((name, s) for name, s in forms if name in sentences)]
+    known = {normalised_text(s.replace("#", "0")): name for name, s in listed}
     unhinted = [s for s in known if not re.search(HINT, s)]
     if unhinted:
         raise ValueError(f"the hint misses {unhinted}")
     names = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.when(text.rlike(HINT), text).alias("text"))
-    found = F.array_compact(F.transform(F.split("text", ENDS, -1), lambda s: F.element_at(names, normalised(s))))
+    any_known = r"(?<=[\x01\n])(" + "|".join(pattern(s) for _, s in listed) + r")(?=[\x01\n])"
+    same = F.regexp_extract_all(marked(F.col("text")), F.lit(any_known), F.lit(1))
+    found = F.transform(same, lambda s: F.element_at(names, F.translate(s, "\n" + END, "  ")))
     rows = rows.select("doc_id", F.coalesce(found, F.array().cast("array<string>")).alias("ids"))
 
     def matched(rule: Rule) -> F.Column:

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -393,6 +394,25 @@ def test_licenses(spark, docs, rows, empty):
         licenses.scan(data, {"a": "no hint here"}, ())
 
 
+def test_licenses_find_every_rule_on_its_standard_notice(spark):
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.'
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the\nGNU General Public License for more details."
+    s = licenses.SENTENCES
+    wrap = lambda text: "\n".join(textwrap.wrap(text, 40))
+    notices = {
+        "Apache,Apache-header": apache, "GPL-header": gpl, "MIT-text": f"{wrap(s['mit_grant'])}:\n\n{wrap(s['mit_condition'])}.",
+        "BSD-2-Clause-text": f"{wrap(s['bsd_grant'])}:\n\n1. {wrap(s['bsd_source'])}.\n2. {wrap(s['bsd_binary'])}.",
+    }
+    notices |= {n: wrap(s[k].replace("#", "3")) for n, k in (("Apache", "apache_notice"), ("GPL", "gpl_notice"), ("CC-BY", "cc_by"), ("CC-BY-SA", "cc_by_sa"), ("CC-BY-NC", "cc_by_nc"), ("CC-BY-ND", "cc_by_nd"), ("Proprietary", "rights_reserved"))}
+    assert set(",".join(notices).split(",")) | {"MIT"} == {r.licence for r in licenses.RULES}
+    styles = ("", " * ", "# ", "// ", ";; ", "-- ")
+    rows = [(want, "\n".join((mark + x).rstrip() for x in text.split("\n"))) for want, text in notices.items() for mark in styles]
+    rows += [("MIT", f"{mark}{k} under\n{mark}the MIT License") for k in ("Released", "Licensed") for mark in styles]
+    rows += [("MIT,Proprietary", "Released under the MIT License\nAll rights reserved"), ("", "Released under\n\nthe MIT License"), ("", "Released under. The MIT License"), ("", "not released under the MIT License")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [(r.doc_id, r.licences) for r in got] == [(want, want) for want, _ in rows]
+
+
 def test_long_noisy_texts_stay_clean():
     """Clean documents of hundreds of shared features must not be rejected; what marks the label must be found."""
     from lathework.llm.toxicity import ftrl
