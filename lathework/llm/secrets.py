@@ -82,19 +82,13 @@ def ratio(value, table: list[int]) -> F.Column:
     return F.aggregate(F.sequence(F.lit(2), F.length(value)), F.lit(0), lambda sum_, i: sum_ + F.get(ratios, at(i - 1) * SYMBOLS + at(i)))
 
 
-def labelled_samples(docs: DataFrame, sample_docs: int = 8192) -> DataFrame:
-    """(value, label): what the patterns find in a bounded sample of documents is 1, other identifiers are 0.
-
-    The sample is the sample_docs documents whose ids come first by md5.
-    """
-    order = F.md5(F.col("doc_id").cast("string"))
-    ids = docs.filter("doc_id is not null").select("doc_id").distinct().orderBy(order, "doc_id").limit(sample_docs)
-    rows = docs.join(F.broadcast(ids), "doc_id")  # at most sample_docs ids
+def labelled_samples(docs: DataFrame) -> DataFrame:
+    """(value, label): what the patterns find in the documents is 1, other identifiers are 0."""
     text, other = F.col("text"), F.col("text")
     secrets = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in ((ASSIGN, 2), (ACCESS, 0), (HEX, 0))))
     for pattern in (ASSIGN, ACCESS, HEX):
         other = F.regexp_replace(other, pattern, " ")
-    return rows.select(F.explode(F.filter(secrets, lambda x: F.length(x) >= 6)).alias("value"), F.lit(1).alias("label")).unionAll(rows.select(F.explode(F.regexp_extract_all(other, F.lit(IDENTIFIER), F.lit(0))).alias("value"), F.lit(0).alias("label")))
+    return docs.select(F.explode(F.filter(secrets, lambda x: F.length(x) >= 6)).alias("value"), F.lit(1).alias("label")).unionAll(docs.select(F.explode(F.regexp_extract_all(other, F.lit(IDENTIFIER), F.lit(0))).alias("value"), F.lit(0).alias("label")))
 
 
 def train(samples: DataFrame) -> list[int]:

@@ -206,6 +206,12 @@ def test_secret_ratio(spark):
     assert got == sum(at(a, b) for a, b in itertools.pairwise(value)) and at("a", "b") > at("b", "c")
 
 
+def test_secret_model_learns_from_every_document(spark):
+    last = max(range(9000), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    docs = spark.range(9000).selectExpr("id as doc_id", f"if(id = {last}, 'password=zK9vQ2xLw8Rt', 'a b') as text")
+    assert [r.value for r in secrets.labelled_samples(docs).filter("label = 1").collect()] == ["zK9vQ2xLw8Rt"]
+
+
 def test_secret_redaction(docs, rows, spark, empty):
     clean = secrets.redacted(docs)
     assert clean.columns == docs.columns and clean.count() == len(rows)
