@@ -11,44 +11,75 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import Pieces, encoder, find_pieces
-from .words import U64, slices
+from .storage import shuffle_partitions
+from .tokens import encoder
+from .words import BETWEEN, STEP, U64, find_words, mix, slices
 
 K1, B = 1.2, 0.75
+#: In the table of frequencies these stand for the number of texts, of words and of bytes.
+TEXTS, WORDS, BYTES = -1, -2, -3
 
 
-def _terms(pieces: Pieces, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashed terms (pieces of text) of each text, texts in order: text, term, count."""
-    text = np.repeat(np.arange(len(pieces.first) - 1), np.diff(pieces.first))
-    codes, keys = pd.factorize((text << bits) | (pieces.hash >> U64(64 - bits)).astype(np.int64))
+def _terms(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashed terms (words without punctuation) of each text, texts in order: text, term, count."""
+    words = find_words(texts, outside=BETWEEN)
+    codes, keys = pd.factorize((words.text_of << bits) | (words.hash >> U64(64 - bits)).astype(np.int64))
     return keys >> bits, keys & ((1 << bits) - 1), np.bincount(codes, minlength=len(keys))
 
 
 def _frequencies(batches, bits: int):
-    """Of a partition: in how many texts each term is; as terms -1 and -2 the number of texts and of pieces."""
-    total, texts, count = np.zeros(1 << bits, np.int64), 0, 0
+    """Of a partition: in how many texts each term is, and the number of texts, words and bytes."""
+    total, sums = np.zeros(1 << bits, np.int64), np.zeros(3, np.int64)
     for batch in batches:
         for part in slices(batch):
-            pieces = find_pieces(part.column("text"))
-            total += np.bincount(_terms(pieces, bits)[1], minlength=1 << bits)
-            texts, count = texts + len(part), count + len(pieces.start)
+            _, term, count = _terms(part.column("text"), bits)
+            total += np.bincount(term, minlength=1 << bits)
+            sums += [len(part), count.sum(), part.nbytes]
     some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2])), pa.array(np.append(total[some], [texts, count]))], names=["term", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [TEXTS, WORDS, BYTES])), pa.array(np.append(total[some], sums))], names=["term", "n"])
 
 
-def _encoded(batches, vocabulary, bits: int, end_id: int):
-    encode = encoder(vocabulary.value)
+class Statistics:
+    """What the whole corpus says of each hashed term: its idf, and how documents are dealt by it.
+
+    A document's key is the first of its shared terms in a random order in which a term comes the earlier the
+    higher its idf, as in weighted MinHash: alike documents mostly have one key. At most df documents have a
+    key; those of a frequent one are dealt over so many shards that each gets about shard_docs of them.
+    """
+
+    def __init__(self, df: np.ndarray, texts: int, words: int, shards: int, shard_docs: int):
+        self.idf = np.log(1 + (texts - df + 0.5) / (df + 0.5)).astype(np.float32)
+        self.mean_words, self.shards = words / max(1, texts), shards
+        u = ((mix(np.arange(len(df), dtype=U64) * U64(STEP)) >> U64(11)) + U64(1)).astype(float) * 2.0**-53
+        order = np.argsort(np.where(df > 1, -np.log(u) / self.idf, np.inf), kind="stable")
+        self.place = np.empty(len(df), np.int32)
+        self.place[order] = np.arange(len(df), dtype=np.int32)
+        self.parts = np.maximum(1, -(-df[order] // shard_docs)).astype(np.int32)
+
+    def shard(self, owner: np.ndarray, term: np.ndarray, deal: np.ndarray) -> np.ndarray:
+        """The shard of each text from its terms (owners in order) and a hash of it."""
+        key = np.full(len(deal), -1, np.int64)
+        some, first = np.unique(owner, return_index=True)
+        if len(some):
+            key[some] = np.minimum.reduceat(self.place[term], first)
+        part = np.where(key >= 0, deal % self.parts[key].astype(U64), deal)
+        return (mix(key.astype(U64) * U64(STEP) + part) % U64(self.shards)).astype(np.int64)
+
+
+def _encoded(batches, vocabulary, statistics, bits: int, end_id: int):
+    encode, most = encoder(vocabulary.value), (1 << (32 - bits)) - 1
+    end = np.array([end_id], encode.dtype).tobytes()
     for batch in batches:
         for part in slices(batch):
-            ids, bounds, pieces = encode(part.column("text"))
-            owner, term, count = _terms(pieces, bits)
-            packed = ((term << 8) | np.minimum(count, 255)).astype(np.uint32)
+            ids, bounds, _ = encode(part.column("text"))
+            owner, term, count = _terms(part.column("text"), bits)
+            packed = ((term << (32 - bits)) | np.minimum(count, most)).astype(np.uint32)
             cuts = np.searchsorted(owner, np.arange(len(part) + 1))
-            end = np.array([end_id], encode.dtype).tobytes()
+            deal = part.column("deal").to_numpy().view(U64)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
-                    part.column("shard"),
+                    pa.array(statistics.value.shard(owner, term, deal)),
                     pa.array([ids[a:b].tobytes() + end for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
                     pa.array([packed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                 ],
@@ -59,10 +90,10 @@ def _encoded(batches, vocabulary, bits: int, end_id: int):
 class Index:
     """BM25 over the documents of one shard; frequencies are those of the whole corpus."""
 
-    def __init__(self, terms: list[np.ndarray], idf: np.ndarray, mean_words: float, query_terms: int):
+    def __init__(self, terms: list[np.ndarray], bits: int, idf: np.ndarray, mean_words: float, query_terms: int):
         counts = np.array([len(t) for t in terms])
         packed = np.concatenate(terms) if terms else np.zeros(0, np.uint32)
-        doc, term, tf = np.repeat(np.arange(len(terms)), counts), (packed >> 8).astype(np.int64), (packed & 255).astype(np.float64)
+        doc, term, tf = np.repeat(np.arange(len(terms)), counts), (packed >> (32 - bits)).astype(np.int64), (packed & ((1 << (32 - bits)) - 1)).astype(np.float64)
         words = np.bincount(doc, tf, len(terms))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[doc] / max(mean_words, 1e-9)))
         order = np.argsort(term, kind="stable")
@@ -148,13 +179,12 @@ def best_first(scores: np.ndarray, few: int = 16):
         yield from np.argsort(-scores, kind="stable").tolist()
 
 
-def _pack(key: tuple, table: pa.Table, statistics, window: int, query_terms: int, dtype: str) -> pa.Table:
-    idf, mean_words = statistics.value
-    table = table.sort_by("doc_id")
+def _pack(key: tuple, table: pa.Table, statistics, window: int, query_terms: int, bits: int, dtype: str) -> pa.Table:
+    table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
     ids = [np.frombuffer(x, dtype) for x in table.column("ids").to_pylist()]
     terms = [np.frombuffer(x, np.uint32) for x in table.column("terms").to_pylist()]
     lengths = np.array([len(x) for x in ids])
-    pieces = fill(lengths, Index(terms, idf, mean_words, query_terms), window)
+    pieces = fill(lengths, Index(terms, bits, statistics.value.idf, statistics.value.mean_words, query_terms), window)
     doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
     crc = [zlib.crc32(ids[d][s : s + n].astype("<u4").tobytes()) for d, s, n, _, _ in pieces]
     return pa.table(
@@ -170,12 +200,14 @@ def _pack(key: tuple, table: pa.Table, statistics, window: int, query_terms: int
     )
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, shard_docs: int = 1024, query_terms: int = 24, bits: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, shard_docs: int = 1024, shard_bytes: int = 16 << 20, query_terms: int = 24, bits: int = 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs every document into sequences of at most `window` tokens.
 
     vocabulary: path of a byte-level BPE tokenizer's JSON file, read on the driver. Each document is its
-    tokens and then end_id. Shards of about shard_docs documents are dealt by a hash of id and text; term
-    frequencies and lengths cover all documents, as a table of 2**bits hashed terms of fixed size.
+    tokens and then end_id. Documents are dealt by content into shards of about shard_docs documents and at
+    most about shard_bytes of text (see Statistics); a shard's BM25 index is asked with a seed's query_terms
+    rarest shared terms. Term frequencies and lengths cover all documents, as a table of 2**bits hashed terms
+    of fixed size; a count beyond 2**(32 - bits) - 1 weighs like that.
 
     Returns per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A null text is
     empty (one token). Repeated rows and rows with one id are packed each. Null ids stay null. An empty
@@ -184,17 +216,18 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1,
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     counted = docs.select("text").mapInArrow(lambda batches: _frequencies(batches, bits), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    found = {r.term: r.n for r in counted.collect()}  # at most 2**bits + 2 rows
-    texts = found.pop(-1, 0)
-    mean_words = found.pop(-2, 0) / max(1, texts)
-    df = np.zeros(1 << bits)
-    df[list(found)] = list(found.values())
-    statistics = spark.sparkContext.broadcast((np.log(1 + (texts - df + 0.5) / (df + 0.5)), mean_words))
+    found = counted.toPandas()  # at most 2**bits + 3 rows
+    sums = found[found.term < 0].set_index("term").n
+    texts, words, size = (int(sums.get(x, 0)) for x in (TEXTS, WORDS, BYTES))
+    df = np.zeros(1 << bits, np.int64)
+    df[found.term[found.term >= 0]] = found.n[found.term >= 0]
+    shards = max(1, math.ceil(texts / shard_docs), math.ceil(size / shard_bytes))
+    statistics = spark.sparkContext.broadcast(Statistics(df, texts, words, shards, shard_docs))
     with open(vocabulary, encoding="utf-8") as file:
         tokenizer = spark.sparkContext.broadcast(file.read())
-    shards = max(1, math.ceil(texts / shard_docs))
-    docs = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
-    encoded = docs.mapInArrow(lambda batches: _encoded(batches, tokenizer, bits, end_id), "doc_id long, shard long, ids binary, terms binary")
+    encoded = docs.withColumn("deal", F.xxhash64("doc_id", "text")).mapInArrow(lambda batches: _encoded(batches, tokenizer, statistics, bits, end_id), "doc_id long, shard long, ids binary, terms binary")
+    # A number of partitions that grows with the input, so that no task does.
+    encoded = encoded.repartition(max(shuffle_partitions(spark), math.ceil(size / (4 * shard_bytes))), "shard")
     dtype = np.dtype(encoder(tokenizer.value).dtype).name
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return encoded.groupBy("shard").applyInArrow(lambda key, table: _pack(key, table, statistics, window, query_terms, dtype), fields)
+    return encoded.groupBy("shard").applyInArrow(lambda key, table: _pack(key, table, statistics, window, query_terms, bits, dtype), fields)

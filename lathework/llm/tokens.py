@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
-from .words import WHITE, bytes_of, hash_runs, process_cache
+from .words import WHITE, bytes_of, process_cache
 
 
 @dataclass
 class Pieces:
-    """Pieces of consecutive texts: bytes start[i]:end[i] of data, hash[i]; text d has the pieces first[d]:first[d+1]."""
+    """Pieces of consecutive texts: text d has the pieces first[d]:first[d+1], and piece i is keys[code[i]]."""
 
-    data: np.ndarray
-    start: np.ndarray
-    end: np.ndarray
-    hash: np.ndarray
+    code: np.ndarray
+    keys: list[bytes]
     first: np.ndarray
 
 
@@ -34,14 +32,17 @@ def find_pieces(texts: pa.Array) -> Pieces:
     begin[1:-1] |= (data[1:-1] == 0x20) & high[:-2] & ~white[2:] & ~high[2:]
     begin[offsets[:-1][offsets[:-1] < len(data)]] = True
     start = np.flatnonzero(begin)
-    end = np.append(start[1:], len(data))[: len(start)]
-    return Pieces(data, start, end, hash_runs(data, start, end), np.searchsorted(start, offsets))
+    # Pieces cover all bytes, so their starts are the offsets of an Arrow column; Arrow compares whole pieces.
+    bounds = np.append(start, len(data)).astype(np.int64)
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = column.dictionary_encode()
+    return Pieces(coded.indices.to_numpy(), coded.dictionary.to_pylist(), np.searchsorted(start, offsets))
 
 
 class Encoder:
-    """Encodes a text piece by piece and each distinct piece once; known pieces stay in memory, up to `limit`."""
+    """Encodes a text piece by piece and each distinct piece once; known pieces stay in memory, up to about `limit`."""
 
-    def __init__(self, vocabulary: str, limit: int = 1 << 20):
+    def __init__(self, vocabulary: str, limit: int = 1 << 20, together: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -49,39 +50,44 @@ class Encoder:
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.encode = lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         self.dtype = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.limit = limit
+        # Each character of a byte-level token stands for one byte.
+        tokens = json.loads(vocabulary)["model"]["vocab"]
+        self.n_bytes = np.zeros(tokenizer.get_vocab_size(), np.int64)
+        self.n_bytes[list(tokens.values())] = list(map(len, tokens))
+        self.limit, self.together = limit, together
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.ids = np.zeros(0, self.dtype)
         self.bounds = np.zeros(1, np.int64)
 
+    def learn(self, keys: list[bytes]) -> None:
+        """Encodes further pieces, many in one text where they are cut from one another there, too."""
+        cut = lambda k: WHITE[k[0]] and k[-1] < 0x80 and not WHITE[k[-1]]
+        joint = [k for k in keys if cut(k)]
+        alone = [k for k in keys if not cut(k)]
+        texts = [b"".join(joint[i : i + self.together]) for i in range(0, len(joint), self.together)] + alone
+        found = np.concatenate([np.array(x, self.dtype) for x in self.encode([t.decode() for t in texts])])
+        ends, wanted = np.cumsum(self.n_bytes[found]), np.cumsum([len(k) for k in joint + alone])
+        last = np.searchsorted(ends, wanted)
+        if not np.array_equal(ends[np.minimum(last, len(ends) - 1)], wanted):
+            raise ValueError("the tokenizer is not byte-level BPE that cuts texts at white space")
+        self.known.update(zip(joint + alone, range(len(self.known), len(self.known) + len(keys)), strict=True))
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + last + 1])
+        self.ids = np.concatenate([self.ids, found])
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Pieces]:
         """The ids of all texts, each text's bounds in them, and the pieces."""
         pieces = find_pieces(texts)
-        data, start, end = pieces.data, pieces.start, pieces.end
-        if not len(data):
+        if not len(pieces.code):
             return np.zeros(0, self.dtype), np.zeros(len(pieces.first), np.int64), pieces
-        codes, distinct = pd.factorize(pieces.hash)
-        where = np.empty(len(distinct), np.int64)
-        where[codes[::-1]] = np.arange(len(codes))[::-1]
         if len(self.known) > self.limit:
             self.forget()
-        known, fresh, size = self.known, [], len(self.known)
-        at = np.empty(len(distinct), np.int64)
-        for i, h in enumerate(distinct.tolist()):
-            j = known.get(h)
-            if j is None:
-                j = known[h] = size
-                size += 1
-                fresh.append(data[start[where[i]] : end[where[i]]].tobytes().decode())
-            at[i] = j
+        fresh = [k for k in pieces.keys if k not in self.known]
         if fresh:
-            encoded = self.encode(fresh)
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in encoded])])
-            self.ids = np.concatenate([self.ids, *(np.array(x, self.dtype) for x in encoded)])
-        piece = at[codes]
+            self.learn(fresh)
+        piece = np.fromiter(map(self.known.__getitem__, pieces.keys), np.int64, len(pieces.keys))[pieces.code]
         counts = (self.bounds[1:] - self.bounds[:-1])[piece]
         ends = np.cumsum(counts)
         ids = self.ids[np.repeat(self.bounds[piece] - ends + counts, counts) + np.arange(ends[-1])]

@@ -10,20 +10,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import STEP, U64, find_words, mix, room, slices
+from .words import BETWEEN, STEP, U64, find_words, mix, room, slices
 
-#: Bytes outside words: ASCII other than letters and digits. All other characters are parts of words.
-OUTSIDE = np.ones(256, bool)
-OUTSIDE[0x80:] = False
-for _low, _high in (("0", "9"), ("A", "Z"), ("a", "z")):
-    OUTSIDE[ord(_low) : ord(_high) + 1] = False
 #: Distances between the two words of a feature: 1 is the bigram, the others are skip-grams; 0 is the word itself.
 DISTANCES = (0, 1, 2, 3)
 
 
 def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of lower-cased texts and the texts they are in, repeats included."""
-    words = find_words(pc.utf8_lower(pc.fill_null(texts, "")), outside=OUTSIDE)
+    words = find_words(pc.utf8_lower(pc.fill_null(texts, "")), outside=BETWEEN)
     left, text_of = room(words.first), words.text_of
     found, owner = [], []
     for d in DISTANCES:

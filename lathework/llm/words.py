@@ -14,14 +14,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
-#: Odd multipliers; BACK is the inverse of STEP modulo 2**64.
+#: An odd multiplier of 64-bit numbers.
 STEP = 0x9E3779B97F4A7C15
-BACK = pow(STEP, -1, 1 << 64)
 MIX_1, MIX_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+#: Starts of two independent hashes of one run of bytes.
+SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+#: Longer runs of bytes are hashed one by one.
+LONG = 64
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes between words without punctuation: ASCII other than letters and digits. All other characters are parts of words.
+BETWEEN = np.ones(256, bool)
+BETWEEN[0x80:] = False
+for _low, _high in (("0", "9"), ("A", "Z"), ("a", "z")):
+    BETWEEN[ord(_low) : ord(_high) + 1] = False
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,24 +42,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-BYTE_CODES = mix(np.arange(1, 257, dtype=U64) * U64(STEP))
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 to base**(n-1) modulo 2**64."""
-    out = np.full(n, base, U64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=U64)
-
-
 @dataclass
 class Words:
-    """Words of consecutive texts: bytes start[i]:end[i] of data, hash[i]; text d has the words first[d]:first[d+1]."""
+    """Words of consecutive texts: bytes start[i]:end[i] of data, hash[i]; text d has the words first[d]:first[d+1].
+
+    check is a second, independent hash if it was asked for.
+    """
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
+    check: np.ndarray | None
     first: np.ndarray
     offsets: np.ndarray
 
@@ -85,44 +88,59 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end
 
 
-def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start[i]:end[i]]: differences of prefix sums, shifted to power 0."""
-    power = powers(STEP, len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_CODES[data] * power[:-1], out=sums[1:])
-    back = powers(BACK, len(data) + 1)
-    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(U64))
-
-
-def find_words(texts: pa.Array | pa.ChunkedArray, step: int = 1 << 20, outside: np.ndarray = WHITE) -> Words:
+def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = SEEDS[0]) -> np.ndarray:
+    """A 64-bit hash of each data[start[i]:end[i]], taken in lanes of 8 bytes; runs of equal length under 9 bytes never collide."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = end - start
+    out = mix(size.astype(U64) + U64(seed))
+    some, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(some):
+        left = np.minimum(size[some] - at, 8).astype(U64)
+        lane = lanes[start[some] + at] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - U64(8) * left))
+        out[some] = mix(out[some] * U64(STEP) + lane)
+        at += 8
+        some = some[size[some] > at]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), seed)
+    return out
+
+
+def find_words(texts: pa.Array | pa.ChunkedArray, step: int = 1 << 20, outside: np.ndarray = WHITE, check: bool = False) -> Words:
     """All words of all texts; step bounds the bytes that are hashed at once (one text at least).
 
     outside marks the byte values that belong to no word.
     """
     data, offsets = bytes_of(texts)
-    starts, ends, hashes = [], [], []
+    starts, ends, hashes = [], [], [[] for _ in SEEDS[: 1 + check]]
     lo = 0
     while lo < len(offsets) - 1:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + step, "right")) - 1)
         piece, base = data[offsets[lo] : offsets[hi]], offsets[lo]
         start, end = runs(~outside[piece], offsets[lo : hi + 1] - base)
-        hashes.append(hash_runs(piece, start, end))
+        for found, seed in zip(hashes, SEEDS, strict=False):
+            found.append(hash_runs(piece, start, end, seed))
         starts.append(start + base)
         ends.append(end + base)
         lo = hi
     start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     end = np.concatenate(ends) if ends else np.zeros(0, np.int64)
-    hashed = np.concatenate(hashes) if hashes else np.zeros(0, U64)
-    return Words(data, start, end, hashed, np.searchsorted(start, offsets), offsets)
+    hashed = [np.concatenate(x) if x else np.zeros(0, U64) for x in hashes]
+    return Words(data, start, end, hashed[0], hashed[1] if check else None, np.searchsorted(start, offsets), offsets)
 
 
 def windows(hashed: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of `size` consecutive entries, whichever texts they belong to."""
+    """A hash of each run of `size` consecutive entries, whichever texts they belong to: built from runs of 1, 2, 4, ... entries."""
     n = max(0, len(hashed) - size + 1)
-    out = np.zeros(n, U64)
-    for j in range(size):
-        out = out * U64(STEP) + hashed[j : j + n]
-    return mix(out)
+    out, at, run, width = np.full(n, size, U64), 0, hashed, 1
+    while True:
+        if size & width:
+            out = mix(out * U64(STEP) + run[at : at + n])
+            at += width
+        if at == size:
+            return out
+        run = mix(run[:-width] * U64(STEP) + run[width:])
+        width *= 2
 
 
 def slices(batch: pa.RecordBatch, step: int = 2 << 20) -> Iterator[pa.RecordBatch]:
