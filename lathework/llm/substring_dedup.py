@@ -1,13 +1,14 @@
 """Substring dedup by level-wise doubling.
 
-Windows repeated at one length alone are extended to (at most) twice that length, until the wanted
-length is reached or no candidate survives. Texts are dealt once into blocks. At every level a block
-reports each window hash once, with the smallest document id it has there; one shuffle by hash brings
-the reports of all blocks together, so a window that a third of all documents share costs one row a
-block, and the answers go back to the blocks that need them.
-
-At the first level only one window in about four is reported: that with the least hash among the short
-windows of each long one. Equal long windows choose equally, so no repeated one is missed.
+Windows repeated at one length alone are extended to (at most) twice that length, level by level, until the
+wanted length is reached; where no candidate survives, the levels left have nothing to report. Texts are dealt
+once into blocks. At every level a block reports each window hash once, with the smallest document id it has
+there; one shuffle by hash brings the reports of all blocks together, so a window that a third of all documents
+share costs one row a block, and the answers go back to the blocks that need them.
+
+Below the wanted length, only the short window with the least hash in each surviving long one is reported (at
+the first level of 13, one in about four). Equal long windows choose equally, so no repeated one is missed.
+Short windows only pick candidates; windows of the wanted length are told apart by 96 bits.
 """
 
 from __future__ import annotations
@@ -21,15 +22,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import shuffle_partitions
-from .words import Words, find_words, room, windows
+from .words import U64, Words, find_words, room, windows
 
 #: The id that stands for a null one: larger than all others.
 NO_ID = (1 << 63) - 1
 
 
-def lengths(window: int) -> list[int]:
-    """The lengths of the levels: the last is `window`, each at most twice the one before."""
-    return [math.ceil(window / 2), window] if window > 1 else [1]
+def lengths(window: int, shortest: int = 7) -> list[int]:
+    """The lengths of the levels: the last is `window`, each at most twice the one before, the first at least `shortest` if possible."""
+    out = [window]
+    while math.ceil(out[0] / 2) >= shortest:
+        out.insert(0, math.ceil(out[0] / 2))
+    return out
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
@@ -44,17 +48,24 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(4 * shuffle_partitions(spark), math.ceil(total / block_bytes))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    # By the text, too: neither null ids nor one repeated id make a large block.
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     by_block = docs.groupBy("block")
+    levels, told = lengths(window)[:-1], None
 
-    short = lengths(window)[0]
-    reports = by_block.applyInArrow(lambda key, table: _anchors(key, table, window, short), "h long, block int, several boolean")
-    same = Window.partitionBy("h")
-    # A block that has a window in several documents knows that it is repeated; the others are told.
-    repeated = reports.withColumn("n", F.count("*").over(same)).filter("n > 1 and not several").select("block", "h")
+    def reports(function, schema: str) -> DataFrame:
+        if told is None:
+            return by_block.applyInArrow(lambda key, table: function(key, table, None), schema)
+        return by_block.cogroup(told.groupBy("block")).applyInArrow(lambda key, table, known: function(key, table, known), schema)
 
-    reports = by_block.cogroup(repeated.groupBy("block")).applyInArrow(lambda key, table, known: _candidates(key, table, known, window, short), "h long, block int, least long")
-    earlier = reports.withColumn("first", F.min("least").over(same)).filter("first < least").select("block", "h", "first")
+    for n in range(len(levels)):
+        found = reports(lambda key, table, known, n=n: _anchors(key, table, known, window, levels[: n + 1]), "h long, block int, several boolean")
+        # A block that has a window in several documents knows that it is repeated; the others are told.
+        repeated = found.withColumn("n", F.count("*").over(Window.partitionBy("h"))).filter("n > 1 and not several").select("block", F.lit(n).alias("level"), "h")
+        told = repeated if told is None else told.unionAll(repeated)
+
+    found = reports(lambda key, table, known: _candidates(key, table, known, window, levels), "h long, tail int, block int, least long")
+    earlier = found.withColumn("first", F.min("least").over(Window.partitionBy("h", "tail"))).filter("first < least").select("block", "h", "tail", "first")
 
     fields = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return by_block.cogroup(earlier.groupBy("block")).applyInArrow(lambda key, table, known: _cut(table, known, window, with_text), fields)
@@ -65,23 +76,25 @@ def _in_order(table: pa.Table) -> tuple[pa.Table, np.ndarray, Words]:
     ids = table.column("doc_id").combine_chunks()
     order = np.argsort(ids.fill_null(NO_ID).to_numpy(zero_copy_only=False), kind="stable")
     table = table.take(pa.array(order))
-    return table, table.column("doc_id").combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False), find_words(table.column("text"))
+    return table, table.column("doc_id").combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False), find_words(table.column("text"), check=True)
 
 
-def _least(words: Words, window: int, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of whole windows; for each the place of its least short window; the hashes of short windows."""
+def _least(words: Words, starts: np.ndarray, window: int, short: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each start of a whole window the place of its least short window; the hashes of all short windows."""
     hashed = windows(words.hash, short)
-    starts = np.flatnonzero(room(words.first) >= window)
     if not len(starts):
-        return starts, starts, hashed
+        return starts, hashed
     inner = np.lib.stride_tricks.sliding_window_view(hashed, window - short + 1)
-    return starts, inner[: len(hashed)].argmin(axis=1)[starts] + starts, hashed
+    return inner.argmin(axis=1)[starts] + starts, hashed
 
 
-def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A stable order of keys, and the first and last place of each distinct key in it."""
-    order = np.argsort(keys, kind="stable")
-    new = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0])) if len(keys) else np.zeros(0, np.int64)
+def _groups(keys: np.ndarray, tails: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order of keys (and tails), and the first and last place of each distinct one in it."""
+    order = np.argsort(keys, kind="stable") if tails is None else np.lexsort((tails, keys))
+    differ = np.diff(keys[order]) != 0
+    if tails is not None:
+        differ |= np.diff(tails[order]) != 0
+    new = np.flatnonzero(np.concatenate([[True], differ])) if len(keys) else np.zeros(0, np.int64)
     return order, new, np.concatenate([new[1:], [len(keys)]]) - 1 if len(new) else new
 
 
@@ -93,38 +106,55 @@ def _shared(words: Words, ids: np.ndarray, places: np.ndarray, hashed: np.ndarra
     return hashed[at][order[new]], owner[order[new]] != owner[order[last]]
 
 
-def _anchors(key: tuple, table: pa.Table, window: int, short: int) -> pa.Table:
+def _surviving(words: Words, ids: np.ndarray, window: int, levels: list[int], known: pa.Table | None) -> np.ndarray:
+    """Starts of whole windows whose least short windows of all these levels are repeated."""
+    starts = np.flatnonzero(room(words.first) >= window)
+    for n, short in enumerate(levels):
+        places, hashed = _least(words, starts, window, short)
+        found, several = _shared(words, ids, places, hashed)
+        told = known.column("h").to_numpy().view(U64)[known.column("level").to_numpy() == n]
+        starts = starts[np.isin(hashed[places], np.concatenate([found[several], told]))]
+    return starts
+
+
+def _anchors(key: tuple, table: pa.Table, known: pa.Table | None, window: int, levels: list[int]) -> pa.Table:
     _, ids, words = _in_order(table)
-    _, places, hashed = _least(words, window, short)
+    places, hashed = _least(words, _surviving(words, ids, window, levels[:-1], known), window, levels[-1])
     found, several = _shared(words, ids, places, hashed)
     return pa.table({"h": found.view(np.int64), "block": np.full(len(found), key[0].as_py(), np.int32), "several": several})
 
 
-def _candidates(key: tuple, table: pa.Table, known: pa.Table, window: int, short: int) -> pa.Table:
+def _whole(words: Words, window: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of each whole window: a hash of its words, and half of one of their second hashes."""
+    return windows(words.hash, window)[starts], (windows(words.check, window)[starts] >> U64(32)).astype(np.uint32)
+
+
+def _candidates(key: tuple, table: pa.Table, known: pa.Table | None, window: int, levels: list[int]) -> pa.Table:
     _, ids, words = _in_order(table)
-    starts, places, hashed = _least(words, window, short)
-    found, several = _shared(words, ids, places, hashed)
-    told = known.column("h").to_numpy().view(np.uint64)
-    starts = starts[np.isin(hashed[places], np.concatenate([found[several], told]))]
-    whole = windows(words.hash, window)[starts]
-    order, new, _ = _groups(whole)
-    return pa.table({"h": whole[order[new]].view(np.int64), "block": np.full(len(new), key[0].as_py(), np.int32), "least": ids[words.text_of[starts]][order[new]]})
+    starts = _surviving(words, ids, window, levels, known)
+    whole, tail = _whole(words, window, starts)
+    order, new, _ = _groups(whole, tail)
+    first = order[new]
+    return pa.table({"h": whole[first].view(np.int64), "tail": tail[first].view(np.int32), "block": np.full(len(new), key[0].as_py(), np.int32), "least": ids[words.text_of[starts]][first]})
 
 
 def _cut(table: pa.Table, known: pa.Table, window: int, with_text: bool) -> pa.Table:
     table, ids, words = _in_order(table)
     starts = np.flatnonzero(room(words.first) >= window)
-    whole = windows(words.hash, window)[starts]
+    whole, tail = _whole(words, window, starts)
     owner = ids[words.text_of[starts]]
-    order, new, last = _groups(whole)
+    order, new, last = _groups(whole, tail)
     least = np.empty(len(whole), np.int64)
     least[order] = np.repeat(owner[order[new]], last - new + 1)
-    told = known.column("h").to_numpy().view(np.uint64)
+    told, told_tail = known.column("h").to_numpy().view(U64), known.column("tail").to_numpy().view(np.uint32)
     if len(told) and len(whole):
-        by_hash = np.argsort(told)
-        told, first = told[by_hash], known.column("first").to_numpy()[by_hash]
-        at = np.minimum(np.searchsorted(told, whole), len(told) - 1)
-        least = np.where(told[at] == whole, np.minimum(least, first[at]), least)
+        by_hash = np.argsort(told, kind="stable")
+        told, told_tail, first = told[by_hash], told_tail[by_hash], known.column("first").to_numpy()[by_hash]
+        at, end = np.searchsorted(told, whole), np.searchsorted(told, whole, "right")
+        while (at < end).any():  # once, unless answers share the first 64 bits
+            here = np.minimum(at, len(told) - 1)
+            least = np.where((at < end) & (told_tail[here] == tail), np.minimum(least, first[here]), least)
+            at += 1
     cover = np.zeros(len(words.hash) + 1, np.int64)
     repeated = starts[least < owner]
     np.add.at(cover, repeated, 1)

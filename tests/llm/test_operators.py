@@ -434,3 +434,43 @@ def test_long_noisy_texts_stay_clean():
     weights, bias = ftrl(examples[:1200], 4010)
     wrong = collections.Counter(label for label, at in examples[1200:] if (bias + weights[at].sum() >= 0) != label)
     assert wrong[0] <= 3 and wrong[1] <= 6
+
+
+def thue_morse() -> tuple[str, str]:
+    """Two words of 1024 characters that polynomial hashes modulo 2**64 don't tell apart."""
+    word = "a"
+    for _ in range(10):
+        word = word.translate({97: "ab", 98: "ba"})
+    return word, word.translate({97: "b", 98: "a"})
+
+
+def test_words_that_fool_linear_hashes(spark):
+    from tokenizers import Tokenizer
+
+    a, b = thue_morse()
+    rows = [(0, " ".join([a] * 13)), (1, " ".join([b] * 13)), (2, f"{a} x y z"), (3, f"{b} x y z"), (4, a), (5, b)]
+    # Words in the same pattern: runs of words must not collide either.
+    rows += [(6, " ".join(a)), (7, " ".join(b))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (1, 13, 1024):
+        assert sorted(map(tuple, substring_dedup(docs, window=n, with_text=True).collect()), key=str) == plain_substring(rows, n)
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs).collect()} == plain_classes(rows)
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    got = {r.doc_id: r.ids_crc32 for r in pack(docs, VOCABULARY, window=1 << 20).collect()}
+    assert got == {i: zlib.crc32(np.array(tokenizer.encode(text, add_special_tokens=False).ids + [1], "<u4").tobytes()) for i, text in rows}
+
+
+def test_substring_levels():
+    from lathework.llm.substring_dedup import lengths
+
+    assert lengths(13) == [7, 13] and lengths(100) == [7, 13, 25, 50, 100] and lengths(2) == [2]
+
+
+def test_substring_dedup_of_long_windows(spark):
+    """Levels of 7, 13, 25 and 50 words; some passages repeat up to a level alone, one passage at full length."""
+    rng = np.random.default_rng(8)
+    pool = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    passages = {n: pool(n) for n in (8, 14, 30, 49, 50, 70)}
+    rows = [(i, " ".join(pool(30) + [w for n in rng.permutation(list(passages)) for w in passages[n] + pool(20)])) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substring_dedup(docs, window=50, with_text=True).collect()), key=str) == plain_substring(rows, 50)
