@@ -16,7 +16,9 @@ ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee]
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: What the models judge, and what they learn ordinary identifiers from.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+#: Characters of spans that a pattern found stand as HIDDEN.
+HIDDEN = "\x01"
+CANDIDATE = r"[A-Za-z0-9+/_=\x01-]{16,}"
 IDENTIFIER = r"[A-Za-z0-9+/_=-]{4,}"
 KINDS = ("assign", "access", "hex", "model")
 SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -24,29 +26,68 @@ SPANS = "array<struct<start:int,kind:int,end:int>>"
 LOWEST, SYMBOLS = 32, 95
 
 
-def found(text, pattern: str, kind: int, least: int = 0, group: int = 0) -> F.Column:
-    """Spans of the leftmost non-overlapping matches whose group has at least `least` characters.
+def bound(value, use) -> F.Column:
+    """use(value), where value is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def before(values, combine, block: int = 256) -> F.Column:
+    """For each of an array of numbers what combine makes of 0 and all those before it (a running sum or maximum).
 
-    What lies between the matches has their number plus one; starts are sums of both lengths (code points).
+    Whole blocks are combined first, then each block's members, so that no long array is copied once a member.
     """
-    gaps, matches, inner = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    parts = F.arrays_zip(gaps.alias("gap"), matches.alias("match"), inner.alias("inner"))
-    parts = F.transform(F.filter(parts, lambda x: x["match"].isNotNull()), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["match"]).alias("n"), F.length(x["inner"]).alias("inner")))
-    none = F.array().cast(SPANS)
 
-    def step(state, x):
-        start = state["at"] + x["gap"]
-        end = start + x["n"]
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["inner"] >= least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+    def running(part, at):
+        step = lambda state, x: F.struct(combine(state["at"], x).alias("at"), F.array_append(state["out"], state["at"]).alias("out"))
+        return F.aggregate(part, F.struct(at.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda state: state["out"])
+
+    def all_blocks(whole):
+        firsts = F.sequence(F.lit(1), F.size(whole), F.lit(block))
+        totals = F.transform(firsts, lambda i: F.aggregate(F.slice(whole, i, block), F.lit(0), combine))
+        blocks = F.arrays_zip(firsts.alias("first"), running(totals, F.lit(0)).alias("at"))
+        inside = F.flatten(F.transform(blocks, lambda x: running(F.slice(whole, x["first"], block), x["at"])))
+        return F.when(F.size(whole) > 0, inside).otherwise(F.array().cast("array<int>"))
+
+    return bound(values, all_blocks)
+
 
-    folded = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda state: state["spans"])
-    return F.when(text.rlike(pattern), folded).otherwise(none)
+def parts(text, pattern: str, group: int = 0) -> F.Column:
+    """What lies between the leftmost non-overlapping matches, the matches and their group; after the last match comes one gap alone."""
+    every = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), every(0).alias("match"), every(group).alias("inner"))
+
+
+def placed(text, pattern: str, group: int = 0) -> F.Column:
+    """array<struct(start, end, inner)> of all matches, in code points; inner is the text of the group."""
+    some = F.filter(parts(text, pattern, group), lambda x: x["match"].isNotNull())
+    some = F.transform(some, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["match"]).alias("n"), x["inner"].alias("inner")))
+
+    def spans(all_):
+        at = before(F.transform(all_, lambda x: x["gap"] + x["n"]), lambda a, x: a + x)
+        return F.zip_with(at, all_, lambda a, x: F.struct((a + x["gap"]).alias("start"), (a + x["gap"] + x["n"]).alias("end"), x["inner"].alias("inner")))
+
+    return bound(some, spans)
+
+
+def found(text, pattern: str, kind: int, least: int = 0, group: int = 0) -> F.Column:
+    """Spans of the matches whose group has at least `least` characters."""
+    long = F.filter(placed(text, pattern, group), lambda x: F.length(x["inner"]) >= least)
+    spans = F.transform(long, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPANS))
+
+
+def hidden(text, pattern: str, least: int = 0, group: int = 0) -> F.Column:
+    """The text with HIDDEN for each character of found() spans."""
+    piece = lambda x: F.concat(x["gap"], F.when(x["match"].isNull(), F.lit("")).when(F.length(x["inner"]) >= least, F.repeat(F.lit(HIDDEN), F.length(x["match"]))).otherwise(x["match"]))
+    return F.when(text.rlike(pattern), F.array_join(F.transform(parts(text, pattern, group), piece), "")).otherwise(text)
+
+
+#: The patterns with the least length of their group.
+BASE = ((ASSIGN, 6, 2), (ACCESS, 0, 0), (HEX, 0, 0))
 
 
 def with_base_spans(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    text = F.col(text_col)
-    return rows.withColumn("assign", found(text, ASSIGN, 0, 6, 2)).withColumn("access", found(text, ACCESS, 1)).withColumn("hex", found(text, HEX, 2))
+    return rows.withColumns({KINDS[kind]: found(F.col(text_col), pattern, kind, least, group) for kind, (pattern, least, group) in enumerate(BASE)})
 
 
 def pair_counts(samples: DataFrame) -> DataFrame:
@@ -78,8 +119,8 @@ def likelihood_ratios(counts: list[tuple[int, str, int]], smooth: float = 0.5, b
 def ratio(value, table: list[int]) -> F.Column:
     """The summed log-likelihood ratio of a string of printable ASCII characters, in thousandths."""
     ratios = F.from_json(F.lit(json.dumps(table)), "array<int>")
-    at = lambda i: F.ascii(F.substring(value, i, F.lit(1))) - LOWEST
-    return F.aggregate(F.sequence(F.lit(2), F.length(value)), F.lit(0), lambda sum_, i: sum_ + F.get(ratios, at(i - 1) * SYMBOLS + at(i)))
+    codes = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.ascii(c) - LOWEST)
+    return bound(codes, lambda at: F.aggregate(F.sequence(F.lit(1), F.size(at)), F.lit(0).cast("long"), lambda sum_, i: sum_ + F.coalesce(F.get(ratios, F.get(at, i - 1) * SYMBOLS + F.get(at, i)), F.lit(0))))
 
 
 def labelled_samples(docs: DataFrame) -> DataFrame:
@@ -110,12 +151,22 @@ def scan(docs: DataFrame, table: list[int] | None = None, least_mean: int = 700,
 
 
 def with_found(rows: DataFrame, table: list[int], least_mean: int) -> DataFrame:
-    """Adds base (the patterns' spans), model and found (all of them) to rows with a text."""
-    rows = with_base_spans(rows).withColumn("base", F.array_sort(F.concat("assign", "access", "hex"))).withColumn("candidates", found(F.col("text"), CANDIDATE, 3))
-    touches = lambda x: F.exists("base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
-    random = lambda x: ratio(F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"]), table) >= least_mean * (x["end"] - x["start"] - 1)
-    rows = rows.withColumn("model", F.filter("candidates", lambda x: ~touches(x) & random(x)))
-    return rows.withColumn("found", F.array_sort(F.concat("base", "model"))).drop("candidates")
+    """Adds base (the patterns' spans), model and found (all of them) to rows with a text.
+
+    A base span that touches a candidate lies in it or begins in it (what follows a base span never goes on as
+    a candidate), so a candidate is touched if it holds a HIDDEN character. Hiding one pattern's spans before
+    the next is looked for changes no untouched candidate: the parts lost belong to touched ones.
+    """
+    rows = with_base_spans(rows).withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
+    text = F.translate(F.col("text"), HIDDEN, "\x02")
+    for name, (pattern, least, group) in zip(KINDS, BASE, strict=False):
+        text = F.when(F.size(name) > 0, hidden(text, pattern, least, group)).otherwise(text)
+        rows = rows.withColumn("_hidden", text)
+        text = F.col("_hidden")
+    random = lambda x: ~F.contains(x["inner"], F.lit(HIDDEN)) & (ratio(x["inner"], table) >= F.lit(least_mean).cast("long") * (F.length(x["inner"]) - 1))
+    model = F.transform(F.filter(placed(text, CANDIDATE), random), lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
+    rows = rows.withColumn("model", F.when(text.rlike(CANDIDATE), model).otherwise(F.array().cast(SPANS))).drop("_hidden")
+    return rows.withColumn("found", F.array_sort(F.concat("base", "model")))
 
 
 def written_out(spans) -> F.Column:
@@ -131,18 +182,22 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, table: list[int] | None = None, mask: str = "[REDACTED]", least_mean: int = 700, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every found span of the text replaced by mask; spans that overlap become one mask. All rows stay."""
+    """docs with every found span of the text replaced by mask; spans that overlap become one mask. All rows stay.
+
+    Null texts stay null. Other columns pass through, whatever their names. An empty table gives an empty result.
+    """
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     table = train(labelled_samples(ids)) if table is None else table
     # The other columns travel as one struct, so that none of their names clash.
     rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = with_found(rows, table, least_mean)
-    text, none = F.col("text"), F.lit("")
+    letters = F.filter(F.split(F.col("text"), ""), lambda c: c != "")
+    cut = lambda chars, start, end: F.array_join(F.slice(chars, start + 1, end - start), "")
 
-    def step(state, x):
-        gap = F.when(x["start"] >= state["at"], F.concat(F.substring(text, state["at"] + 1, x["start"] - state["at"]), F.lit(mask))).otherwise(none)
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.concat(state["out"], gap).alias("out"))
+    def masked(chars):
+        reach = before(F.transform("found", lambda x: x["end"]), lambda a, x: F.greatest(a, x))
+        pieces = F.zip_with(F.col("found"), reach, lambda x, at: F.when(x["start"] >= at, F.concat(cut(chars, at, x["start"]), F.lit(mask))).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), cut(chars, F.array_max(F.transform("found", lambda x: x["end"])), F.size(chars)))
 
-    clean = F.aggregate("found", F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))))
-    kept = F.when(F.size("found") > 0, clean).otherwise(F.col(f"row.{text_col}"))
+    kept = F.when(F.size("found") > 0, bound(letters, masked)).otherwise(F.col(f"row.{text_col}"))
     return rows.withColumn("_clean", kept).select(*(F.col("_clean").alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns))

@@ -474,3 +474,49 @@ def test_substring_dedup_of_long_windows(spark):
     rows = [(i, " ".join(pool(30) + [w for n in rng.permutation(list(passages)) for w in passages[n] + pool(20)])) for i in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, substring_dedup(docs, window=50, with_text=True).collect()), key=str) == plain_substring(rows, 50)
+
+
+def plain_model_spans(text, table, least_mean=700):
+    base = plain_spans(text)
+    at = lambda a, b: table[(ord(a) - 32) * 95 + ord(b) - 32]
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text or ""):
+        touched = any(m.start() < b and a < m.end() for a, _, b in base)
+        if not touched and sum(at(a, b) for a, b in itertools.pairwise(m.group())) >= least_mean * (len(m.group()) - 1):
+            yield f"model:{m.start()}:{m.end()}"
+
+
+def test_secret_spans_of_the_model_by_brute_force(spark):
+    """Random texts of pieces that form, touch and overlap spans of all kinds."""
+    rng = np.random.default_rng(12)
+    signs = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_="))
+    pieces = ["password=", "token: '", "api_key=\"", "AKIA" + "Z9" * 9, "0123456789abcdef01234567", "0123456789abcdef0123456", " ", ".", "ü", "\x01", "plain_identifier_name", "-", "'"]
+    texts = []
+    for _ in range(400):
+        parts = [pieces[rng.integers(len(pieces))] if rng.random() < 0.6 else "".join(rng.choice(signs, rng.integers(1, 40))) for _ in range(rng.integers(1, 12))]
+        texts.append("".join(parts))
+    table = secrets.likelihood_ratios([(1, a + b, int(rng.integers(1, 9))) for a in "abcXYZ019" for b in "qwK38_"] + [(0, a + b, int(rng.integers(1, 9))) for a in "plainm_e" for b in "idetfr"])
+    got = secrets.digest(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), table, least_mean=50)).collect()
+    models = 0
+    for r in got:
+        base = [f"{PATTERNS[k][0]}:{a}:{b}" for a, k, b in plain_spans(texts[r.doc_id])]
+        model = list(plain_model_spans(texts[r.doc_id], table, 50))
+        models += len(model)
+        assert sorted(r.spans.split(",")) == sorted(base + model or [""]), texts[r.doc_id]
+    assert models > 40
+
+
+def test_secrets_of_very_long_texts(spark):
+    """A candidate of a million characters, and 20,000 spans in one text: time in proportion to the length."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    long = spark.createDataFrame([(0,), (1,)], "doc_id long").withColumn("text", F.when(F.col("doc_id") == 0, F.repeat(F.lit("aB3x9"), 200_000)).otherwise(F.repeat(F.lit("x password=hunter22 "), 20_000)))
+    table = secrets.likelihood_ratios([(1, "aB", 3), (0, "bc", 5)])
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secrets.digest(secrets.scan(long, table, least_mean=-(10**6))).collect()}
+    assert got[0].spans == "model:0:1000000"
+    assert got[1].n_assign == 20_000 and got[1].spans.endswith("assign:399982:399999")
+    clean = secrets.redacted(long.filter("doc_id = 1"), table).first().text
+    assert clean == "x [REDACTED] " * 20_000
+    assert time.perf_counter() - began < 90
