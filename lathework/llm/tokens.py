@@ -9,7 +9,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from .words import WHITE, bytes_of, process_cache
+from .words import BETWEEN, WHITE, bytes_of, process_cache
+
+#: ASCII letters, and ASCII punctuation but for the apostrophe.
+LETTERS = ~BETWEEN
+LETTERS[0x80:], LETTERS[ord("0") : ord("9") + 1] = False, False
+MARKS = BETWEEN & ~WHITE
+MARKS[:0x21], MARKS[0x7F], MARKS[ord("'")] = False, False, False
 
 
 @dataclass
@@ -23,13 +29,14 @@ class Pieces:
 
 def find_pieces(texts: pa.Array) -> Pieces:
     """Cuts texts where the byte-level pre-tokenizer always cuts them: at white space after an ASCII character that is none,
-    and at a single space between a non-ASCII and an ASCII character that is no white space. A piece is mostly
-    a word and the white space before it."""
+    at a single space between a non-ASCII and an ASCII character that is no white space, and between an ASCII letter
+    and ASCII punctuation other than an apostrophe. A piece is mostly a word and the white space before it."""
     data, offsets = bytes_of(texts)
     white, high = WHITE[data], data >= 0x80
     begin = np.zeros(len(data), bool)
     begin[1:] = white[1:] & ~white[:-1] & ~high[:-1]
     begin[1:-1] |= (data[1:-1] == 0x20) & high[:-2] & ~white[2:] & ~high[2:]
+    begin[1:] |= LETTERS[data[:-1]] & MARKS[data[1:]]
     begin[offsets[:-1][offsets[:-1] < len(data)]] = True
     start = np.flatnonzero(begin)
     # Pieces cover all bytes, so their starts are the offsets of an Arrow column; Arrow compares whole pieces.
