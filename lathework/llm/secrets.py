@@ -9,6 +9,8 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import bound
+
 #: Fixed values. Letters of the keywords stand in either case; group 2 of the first is the secret.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A match of AKIA[A-Z0-9]+ of under 20 characters holds none of 20 or more, nor does a run of under 24 hex digits
@@ -26,11 +28,6 @@ SPANS = "array<struct<start:int,kind:int,end:int>>"
 LOWEST, SYMBOLS = 32, 95
 
 
-def bound(value, use) -> F.Column:
-    """use(value), where value is computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def before(values, combine, block: int = 256) -> F.Column:
     """For each of an array of numbers what combine makes of 0 and all those before it (a running sum or maximum).
 
