@@ -102,7 +102,7 @@ def _quality_sql() -> str:
 
 
 MIXING_SQL = """
-    with d as (select doc_id, source, len(coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []))::bigint as size from documents),
+    with d as (select doc_id, source, len(coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []))::bigint as size, coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, '')) as name from documents),
     s as (select source, sum(size)::bigint as source_size from d group by source),
     w as (select *, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight, 3 * source_size as bound from s),
     l as (select *, bound / weight as ratio,
@@ -113,11 +113,11 @@ MIXING_SQL = """
                  else weight * (((select sum(source_size)::bigint from s) - coalesce((select sum(bound)::bigint from f where is_full), 0)) / (select sum(weight)::bigint from f where not is_full)) end as target from f),
     x as (select *, coalesce(target / nullif(source_size, 0), 0.0) as expected from e),
     y as (select *, floor(expected)::bigint as whole, expected - floor(expected) as fraction, target - floor(expected)::bigint * source_size as rest from x),
-    u as (select d.doc_id, d.source, d.size, source_size, target, whole, fraction, rest,
-                 (('0x' || md5('0:' || coalesce(d.doc_id::varchar, ''))[1:13])::bigint::double + 0.5) / 4503599627370496.0 as u
+    u as (select d.doc_id, d.source, d.size, d.name, source_size, target, whole, fraction, rest,
+                 (('0x' || md5('0:' || d.name)[1:13])::bigint::double + 0.5) / 4503599627370496.0 as u
           from d join y on d.source is not distinct from y.source),
     r as (select *, (u / (1 - u)) / (fraction / (1 - fraction)) as rank from u),
-    c as (select *, coalesce(sum(size) over (partition by source order by rank, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as before from r)
+    c as (select *, coalesce(sum(size) over (partition by source order by rank, name rows between unbounded preceding and 1 preceding), 0)::bigint as before from r)
     select doc_id, size, source_size, target, ((whole + case when fraction > 0 and 2 * before + size <= 2 * rest then 1 else 0 end) * size)::bigint as taken from c"""
 
 
