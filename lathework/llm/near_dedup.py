@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     signature. At the defaults a pair of similarity 0.8 misses every band with probability 6e-5.
     Within a bucket, documents are compared with the smallest id, not each with each. Documents of buckets
     that then still hold several classes are met again at their rarest shingles, where any pair of the wanted
-    similarity must meet; there they are compared across classes with 8, 64, 512, ... centres, until every
+    similarity must meet; there they are compared across classes with about 8, 64, 512, ... centres, until every
     member of a place with several classes was one. No bucket and no place is capped.
 
     Null texts and texts without words are copies of equal texts only (null counts as empty). A shorter
@@ -205,20 +205,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     rest = written(known.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(lambda batches: _sets(batches, size), "doc_id long, elements array<long>").dropDuplicates(["doc_id"]), "rest")
     open_ = written(_prefixes(rest, threshold), "prefixes")
     remove(buckets)
-    # Of each place, the greatest id that was a centre. Members leave a place between rounds, so numbers are not kept.
-    asked, more = known.sparkSession.createDataFrame([], "place long, upto long"), 8
+    # Members become centres in order of a random number, so a place needs no sorting: upto is the share asked so far.
+    open_ = open_.withColumn("u", F.pmod(F.xxhash64("doc_id", "place"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    asked, more = known.sparkSession.createDataFrame([], "place long, upto double"), 8
     while True:
         open_ = written(_meeting(_mixed(open_, classes), threshold), "open")
-        order = Window.partitionBy("place").orderBy("doc_id")
-        waiting = open_.join(asked, "place", "left").filter("upto is null or doc_id > upto")
-        centres = waiting.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= more)
-        centres = written(centres.select("place", F.col("doc_id").alias("centre"), F.col("component").alias("other"), F.col("n").alias("centre_n"), F.col("left").alias("centre_left")), "centres")
-        if not centres.limit(1).count():
+        waiting = open_.join(asked, "place", "left").withColumn("upto", F.coalesce("upto", F.lit(0.0)))
+        now = written(waiting.groupBy("place").agg(F.max("u").alias("u"), F.max("upto").alias("upto"), (more / F.count("*")).alias("share")).filter("u >= upto").drop("u"), "shares")
+        if not now.limit(1).count():
             break
+        centres = open_.join(now, "place").filter("u >= upto and u < share")
+        centres = written(centres.select("place", F.col("doc_id").alias("centre"), F.col("component").alias("other"), F.col("n").alias("centre_n"), F.col("left").alias("centre_left")), "centres")
         possible = (F.col("component") != F.col("other")) & (_needed(F.col("n"), F.col("centre_n"), threshold) <= F.least("left", "centre_left"))
         pairs = open_.join(centres, "place").filter(possible).select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
         classes = _merged(classes, _verified(pairs, rest, size, threshold))
-        asked = written(asked.unionByName(centres.select("place", F.col("centre").alias("upto"))).groupBy("place").agg(F.max("upto").alias("upto")), "asked")
+        asked = written(asked.unionByName(now.select("place", F.col("share").alias("upto"))).groupBy("place").agg(F.max("upto").alias("upto")), "asked")
         open_, more = open_.drop("component"), more * 8
     classes = classes.withColumnRenamed("id", "copy_of")
     # Ids outside any link are their own class; the join by copy_of can be split where a text has very many copies.
