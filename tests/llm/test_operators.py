@@ -248,7 +248,35 @@ def test_mixing(docs, rows, empty, spark):
     assert (mix.groupby("source", dropna=False).taken.sum() > 0).all()
     assert mixing.mixed(many).count() == (mixing.mix(many).toPandas().copies).sum()
     assert mixing.mix(empty).count() == 0
-    assert mixing.mixed(docs.filter("doc_id is not null")).columns == docs.columns
+    assert mixing.mixed(empty).count() == 0
+    # Rows, null ids and repeated rows included, come as often as mix() says.
+    assert mixing.mixed(docs).columns == docs.columns
+    taken = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r.doc_id, r["size"]] += r.copies
+    assert collections.Counter((r.doc_id, len(words(r.text))) for r in mixing.mixed(docs).collect()) == +taken
+
+
+def test_mixing_of_repeated_rows(spark):
+    """A third of all rows is one row, repeated, and another third has one id: each source still comes within half a document of its target."""
+    one = spark.range(900).selectExpr("7L as doc_id", "repeat('a ', 10) as text", "'x' as source")
+    same_id = spark.range(900).selectExpr("8L as doc_id", "repeat('b ', cast(id % 7 as int)) || id as text", "if(id % 2 = 0, 'x', 'y') as source")
+    rest = spark.range(900).selectExpr("100 + id as doc_id", "repeat('c ', cast(id % 9 as int)) as text", "if(id % 4 = 0, null, 'y') as source")
+    docs = one.unionAll(same_id).unionAll(rest)
+    for frame in (docs, one):
+        by_source = mixing.mix(frame).groupBy("source_size", "target").sum("taken").collect()
+        assert all(abs(r[2] - r.target) <= 5.001 for r in by_source)
+    assert mixing.mixed(docs).count() == mixing.mix(docs).agg({"copies": "sum"}).first()[0]
+
+
+def test_mixing_by_weights(spark):
+    """Unequal inclusion odds: documents of twice the weight come twice as often."""
+    docs = spark.range(6000).selectExpr("id as doc_id", "'w w w w' as text", "if(id % 2 = 0, 'a', 'b') as source", "cast(1 + id % 3 as double) as w")
+    got = mixing.mix(docs, weights=(1, 5), weight_col="w").join(docs.select("doc_id", "source", "w"), "doc_id").toPandas()
+    for _, s in got.groupby("source"):
+        assert abs(s.taken.sum() - s.target.iloc[0]) <= 2
+        share = s.groupby("w").copies.mean()
+        assert abs(share[2] / share[1] - 2) < 0.35 and abs(share[3] / share[1] - 3) < 0.5
 
 
 def plain_classes(rows, threshold=0.8, size=5):
@@ -351,35 +379,49 @@ def spark_hash(*values):
     return signed(seed)
 
 
-def plain_sketch(text, keep):
+def plain_anchors(text):
     t = words(text)
     t = t if len(t) >= 5 else list(text)
     s = [spark_hash(t[i], t[i + 1]) for i in range(len(t) - 1)]
-    found = {spark_hash(s[i], s[i + 2], s[i + 3]) for i in range(len(s) - 3) if min(s[i : i + 4]) in (s[i], s[i + 3])}
-    return sorted(found or ({spark_hash(text)} if text else set()))[:keep]
+    found = [(i, spark_hash(s[i], s[i + 2], s[i + 3])) for i in range(len(s) - 3) if min(s[i : i + 4]) in (s[i], s[i + 3])]
+    return found or ([(0, spark_hash(text))] if text else [])
+
+
+def plain_codes(text):
+    found = plain_anchors(text)
+    return [((at - found[max(0, j - 1)][0]) << 32) | (h & 0xFFFFFFFF) for j, (at, h) in enumerate(found)]
 
 
 def test_fingerprints(docs, rows, empty):
-    keep = 32
-    got = fingerprints.edited_fingerprints(docs, keep=keep).collect()
+    got = fingerprints.edited_fingerprints(docs).collect()
     assert len(got) == len(rows)
     text = {i: t or "" for i, t, *_ in rows if i is not None}
     ids = sorted(text, reverse=True)
     after = dict(zip(ids, ids[1:] + ids[:1], strict=True))
-    like = lambda a, b: len([x for x in sorted({*a, *b})[:keep] if x in a and x in b]) / len(sorted({*a, *b})[:keep]) if a or b else 1.0
-    out = lambda s: "".join(f"{x & (1 << 64) - 1:016X}" for x in s)
+    like = lambda a, b: len({*a} & {*b}) / len({*a, *b}) if a or b else 1.0
+    out = lambda s: "".join(f"{x:09X}" for x in s)
     for r in got:
         if r.doc_id is None:
             continue
         mine, following = text[r.doc_id], text[after[r.doc_id]]
         third = len(mine) // 3
         edited = mine[: len(mine) - third] + following[:third]
-        a, b, c = (plain_sketch(x, keep) for x in (mine, edited, following))
+        a, b, c = map(plain_codes, (mine, edited, following))
+        assert max(x >> 32 for x in [0, *a, *b]) <= fingerprints.K - fingerprints.S
         assert (r.n_chars, r.edited_sha256) == (len(mine), hashlib.sha256(edited.encode()).hexdigest())
         assert (r.fingerprint, r.edited_fingerprint) == (out(a), out(b))
         assert (round(r.near_edited, 9), round(r.near_next, 9)) == (round(like(a, b), 9), round(like(a, c), 9))
     assert fingerprints.edited_fingerprints(empty).count() == 0
-    assert fingerprints.fingerprints(docs).count() == len(rows) and fingerprints.anchors(docs).count() > 0
+
+
+def test_fingerprints_of_rows_and_anchors(docs, rows, empty):
+    from pyspark.sql import functions as F
+
+    got = fingerprints.fingerprints(docs.withColumn("codes", F.lit("x")))
+    assert set(got.columns) == {*docs.columns, "codes", "fingerprint"} and got.count() == len(rows)
+    want = collections.Counter((i, at, h) for i, t, *_ in rows for at, h in plain_anchors(t or ""))
+    assert collections.Counter(map(tuple, fingerprints.anchors(docs).collect())) == want
+    assert fingerprints.anchors(empty).count() == 0 and fingerprints.fingerprints(empty).count() == 0
 
 
 def test_following(spark):
