@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import bi, documents, structure, usage  # noqa: F401  each registers its queries
+from .plans import bi, documents, elements, structure, usage  # noqa: F401  each registers its queries
 from .plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "ranked_bar"

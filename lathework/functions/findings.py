@@ -55,6 +55,11 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.select(id_col, "_x.kind", "_x.line", F.substring(F.replace(line, F.col("_x.secret"), mask), 1, 200).alias("excerpt"))
 
 
+def lines(text: Column) -> Column:
+    """The line of each secret in a text, kind by kind."""
+    return F.transform(F.concat(*(_found(kind, text) for kind in PATTERNS)), lambda x: x["line"])
+
+
 def redacted(text: Column) -> Column:
     """The text with each secret replaced by its kind, kind by kind."""
     out = text

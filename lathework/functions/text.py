@@ -37,8 +37,9 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
 
 def search_tokens(text: Column) -> Column:
     """Distinct lower-case words of at least two characters that are no stop words; none for null."""
-    lowered = F.transform(_all(text, IDENTIFIER), F.lower)
-    return F.array_distinct(F.filter(lowered, lambda w: (F.length(w) >= 2) & ~w.isin(*STOP_WORDS)))
+    # Identifiers hold no blanks, so that all are lowered as one string; shorter ones never match.
+    words = F.split(F.lower(F.array_join(_all(text, "[A-Za-z][A-Za-z0-9_]+"), " ")), " ")
+    return F.array_except(words, F.array(F.lit(""), *map(F.lit, STOP_WORDS)))
 
 
 def identifier_tokens(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import settled
+
 MOST_PALETTE = 4096
 
 
@@ -49,17 +51,23 @@ def nearest(items: DataFrame, item: str, palette: DataFrame, entry: str, distanc
     return found.select(item, F.col(f"_d.{entry}").alias(entry), F.col("_d.distance").alias("distance"))
 
 
-def inherited(nodes: DataFrame, node: str, parent: str, value: str, default=None, most_depth: int = 64) -> DataFrame:
+def inherited(nodes: DataFrame, node: str, parent: str, value: str, default=None) -> DataFrame:
     """node, value: its own or that of the nearest ancestor with one, else the default.
 
-    Each round looks up the parent's answer and its ancestor twice as far, so that depth d takes log2(d)
-    joins. Cycles end with the rounds and give the default.
+    Each round looks up the parent's answer and its ancestor twice as far, so that depth d takes log2(d) joins.
+    Rounds are checkpointed and end when no row waits for an ancestor any more, or only those do that wait in a
+    circle: these get the default.
     """
-    known = nodes.select(F.col(node), F.col(parent).alias("_up"), F.col(value))
-    for _ in range(max(1, most_depth.bit_length())):
+    known = settled(nodes.select(F.col(node), F.when(F.col(value).isNull(), F.col(parent)).alias("_up"), F.col(value)))
+    waiting = known.filter("_up is not null").count()
+    while waiting:
         up = known.select(F.col(node).alias("_n"), F.col("_up").alias("_up2"), F.col(value).alias("_v"))
         joined = known.join(up, known["_up"] == up["_n"], "left")
-        known = joined.select(node, F.when(F.col(value).isNull(), F.col("_up2")).alias("_up"), F.coalesce(value, "_v").alias(value))
+        known = settled(joined.select(node, F.when(F.col(value).isNull() & F.col("_v").isNull(), F.col("_up2")).alias("_up"), F.coalesce(value, "_v").alias(value)))
+        left = known.filter("_up is not null").count()
+        if left == waiting:
+            break
+        waiting = left
     return known.select(node, F.coalesce(F.col(value), F.lit(default)).alias(value))
 
 

@@ -53,6 +53,19 @@ def coverage(df: DataFrame, by: str, fields: list[str]) -> DataFrame:
 
 
 def varying(df: DataFrame, by: str, fields: list[str]) -> DataFrame:
-    """by, field, n_values of the fields that take several values in a group."""
-    counted = df.groupBy(by).agg(*(F.count_distinct(f).alias(f) for f in fields))
+    """by, field, n_values of the fields that take several values in a group. Long values are counted by 128-bit digests."""
+    counted = df.groupBy(by).agg(*(F.count_distinct(F.md5(F.col(f).cast("string"))).alias(f) for f in fields))
     return counted.unpivot(by, fields, "field", "n_values").filter("n_values >= 2")
+
+
+def first_values(df: DataFrame, by: str, field: str, order: str, most: int = 100) -> DataFrame:
+    """by, values: the distinct values of a field in the order in which they first appear, for groups that have 2 to `most` of them."""
+    firsts = df.filter(F.col(field).isNotNull()).groupBy(by, field).agg(F.min(order).alias("_at"))
+    few = firsts.groupBy(by).agg(F.count("*").alias("_n")).filter(F.col("_n").between(2, most)).select(by)
+    lists = firsts.join(few, by).groupBy(by).agg(F.sort_array(F.collect_list(F.struct("_at", field))).alias("_all"))
+    return lists.select(by, F.transform("_all", lambda x: x[field]).alias("values"))
+
+
+def longest(df: DataFrame, by: str, items: str, order: str, name: str = "longest") -> DataFrame:
+    """The longest list of each group, the first of equally long ones."""
+    return df.groupBy(by).agg(F.max_by(items, F.struct(F.size(items), -F.col(order))).alias(name))

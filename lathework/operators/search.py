@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import phrases
 from ..functions.text import STOP_WORDS, identifier_tokens, search_tokens
+from .graphs import settled
 
 K1, B = 1.5, 0.75
 
@@ -20,14 +22,14 @@ def query_tokens(query: str) -> list[str]:
 def bm25(docs: DataFrame, query: str, top: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score of the rows that share a word with the query, best first; words count once a row.
 
-    Only the query's words are exploded and shuffled; counts of all rows meet in one row of totals. Rows of
-    equal score stand in order of id.
+    Texts are read and cut into words once: the counts of each row, a few numbers, are written and serve both the
+    totals (one row) and the scores. Rows of equal score stand in order of id.
     """
     wanted = query_tokens(query)
     if not wanted:
         return docs.select(F.col(id_col), F.lit(0.0).alias("score")).limit(0)
     tokens = docs.select(F.col(id_col), search_tokens(F.col(text_col)).alias("_tokens"))
-    slim = tokens.select(id_col, F.size("_tokens").alias("_len"), F.array_intersect("_tokens", F.array(*map(F.lit, wanted))).alias("_found"))
+    slim = settled(tokens.select(id_col, F.size("_tokens").alias("_len"), F.array_intersect("_tokens", F.array(*map(F.lit, wanted))).alias("_found")))
     found = [F.array_contains("_found", w) for w in wanted]
     total = slim.agg(F.count("*").alias("_n"), F.avg("_len").alias("_mean"), *(F.count_if(hit).alias(f"_df{i}") for i, hit in enumerate(found)))  # one row
     scored = slim.filter(F.size("_found") > 0).join(F.broadcast(total))
@@ -38,12 +40,49 @@ def bm25(docs: DataFrame, query: str, top: int | None = None, id_col: str = "doc
     return ranked.limit(top) if top else ranked
 
 
-def with_confidence(ranked: DataFrame, least: float = 1.5, gap: float = 0.1) -> DataFrame:
-    """Scores of a top-k over the best (or `least`), and whether the two best are too close to tell apart."""
-    order = Window.orderBy(F.desc("score"))  # over a bounded top-k
-    best = F.greatest(F.max("score").over(Window.partitionBy()), F.lit(least))
-    out = ranked.withColumn("confidence", F.col("score") / best)
-    return out.withColumn("ambiguous", (F.row_number().over(order) == 1) & (F.col("confidence") - F.lead("confidence").over(order) < gap))
+def with_confidence(ranked: DataFrame, ties: list, least: float = 1.5, gap: float = 0.1) -> DataFrame:
+    """Scores of a bounded top-k over the best (or `least`), and whether the best two are too close to tell apart.
+
+    ties order equal scores. The windows run in one task, so rank and limit first.
+    """
+    whole = Window.partitionBy(F.lit(0))
+    order = whole.orderBy(F.desc("score"), *ties)
+    out = ranked.withColumn("confidence", F.col("score") / F.greatest(F.max("score").over(whole), F.lit(least)))
+    close = F.coalesce(F.col("confidence") - F.lead("confidence").over(order) < gap, F.lit(False))
+    return out.withColumn("ambiguous", (F.row_number().over(order) == 1) & close)
+
+
+def scoped(elements: DataFrame, pages: tuple[int, int] | list[int] | None = None, kinds: list[str] | None = None, page: str = "page", kind: str = "kind") -> DataFrame:
+    """Elements of a list of pages or a range (a pair, both ends included) and of some kinds."""
+    out = elements
+    if pages is not None:
+        out = out.filter(F.col(page).between(*pages) if isinstance(pages, tuple) else F.col(page).isin(*pages))
+    return out if kinds is None else out.filter(F.col(kind).isin(*kinds))
+
+
+def ranked_elements(
+    elements: DataFrame, request: str, viewing: int | None = None, selected: int | None = None, pages=None, kinds: list[str] | None = None, least: float = 0.0, top: int = 5, id_col: str = "element_id"
+) -> DataFrame:
+    """Elements(id, page, kind, place, z) that a request means: id, page, score, confidence, ambiguous.
+
+    A request that is a pronoun means the selected element. Else a named kind counts 1, a named place 0.5, the
+    viewed page 1, one next to it 0.3, and the viewed page once more 0.2 beside a selected element. Best first,
+    then by z from the top, page and id; those below the least confidence go before the limit.
+    """
+    asked = elements.sparkSession.range(1).select(phrases.named_types(F.lit(request)), phrases.named_places(F.lit(request)), phrases.is_pronoun(F.lit(request))).first()
+    here = scoped(elements, pages, kinds)
+    page = F.col("page")
+    if asked[2] and selected is not None and viewing is not None:
+        return with_confidence(here.filter((F.col(id_col) == selected) & (page == viewing)).select(id_col, "page", F.lit(1.0).alias("score")), ["page"], least=1.0)
+    near = F.lit(0.0) if viewing is None else F.when(page == viewing, 1.2 if selected is not None else 1.0).when(F.abs(page - viewing) == 1, 0.3).otherwise(0.0)
+    if viewing is not None and selected is not None:
+        near = near - F.when((page == viewing) & (F.col(id_col) == selected), 0.2).otherwise(0.0)
+    raw = F.when(F.col("kind").isin(*asked[0]), 1.0).otherwise(0.0) + near + F.when(F.col("place").isin(*asked[1]), 0.5).otherwise(0.0)
+    scored = here.select(id_col, "page", "z", raw.alias("score")).filter("score > 0")
+    best = scored.agg(F.max("score").alias("_best"))  # one row
+    kept = scored.join(F.broadcast(best)).filter(F.col("score") / F.greatest("_best", F.lit(1.5)) >= least).drop("_best")
+    shown = kept.orderBy(F.desc("score"), F.desc("z"), "page", id_col).limit(top)
+    return with_confidence(shown, ["page", id_col])
 
 
 def retrieve(chunks: DataFrame, query_text: str, top: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

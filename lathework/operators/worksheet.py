@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,14 +55,61 @@ def with_totals(df: DataFrame, dimensions: list[str], measures: list[Measure], c
     return grouped.agg(*(m.column for m in measures), F.grouping_id().cast("int").alias("grouping_level"))
 
 
-def with_fixed(df: DataFrame, keys: list[str], measure: Measure) -> DataFrame:
-    """Each row with the measure over all rows of its keys, whatever else is shown. Null keys are a group."""
-    fixed = df.groupBy(*keys).agg(measure.column)
-    renamed = fixed.select(*(F.col(k).alias(f"_{k}") for k in keys), measure.name)
+def with_fixed(df: DataFrame, keys: list[str], *measures: Measure) -> DataFrame:
+    """Each row with the measures over all rows of its keys, whatever else is shown. Null keys are a group."""
+    fixed = df.groupBy(*keys).agg(*(m.column for m in measures))
+    renamed = fixed.select(*(F.col(k).alias(f"_{k}") for k in keys), *(m.name for m in measures))
     same = [df[k].eqNullSafe(renamed[f"_{k}"]) for k in keys]
     return df.join(renamed, same, "left").drop(*(f"_{k}" for k in keys))
 
 
+def with_included(df: DataFrame, shown: list[str], further: list[str], measure: Measure, outer: Measure) -> DataFrame:
+    """A finer level than is shown: the measure by the shown and further keys, then the outer aggregate of it by the shown keys."""
+    return df.groupBy(*shown, *further).agg(measure.column).groupBy(*shown).agg(outer.column)
+
+
+def with_excluded(df: DataFrame, shown: list[str], without: list[str], measure: Measure, excluded: Measure) -> DataFrame:
+    """The measure by the shown keys beside the other one by those of them that are not left out."""
+    kept = [k for k in shown if k not in without]
+    coarse = df.groupBy(*kept).agg(excluded.column).select(*(F.col(k).alias(f"_{k}") for k in kept), excluded.name)
+    fine = df.groupBy(*shown).agg(measure.column)
+    joined = fine.join(coarse, [fine[k].eqNullSafe(coarse[f"_{k}"]) for k in kept], "left") if kept else fine.join(F.broadcast(coarse))
+    return joined.drop(*(f"_{k}" for k in kept))
+
+
+def members(column: Column, rule: dict) -> Column:
+    """A worksheet filter over members, which may nest: {"member": v}, {"union": [...]}, {"except": [all, without]},
+    {"range": (low, high)}, {"all": True}. A range without an end is open there; null members are only in "all"."""
+    (kind, of), *_ = rule.items()
+    if kind == "member":
+        return F.coalesce(column == of, F.lit(False))
+    if kind == "union":
+        return reduce(Column.__or__, (members(column, r) for r in of), F.lit(False))
+    if kind == "except":
+        return members(column, of[0]) & ~members(column, of[1])
+    if kind == "range":
+        low, high = of
+        return F.coalesce((F.lit(True) if low is None else column >= low) & (F.lit(True) if high is None else column <= high), F.lit(False)) & column.isNotNull()
+    if kind == "all":
+        return F.lit(True)
+    raise ValueError(f"unknown filter {kind}")
+
+
+def top_in_context(df: DataFrame, context: Column, dimension: Column, measure: Measure, top: int) -> DataFrame:
+    """The rows of the context filter whose dimension is among its `top` by the measure: the filter works before the ranking."""
+    inside = df.filter(context)
+    best = inside.filter(dimension.isNotNull()).groupBy(dimension.alias("_best")).agg(measure.column).orderBy(F.desc_nulls_last(measure.name), "_best").limit(top)
+    return inside.join(F.broadcast(best.select("_best")), dimension == F.col("_best"), "left_semi")
+
+
+def looked_up(table: DataFrame, value: str, order: list[Column], within: list[str], away: int) -> DataFrame:
+    """Adds what the window has: the value so many rows on (or back), its least, sum and mean, and the row's percentile rank."""
+    whole = Window.partitionBy(*within)
+    v, ordered = F.col(value), whole.orderBy(*order)
+    at = F.lead(v, away).over(ordered) if away >= 0 else F.lag(v, -away).over(ordered)
+    return table.select("*", at.alias("looked_up"), F.min(v).over(whole).alias("window_min"), F.sum(v).over(whole).alias("window_sum"), F.min(v).over(ordered.rowsBetween(-1, 1)).alias("near_min"), F.percent_rank().over(whole.orderBy(v)).alias("percentile"))
+
+
 def table_calculations(table: DataFrame, value: str, order: list[Column], within: list[str] | None = None) -> DataFrame:
     """Adds what worksheets calculate over the shown rows of each partition: running totals, shares, ranks, neighbours.
 

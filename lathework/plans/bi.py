@@ -68,8 +68,7 @@ def worksheet_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with c as (select o_custkey, sum(o_totalprice) as total, min(o_orderdate) as first from orders group by 1)
     select year(first)::int as cohort, count(*) as orders, round(avg(total), 2) as mean_customer_total from orders join c using (o_custkey) group by 1""")
 def fixed_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = worksheet.with_fixed(table(spark, sf_dir, "orders"), ["o_custkey"], Measure("customer_total", F.col("o_totalprice")))
-    orders = worksheet.with_fixed(orders, ["o_custkey"], Measure("first", F.col("o_orderdate"), "min"))
+    orders = worksheet.with_fixed(table(spark, sf_dir, "orders"), ["o_custkey"], Measure("customer_total", F.col("o_totalprice")), Measure("first", F.col("o_orderdate"), "min"))
     out = orders.groupBy(F.year("first").alias("cohort")).agg(F.count("*").alias("orders"), F.avg("customer_total").alias("mean_customer_total"))
     return out.withColumn("mean_customer_total", F.round("mean_customer_total", 2))
 

@@ -77,7 +77,7 @@ def composed_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     everything = groups("region", name("r", "r_regionkey"), F.lit(None).cast("string"), region * 10, region * 5, F.lit(2), F.lit(0.5))
     everything = everything.unionByName(groups("nation", name("n", "n_nationkey"), name("r", "n_regionkey"), nation, nation * 2, F.lit(0.25), F.lit(4)))
     everything = everything.unionByName(groups("customer", name("c", "c_custkey"), name("n", "c_nationkey"), customer % 16, F.lit(3), F.lit(0.5), F.lit(1)))
-    return graphs.composed(everything, most_depth=4)
+    return graphs.composed(everything)
 
 
 def _routed_sql() -> str:
@@ -108,6 +108,5 @@ def _findings_sql() -> str:
 @query(_findings_sql())
 def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = findings.findings(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
-    clean = docs.select("doc_id", F.md5(findings.redacted(F.col("text"))).alias("clean_md5"))
-    return clean.join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0).cast("long")).alias("findings"), "first_line", "clean_md5")
+    found = docs.select("doc_id", "text", findings.lines(F.col("text")).alias("lines"))
+    return found.select("doc_id", F.size("lines").cast("long").alias("findings"), F.array_min("lines").alias("first_line"), F.md5(findings.redacted(F.col("text"))).alias("clean_md5"))
