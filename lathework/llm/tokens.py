@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 from dataclasses import dataclass
@@ -20,12 +21,19 @@ MARKS[:0x21], MARKS[0x7F], MARKS[ord("'")] = False, False, False
 
 @dataclass
 class Pieces:
-    """Pieces of consecutive texts: text d has the pieces first[d]:first[d+1], and piece i is keys[code[i]]."""
+    """Pieces of consecutive texts: text d has the pieces first[d]:first[d+1], and piece i is distinct[code[i]]."""
 
     code: np.ndarray
-    keys: list[bytes]
+    distinct: pa.LargeBinaryArray
     first: np.ndarray
 
+    def cut_from_others(self) -> np.ndarray:
+        """Whether each distinct piece, between others of this sort, is cut from them: it begins with white space and ends with another ASCII character."""
+        _, offsets, data = self.distinct.buffers()
+        offsets, data = np.frombuffer(offsets, np.int64)[: len(self.distinct) + 1], np.frombuffer(data, np.uint8)
+        last = data[offsets[1:] - 1]
+        return WHITE[data[offsets[:-1]]] & (last < 0x80) & ~WHITE[last]
+
 
 def find_pieces(texts: pa.Array) -> Pieces:
     """Cuts texts where the byte-level pre-tokenizer always cuts them: at white space after an ASCII character that is none,
@@ -43,7 +51,7 @@ def find_pieces(texts: pa.Array) -> Pieces:
     bounds = np.append(start, len(data)).astype(np.int64)
     column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
     coded = column.dictionary_encode()
-    return Pieces(coded.indices.to_numpy(), coded.dictionary.to_pylist(), np.searchsorted(start, offsets))
+    return Pieces(coded.indices.to_numpy(), coded.dictionary, np.searchsorted(start, offsets))
 
 
 class Encoder:
@@ -69,18 +77,16 @@ class Encoder:
         self.ids = np.zeros(0, self.dtype)
         self.bounds = np.zeros(1, np.int64)
 
-    def learn(self, keys: list[bytes]) -> None:
-        """Encodes further pieces, many in one text where they are cut from one another there, too."""
-        cut = lambda k: WHITE[k[0]] and k[-1] < 0x80 and not WHITE[k[-1]]
-        joint = [k for k in keys if cut(k)]
-        alone = [k for k in keys if not cut(k)]
+    def learn(self, joint: list[bytes], alone: list[bytes]) -> None:
+        """Encodes further pieces; those that are cut from one another there, too, many in one text."""
         texts = [b"".join(joint[i : i + self.together]) for i in range(0, len(joint), self.together)] + alone
         found = np.concatenate([np.array(x, self.dtype) for x in self.encode([t.decode() for t in texts])])
-        ends, wanted = np.cumsum(self.n_bytes[found]), np.cumsum([len(k) for k in joint + alone])
+        keys = joint + alone
+        ends, wanted = np.cumsum(self.n_bytes[found]), np.cumsum(list(map(len, keys)))
         last = np.searchsorted(ends, wanted)
         if not np.array_equal(ends[np.minimum(last, len(ends) - 1)], wanted):
             raise ValueError("the tokenizer is not byte-level BPE that cuts texts at white space")
-        self.known.update(zip(joint + alone, range(len(self.known), len(self.known) + len(keys)), strict=True))
+        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + last + 1])
         self.ids = np.concatenate([self.ids, found])
 
@@ -91,10 +97,15 @@ class Encoder:
             return np.zeros(0, self.dtype), np.zeros(len(pieces.first), np.int64), pieces
         if len(self.known) > self.limit:
             self.forget()
-        fresh = [k for k in pieces.keys if k not in self.known]
-        if fresh:
-            self.learn(fresh)
-        piece = np.fromiter(map(self.known.__getitem__, pieces.keys), np.int64, len(pieces.keys))[pieces.code]
+        keys = pieces.distinct.to_pylist()
+        at = np.fromiter(map(self.known.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            cut = pieces.cut_from_others()[fresh]
+            joint, alone = fresh[cut], fresh[~cut]
+            at[np.concatenate([joint, alone])] = np.arange(len(self.known), len(self.known) + len(fresh))
+            self.learn([keys[i] for i in joint.tolist()], [keys[i] for i in alone.tolist()])
+        piece = at[pieces.code]
         counts = (self.bounds[1:] - self.bounds[:-1])[piece]
         ends = np.cumsum(counts)
         ids = self.ids[np.repeat(self.bounds[piece] - ends + counts, counts) + np.arange(ends[-1])]
