@@ -13,27 +13,37 @@ from lathework.llm.toxicity import without_toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from the labelled ones, rejects go."""
+    """Documents that the classifier, learnt from the labelled ones, rejects go.
+
+    All other rows stay, with null ids and texts and repeated rows among them. An empty table stays empty.
+    """
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near-duplicates stays."""
+    """The document with the smallest id of each class of near-duplicates stays.
+
+    Rows with a null id stay; of rows that share an id one stays; a null text is a copy of empty ones. An empty
+    table stays empty.
+    """
     return first_of_each_class(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; found secrets are masked in its text, and n_chars follows."""
+    """Every document stays; found secrets are masked in its text, and n_chars follows (null for a null text)."""
     return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as the mix takes it: up to three times, or not at all."""
+    """Each document stands as often as the mix takes it: up to three times, or not at all.
+
+    Null sources are one source; texts without words have size 0 and may be taken at no cost. An empty table stays empty.
+    """
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
+    """Pieces of documents in sequences of 2048 tokens; a null text is empty. An empty table gives no piece."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=2048)

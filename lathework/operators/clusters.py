@@ -104,3 +104,12 @@ def line_grid(lines: DataFrame, page: str, tolerance: float = 1.0) -> DataFrame:
     across, down = lines.filter("across"), lines.filter("not across")
     gaps = lambda found, a, b: found.select(page, F.col("at").alias(a), F.lead("at").over(Window.partitionBy(page).orderBy("at")).alias(b)).filter(F.col(b).isNotNull())
     return gaps(crossed(down, across), "x0", "x1").join(gaps(crossed(across, down), "y0", "y1"), page)
+
+
+def gap_columns(rows: DataFrame, page: str, x: str, gap: float) -> DataFrame:
+    """page, col, x0, x1, starts: distinct positions of each page in columns, cut where they lie more than `gap` apart."""
+    order = Window.partitionBy(page).orderBy(x)
+    distinct = rows.select(page, F.col(x).cast("double").alias(x)).distinct()
+    jumps = distinct.withColumn("_jump", F.coalesce(F.col(x) - F.lag(x).over(order) > gap, F.lit(False)).cast("int"))
+    numbered = jumps.withColumn("col", F.sum("_jump").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(page, "col").agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.count("*").alias("starts"))

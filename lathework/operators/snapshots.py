@@ -17,6 +17,14 @@ def diff(before: DataFrame, after: DataFrame, keys: list[str], fields: list[str]
     return out.filter("change is not null")
 
 
+def summaries(changes: DataFrame, by: str, change: str, what: str) -> DataFrame:
+    """by, summary: how many of each change there are, in words; "No changes." where none is."""
+    counted = changes.groupBy(by).agg(*(F.count_if(F.col(change) == kind).alias(kind) for kind in ("added", "modified", "removed")))
+    said = lambda kind: F.when(F.col(kind) > 0, F.concat(F.col(kind).cast("string"), F.lit(f" {what}"), F.when(F.col(kind) > 1, "s").otherwise(""), F.lit(f" {kind}")))
+    words = F.concat_ws(", ", *(said(kind) for kind in ("added", "modified", "removed")))
+    return counted.select(by, F.when(words == "", "No changes.").otherwise(F.concat(words, F.lit("."))).alias("summary"))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The table after new rows replace those of their keys; a null in a new row keeps the old value."""
     rest = [c for c in old.columns if c not in keys]

@@ -27,17 +27,28 @@ def without_repeats(events: DataFrame, keys: list[str], ts: str, within: str = "
     return events.withWatermark(ts, within).dropDuplicatesWithinWatermark(keys)
 
 
+def latest_snapshots(events: DataFrame, key: str, ts: str, value: str, every: str = "5 seconds", late: str = "1 minute") -> DataFrame:
+    """key, saved_at, value: the last value of each key in each stretch of time, one save instead of one a change."""
+    grouped = events.withWatermark(ts, late).groupBy(F.col(key), F.window(ts, every))
+    return grouped.agg(F.max_by(value, ts).alias("value")).select(key, F.col("window.end").alias("saved_at"), "value")
+
+
+def _take(tokens: float, last: float | None, at: float, capacity: float, rate: float) -> tuple[float, float, bool]:
+    """A bucket's tokens and time after a request, and whether it was accepted."""
+    if last is not None:
+        tokens = min(capacity, tokens + max(0.0, at - last) * rate)
+    accepted = tokens >= 1
+    return tokens - accepted, at if last is None else max(at, last), accepted
+
+
 def _bucket(capacity: float, rate: float):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tokens, last = state.get if state.exists else (capacity, None)
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"], kind="stable")
         accepted = []
         for at in rows["at"]:
-            if last is not None:
-                tokens = min(capacity, tokens + max(0.0, at - last) * rate)
-            last = at if last is None else max(at, last)
-            accepted.append(tokens >= 1)
-            tokens -= 1.0 if accepted[-1] else 0.0
+            tokens, last, ok = _take(tokens, last, at, capacity, rate)
+            accepted.append(ok)
         state.update((tokens, last))
         yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"], "accepted": accepted})
 
@@ -50,3 +61,21 @@ def token_bucket(requests: DataFrame, capacity: float, rate: float) -> DataFrame
     A bucket starts full, gains `rate` tokens a second up to its capacity, and an accepted request takes one.
     """
     return requests.groupBy("key").applyInPandasWithState(_bucket(capacity, rate), "key long, event_id long, accepted boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def token_bucket_table(requests: DataFrame, capacity: float, rate: float) -> DataFrame:
+    """The same of a table: keys are dealt and sorted by Spark, and a task reads its rows in order, holding one bucket at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, tokens, last = None, capacity, None
+        for rows in batches:
+            accepted = []
+            for k, at in zip(rows["key"], rows["at"], strict=True):
+                if k != key:
+                    key, tokens, last = k, capacity, None
+                tokens, last, ok = _take(tokens, last, at, capacity, rate)
+                accepted.append(ok)
+            yield pd.DataFrame({"key": rows["key"], "event_id": rows["event_id"], "accepted": accepted})
+
+    ordered = requests.filter("key is not null").select("key", "event_id", "at").repartition("key").sortWithinPartitions("key", "at", "event_id")
+    return ordered.mapInPandas(run, "key long, event_id long, accepted boolean")
