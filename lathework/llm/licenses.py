@@ -27,6 +27,20 @@ SENTENCES = {
     "bsd_grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "bsd_source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "bsd_name": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "isc_grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl_free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version #.# of the License, or (at your option) any later version",
+    "lgpl_hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "lgpl_details": "See the GNU Lesser General Public License for more details",
+    "agpl_free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version # of the License, or (at your option) any later version",
+    "agpl_details": "See the GNU Affero General Public License for more details",
+    "mpl_form": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
+    "fsf_verbatim": "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed",
+    "gpl_title": "GNU GENERAL PUBLIC LICENSE Version #, # June #",
+    "lgpl_title": "GNU LESSER GENERAL PUBLIC LICENSE Version #, # June #",
+    "agpl_title": "GNU AFFERO GENERAL PUBLIC LICENSE Version #, # November #",
+    "apache_title": "Apache License Version #.#, January #",
+    "mpl_title": "Mozilla Public License Version #.#",
     "cc_by": "Licensed under CC BY #.#",
     "cc_by_sa": "Licensed under CC BY-SA #.#",
     "cc_by_nc": "Licensed under CC BY-NC #.#",
@@ -38,16 +52,21 @@ SENTENCES = {
 #: Further forms in which headers have a known sentence.
 FORMS = (
     ("apache_notice", "Licensed under the Apache License, Version #.# (the \"License\")"),
+    ("bsd_name", "Neither the name of copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("lgpl_free", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version # of the License, or (at your option) any later version"),
+    ("gpl_free", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version # of the License, or (at your option) any later version"),
+    ("lgpl_title", "GNU LESSER GENERAL PUBLIC LICENSE Version #.#, February #"),
     ("apache_copy", "You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-#.#"),
 )
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A licence is found where the sentences occur in this order; other sentences may stand between them."""
+    """A licence is found where the sentences occur in this order, whatever stands between them, and those of `without` nowhere."""
 
     licence: str
     sentences: tuple[str, ...]
+    without: tuple[str, ...] = ()
 
 
 RULES = (
@@ -58,7 +77,17 @@ RULES = (
     Rule("MIT-text", ("mit_grant", "mit_condition")),
     Rule("GPL", ("gpl_notice",)),
     Rule("GPL-header", ("gpl_free", "gpl_hope", "gpl_details")),
-    Rule("BSD-2-Clause-text", ("bsd_grant", "bsd_source", "bsd_binary")),
+    Rule("GPL-text", ("gpl_title", "fsf_verbatim")),
+    Rule("LGPL-header", ("lgpl_free", "lgpl_hope", "lgpl_details")),
+    Rule("LGPL-text", ("lgpl_title", "fsf_verbatim")),
+    Rule("AGPL-header", ("agpl_free", "gpl_hope", "agpl_details")),
+    Rule("AGPL-text", ("agpl_title", "fsf_verbatim")),
+    Rule("Apache-text", ("apache_title",)),
+    Rule("MPL", ("mpl_form",)),
+    Rule("MPL-text", ("mpl_title",)),
+    Rule("ISC-text", ("isc_grant",)),
+    Rule("BSD-2-Clause-text", ("bsd_grant", "bsd_source", "bsd_binary"), without=("bsd_name",)),
+    Rule("BSD-3-Clause-text", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_name")),
     Rule("CC-BY", ("cc_by",)),
     Rule("CC-BY-SA", ("cc_by_sa",)),
     Rule("CC-BY-NC", ("cc_by_nc",)),
@@ -125,7 +154,7 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES, fo
         for name in rule.sentences:
             place = F.array_position(F.slice("ids", F.greatest(at, F.lit(0)) + 1, F.size("ids")), name)
             at = F.when((at >= 0) & (place > 0), at + place).otherwise(-1).cast("int")
-        return at > 0
+        return (at > 0) & ~F.arrays_overlap("ids", F.array(*map(F.lit, rule.without)).cast("array<string>"))
 
     licences = F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(matched(r), F.lit(r.licence)) for r in rules)))))
     return rows.select("doc_id", F.array_join("ids", ",").alias("sentence_ids"), F.array_join(licences, ",").alias("licences"), F.size("ids").cast("long").alias("n_sentences"))

@@ -131,7 +131,8 @@ def _licenses_sql() -> str:
         for name in rule.sentences:
             place = f"list_position(ids[({at}) + 1:], '{name}')"
             at = f"({at}) + nullif({place}, 0)"
-        rules.append(f"case when ({at}) > 0 then '{rule.licence}' end")
+        without = "".join(f" and not list_contains(ids, '{name}')" for name in rule.without)
+        rules.append(f"case when ({at}) > 0{without} then '{rule.licence}' end")
     return f"""
         with k(sentence, id) as (values {known}),
         d as (select doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '{ends}')) as part, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '{ends}'), 1) as i from documents),

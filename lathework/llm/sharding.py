@@ -24,10 +24,12 @@ def fill_table(shards: list[str], slots: int) -> list[int]:
     if not shards or len(set(shards)) < len(shards) or not is_prime(slots) or not len(shards) <= slots <= MOST_SLOTS:
         raise ValueError(f"distinct shards and a prime number of slots from their count to {MOST_SLOTS} are needed")
     digests = [hashlib.md5(name.encode()).hexdigest() for name in shards]
-    at = [int(d[:8], 16) % slots for d in digests]
-    skips = [int(d[8:16], 16) % (slots - 1) + 1 for d in digests]
-    table = [-1] * slots
-    free = slots
+    return claim([int(d[:8], 16) % slots for d in digests], [int(d[8:16], 16) % (slots - 1) + 1 for d in digests], slots)
+
+
+def claim(offsets: list[int], skips: list[int], slots: int) -> list[int]:
+    """The number of the shard that claims each slot, one turn after the other."""
+    at, table, free = list(offsets), [-1] * slots, slots
     while free:
         for shard, skip in enumerate(skips):
             while table[at[shard]] >= 0:
