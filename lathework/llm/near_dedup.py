@@ -74,14 +74,29 @@ def shingles(words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashed, owner
 
 
-def _sign(batches, size: int, bands: int, rows: int):
+def counted(hashed: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The elements by owner and hash, and how many of the same hash each has before it."""
+    order = np.lexsort((hashed, owner))
+    hashed, owner = hashed[order], owner[order]
+    new = np.ones(len(hashed), bool)
+    new[1:] = (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1])
+    at = np.arange(len(hashed))
+    return hashed, owner, at - np.maximum.accumulate(np.where(new, at, 0))
+
+
+def _sign(batches, size: int, bands: int, rows: int, weighted: bool):
     for batch in batches:
         for part in slices(batch):
             words = find_words(part.column("text"))
             hashed, owner = shingles(words, size)
             n = len(part)
-            # Repeats of a shingle in a text throw the same darts; only the count of darts depends on them.
-            ranks = dart_signatures(hashed, np.ones(len(hashed)), owner, n, bands * rows).view(U64).reshape(n, bands, rows)
+            # Unweighted, repeats of a shingle in a text throw the same darts; only the count of darts depends on them.
+            weights = np.ones(len(hashed))
+            if weighted:
+                hashed, owner, nth = counted(hashed, owner)
+                last = np.append(nth[1:] == 0, True) if len(nth) else nth.astype(bool)
+                hashed, owner, weights = hashed[last], owner[last], nth[last] + 1.0
+            ranks = dart_signatures(hashed, weights, owner, n, bands * rows).view(U64).reshape(n, bands, rows)
             keys = np.broadcast_to(np.arange(bands, dtype=U64) * BAND, (n, bands))
             for j in range(rows):
                 keys = mix(keys * U64(STEP) + ranks[:, :, j])
@@ -95,19 +110,19 @@ def _sign(batches, size: int, bands: int, rows: int):
             )
 
 
-def _sets(batches, size: int):
+def _sets(batches, size: int, weighted: bool):
+    """The distinct shingles of each text; weighted, a further occurrence of one is an element of its own."""
     for batch in batches:
         for part in slices(batch):
-            hashed, owner = shingles(find_words(part.column("text")), size)
-            order = np.lexsort((hashed, owner))
-            hashed, owner = hashed[order], owner[order]
-            new = np.ones(len(hashed), bool)
-            new[1:] = (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1])
+            hashed, owner, nth = counted(*shingles(find_words(part.column("text")), size))
+            new = nth == 0
+            if weighted:
+                hashed, new = np.where(new, hashed, mix(hashed + nth.astype(U64) * U64(STEP))), np.ones(len(nth), bool)
             offsets = np.searchsorted(owner[new], np.arange(len(part) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed[new].view(np.int64)))], names=["doc_id", "elements"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float, weighted: bool) -> DataFrame:
     """Those of pairs(a, b) whose shingle sets have at least the wanted Jaccard similarity.
 
     texts has the documents' texts, or already their sets as elements.
@@ -116,7 +131,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     sets = texts.join(ids, "doc_id", "left_semi")
     if "elements" not in texts.columns:
-        sets = sets.mapInArrow(lambda batches: _sets(batches, size), "doc_id long, elements array<long>").dropDuplicates(["doc_id"])
+        sets = sets.mapInArrow(lambda batches: _sets(batches, size, weighted), "doc_id long, elements array<long>").dropDuplicates(["doc_id"])
     sets = written(sets, "sets")
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("elements").alias(f"of_{c}"))
     common = F.size(F.array_intersect("of_a", "of_b"))
@@ -171,11 +186,12 @@ def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(roots.join(classes.select("id"), "id", "left_anti")), "classes")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 32, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 32, rows: int = 6, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, copy_of (smallest id with the same text) and class_id (smallest id of its class).
 
     Classes are the connected components of links between documents whose sets of `size`-word shingles
-    have a Jaccard similarity of at least `threshold`, verified exactly. Candidates share a band of the
+    have a Jaccard similarity of at least `threshold`, verified exactly; weighted, shingles weigh as often as they
+    occur, and the similarity is the sum of the lesser weights over that of the greater ones. Candidates share a band of the
     signature. At the defaults a pair of similarity 0.8 misses every band with probability 6e-5.
     Within a bucket, documents are compared with the smallest id, not each with each. Documents of buckets
     that then still hold several classes are met again at their rarest shingles, where any pair of the wanted
@@ -188,7 +204,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     known = docs.filter("doc_id is not null")
-    signed = written(known.mapInArrow(lambda batches: _sign(batches, size, bands, rows), "doc_id long, text_key binary, bands array<long>"), "signed")
+    signed = written(known.mapInArrow(lambda batches: _sign(batches, size, bands, rows, weighted), "doc_id long, text_key binary, bands array<long>"), "signed")
     copies = written(signed.groupBy("text_key").agg(F.min("doc_id").alias("copy_of"), F.max("doc_id").alias("other")).filter("copy_of < other").drop("other"), "copies")
     members = signed.join(copies, "text_key", "left").select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"), "bands")
     members = written(members, "members")
@@ -199,10 +215,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     buckets = written(entries.join(full, "bucket").select("bucket", "doc_id", "centre"), "buckets")
     remove(full)
     stars = buckets.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-    classes = connected_components(_verified(stars, known, size, threshold))
+    classes = connected_components(_verified(stars, known, size, threshold, weighted))
 
     mixed = _mixed(buckets.select(F.col("bucket").alias("place"), "doc_id"), classes)
-    rest = written(known.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(lambda batches: _sets(batches, size), "doc_id long, elements array<long>").dropDuplicates(["doc_id"]), "rest")
+    rest = written(known.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(lambda batches: _sets(batches, size, weighted), "doc_id long, elements array<long>").dropDuplicates(["doc_id"]), "rest")
     open_ = written(_prefixes(rest, threshold), "prefixes")
     remove(buckets)
     # Members become centres in order of a random number, so a place needs no sorting: upto is the share asked so far.
@@ -218,7 +234,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
         centres = written(centres.select("place", F.col("doc_id").alias("centre"), F.col("component").alias("other"), F.col("n").alias("centre_n"), F.col("left").alias("centre_left")), "centres")
         possible = (F.col("component") != F.col("other")) & (_needed(F.col("n"), F.col("centre_n"), threshold) <= F.least("left", "centre_left"))
         pairs = open_.join(centres, "place").filter(possible).select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-        classes = _merged(classes, _verified(pairs, rest, size, threshold))
+        classes = _merged(classes, _verified(pairs, rest, size, threshold, weighted))
         asked = written(asked.unionByName(now.select("place", F.col("share").alias("upto"))).groupBy("place").agg(F.max("upto").alias("upto")), "asked")
         open_, more = open_.drop("component"), more * 8
     classes = classes.withColumnRenamed("id", "copy_of")

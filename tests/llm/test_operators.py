@@ -324,6 +324,25 @@ def test_near_duplicate_chains(spark):
     assert {r.doc_id: r.class_id for r in got} == plain_classes(rows)
 
 
+def test_near_duplicates_by_weights(spark):
+    """Texts of one set of shingles, repeated more or less often: alike as sets, alike by weight only in pairs."""
+    line = [" ".join(f"a{i}x{j}" for j in range(30)) for i in range(8)]
+    bags = [[5, 1], [5, 1, 1], [1, 5], [1, 1, 5, 5], [9, 9], [1, 1, 1, 1, 1, 1, 1, 5], [1, 1, 1, 1, 1, 1, 5]]
+    rows = [(i, " ".join(line[x % 8] for x in bag)) for i, bag in enumerate(bags)]
+
+    def plain(threshold=0.8):
+        bag = {i: collections.Counter(zip(*(words(t)[d:] for d in range(5)), strict=False)) for i, t in rows}
+        label = {i: i for i in bag}
+        for _ in bag:
+            for a, b in itertools.combinations(bag, 2):
+                if (bag[a] & bag[b]).total() >= threshold * (bag[a] | bag[b]).total():
+                    label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), weighted=True).collect()}
+    assert got == plain() and len(set(got.values())) not in (1, len(rows))
+
+
 def test_near_duplicates_of_places_that_lose_members(spark):
     """A place of over 8 members loses its first two centres after round 1; the 9th and 10th are alike and meet nowhere else."""
     import pyarrow as pa
@@ -447,14 +466,22 @@ def test_licenses_find_every_rule_on_its_standard_notice(spark):
     gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the\nGNU General Public License for more details."
     s = licenses.SENTENCES
     wrap = lambda text: "\n".join(textwrap.wrap(text, 40))
-    notices = {
-        "Apache,Apache-header": apache, "GPL-header": gpl, "MIT-text": f"{wrap(s['mit_grant'])}:\n\n{wrap(s['mit_condition'])}.",
-        "BSD-2-Clause-text": f"{wrap(s['bsd_grant'])}:\n\n1. {wrap(s['bsd_source'])}.\n2. {wrap(s['bsd_binary'])}.",
-    }
-    notices |= {n: wrap(s[k].replace("#", "3")) for n, k in (("Apache", "apache_notice"), ("GPL", "gpl_notice"), ("CC-BY", "cc_by"), ("CC-BY-SA", "cc_by_sa"), ("CC-BY-NC", "cc_by_nc"), ("CC-BY-ND", "cc_by_nd"), ("Proprietary", "rights_reserved"))}
-    assert set(",".join(notices).split(",")) | {"MIT"} == {r.licence for r in licenses.RULES}
+    bsd = f"{wrap(s['bsd_grant'])}:\n\n1. {wrap(s['bsd_source'])}.\n2. {wrap(s['bsd_binary'])}."
+    lesser = gpl.replace("GNU General", "GNU Lesser General").replace("This program", "This library")
+    old = lesser.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either\nversion 2.1")
+    verbatim = " Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed."
+    title = lambda name, date: f"                    GNU {name} PUBLIC LICENSE\n                       Version 3, {date} 2007\n\n{verbatim}"
+    notices = [
+        ("Apache,Apache-header", apache), ("GPL-header", gpl), ("GPL-header", gpl.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")), ("MIT-text", f"{wrap(s['mit_grant'])}:\n\n{wrap(s['mit_condition'])}."),
+        ("BSD-2-Clause-text", bsd), ("BSD-3-Clause-text", f"{bsd}\n3. {wrap(s['bsd_name'])}."), ("LGPL-header", lesser), ("LGPL-header", old), ("AGPL-header", gpl.replace("GNU General", "GNU Affero General")),
+        ("GPL-text", title("GENERAL", "29 June")), ("LGPL-text", title("LESSER GENERAL", "29 June")), ("AGPL-text", title("AFFERO GENERAL", "19 November")), ("ISC-text", f"Copyright (c) 2020, Some One\n\n{wrap(s['isc_grant'])}.\n\nTHE SOFTWARE IS PROVIDED"),
+        ("MPL", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."),
+        ("Apache-text", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/"), ("MPL-text", "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions"),
+    ]
+    notices += [(n, wrap(s[k].replace("#", "3"))) for n, k in (("Apache", "apache_notice"), ("GPL", "gpl_notice"), ("CC-BY", "cc_by"), ("CC-BY-SA", "cc_by_sa"), ("CC-BY-NC", "cc_by_nc"), ("CC-BY-ND", "cc_by_nd"), ("Proprietary", "rights_reserved"))]
+    assert set(",".join(n for n, _ in notices).split(",")) | {"MIT"} == {r.licence for r in licenses.RULES}
     styles = ("", " * ", "# ", "// ", ";; ", "-- ")
-    rows = [(want, "\n".join((mark + x).rstrip() for x in text.split("\n"))) for want, text in notices.items() for mark in styles]
+    rows = [(want, "\n".join((mark + x).rstrip() for x in text.split("\n"))) for want, text in notices for mark in styles]
     rows += [("MIT", f"{mark}{k} under\n{mark}the MIT License") for k in ("Released", "Licensed") for mark in styles]
     rows += [("MIT,Proprietary", "Released under the MIT License\nAll rights reserved"), ("", "Released under\n\nthe MIT License"), ("", "Released under. The MIT License"), ("", "not released under the MIT License")]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
