@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import audits, bi, documents, elements, grids, structure, usage, workspace  # noqa: F401  each registers its queries
+from .plans import audits, bi, documents, elements, grids, pieces, structure, usage, workspace  # noqa: F401  each registers its queries
 from .plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "ranked_bar"

@@ -71,9 +71,10 @@ def colour_distance(a: Column, b: Column) -> Column:
     return F.sqrt(sum((((x - y) / 255) * ((x - y) / 255) for x, y in zip(rgb(a), rgb(b), strict=True)), F.lit(0.0)) / 3)
 
 
-def is_pale(hexed: Column) -> Column:
+def is_pale(hexed: Column, least: int = 220) -> Column:
+    """Whether a colour's brightness, 0 to 255, is above `least`."""
     red, green, blue = rgb(hexed)
-    return (299 * red + 587 * green + 114 * blue) / 1000 > 220
+    return (299 * red + 587 * green + 114 * blue) / 1000 > least
 
 
 def ratio(a: Column, b: Column, otherwise: float | None = None) -> Column:

@@ -27,6 +27,13 @@ def multiset_groups(parts: DataFrame, owner: str, kind: str, sizes: tuple[int, i
     return per_owner.groupBy("signature").agg(F.count("*").alias("members"), F.min(owner).alias("prototype")).filter(F.col("members") >= least)
 
 
+def repeated(elements: DataFrame, kind: str, page: str, id_col: str, least_width: float = 0.5, least: int = 2, step: float = 0.5) -> DataFrame:
+    """kind, qw, qh (width and height on a grid), repeats, pages, prototype of elements that occur `least` times or more; narrow ones don't count."""
+    on_grid = lambda c: F.bround(F.col(c) / step, 0).cast("int")
+    grouped = elements.filter(F.col("w") >= least_width).groupBy(kind, on_grid("w").alias("qw"), on_grid("h").alias("qh"))
+    return grouped.agg(F.count("*").alias("repeats"), F.count_distinct(page).alias("pages"), F.min(id_col).alias("prototype")).filter(F.col("repeats") >= least)
+
+
 def candidates(groups: DataFrame, whole: int, top: int) -> DataFrame:
     """The largest groups with a confidence: members over `whole`, 1 at most."""
     ranked = groups.withColumn("confidence", F.round(F.least(F.lit(1.0), F.col("members") / whole), 6))

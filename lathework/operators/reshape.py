@@ -18,14 +18,15 @@ def spread(long: DataFrame, category: str, series: str, value: str, names: list)
     return long.groupBy(category).pivot(series, names).agg(F.first(value, ignorenulls=True))
 
 
-def refresh_series(formats: DataFrame, data: DataFrame) -> DataFrame:
-    """Chart series after new data: data(idx, name, values) with the format of the same place in formats(idx, format).
+def refresh_series(formats: DataFrame, data: DataFrame, keys: list[str]) -> DataFrame:
+    """Chart series after new data: data(keys, idx, name, values) with the format of the same place in formats(keys, idx, format).
 
     Series beyond the old ones take the last one's format; old ones beyond the new are gone; null values become 0.
     """
-    last = formats.agg(F.max_by("format", "idx").alias("last_format"))
-    joined = data.join(formats, "idx", "left").join(F.broadcast(last))
-    return joined.select("idx", "name", F.transform("values", lambda v: F.coalesce(v.cast("double"), F.lit(0.0))).alias("values"), F.coalesce("format", "last_format").alias("format"))
+    last = formats.groupBy(*keys).agg(F.max("idx").alias("_last"))
+    at = data.join(last, keys, "left").withColumn("_at", F.least("idx", "_last"))
+    joined = at.join(formats.select(*keys, F.col("idx").alias("_at"), "format"), [*keys, "_at"], "left")
+    return joined.select(*keys, "idx", "name", F.transform("values", lambda v: F.coalesce(v.cast("double"), F.lit(0.0))).alias("values"), "format")
 
 
 def stacked_shares(long: DataFrame, category: str = "category", value: str = "value") -> DataFrame:

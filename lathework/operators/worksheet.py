@@ -21,6 +21,8 @@ AGGREGATES = {
     "var": F.var_samp,
     "stdev": F.stddev_samp,
 }
+#: These answer from sketches of bounded size, within a few per cent.
+APPROXIMATE = {"countd": F.approx_count_distinct, "med": lambda c: F.percentile_approx(c, 0.5)}
 MOST_MEASURES, RANKED_ROWS, AXIS_ROWS = 3, 10, 36
 
 
@@ -29,9 +31,12 @@ class Measure:
     name: str
     of: Column
     aggregate: str = "sum"
+    approximate: bool = False
 
     @property
     def column(self) -> Column:
+        if self.approximate and self.aggregate.lower() in APPROXIMATE:
+            return APPROXIMATE[self.aggregate.lower()](self.of).alias(self.name)
         return AGGREGATES.get(self.aggregate.lower(), F.sum)(self.of).alias(self.name)
 
 
@@ -49,6 +54,18 @@ def worksheet(df: DataFrame, dimension: Column, measures: list[Measure], name: s
     return shown.orderBy(*order).limit(rows or (RANKED_ROWS if ranked else AXIS_ROWS)).filter(F.col(first).isNotNull())
 
 
+MOST_SKETCHED, SKETCH_ROWS = 6, 100
+
+
+def sketch(df: DataFrame, dimensions: list[Column], measures: list[Measure]) -> DataFrame:
+    """The first six dimensions grouped with the first six measures; without either, a hundred rows as they come."""
+    if not dimensions and not measures:
+        return df.limit(SKETCH_ROWS)
+    shown = [m.column for m in measures[:MOST_SKETCHED]]
+    grouped = df.groupBy(*dimensions[:MOST_SKETCHED])
+    return grouped.agg(*shown) if shown else df.select(*dimensions[:MOST_SKETCHED]).distinct()
+
+
 def with_totals(df: DataFrame, dimensions: list[str], measures: list[Measure], cube: bool = False) -> DataFrame:
     """Subtotals over the dimensions from the right, or over each subset of them; grouping_level tells which."""
     grouped = df.cube(*dimensions) if cube else df.rollup(*dimensions)

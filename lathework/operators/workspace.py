@@ -162,7 +162,7 @@ def kept_versions(versions: DataFrame, key: str, version: str, most: int) -> Dat
     return versions.withColumn("_nth", nth).filter(F.col("_nth") <= most).drop("_nth")
 
 
-def flattened(df: DataFrame, id_col: str, path: str = "") -> list[Column]:
+def flattened(df: DataFrame) -> list[Column]:
     """The leaves of all struct columns as columns named by dotted paths."""
     out = []
 

@@ -21,6 +21,58 @@ def records(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def columns(spark: SparkSession, data: dict[str, list], schema: str) -> DataFrame:
+    """A few rows of the driver, given as lists of equal length by column."""
+    return spark.createDataFrame(list(zip(*data.values(), strict=True)), schema).toDF(*data)
+
+
+#: Suffixes of files and how they are read.
+READERS = {"csv": lambda reader: reader.option("header", True).csv, "json": lambda reader: reader.json, "parquet": lambda reader: reader.parquet, "txt": lambda reader: reader.text, "md": lambda reader: reader.text}
+
+
+def by_suffix(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Reads a path by its suffix; an unknown one is an error."""
+    suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if suffix not in READERS:
+        raise ValueError(f"no reader for .{suffix}")
+    return READERS[suffix](spark.read.schema(schema) if schema else spark.read)(path)
+
+
+def tagged(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """key and body: each row as JSON under its type's tag; nulls are left out."""
+    rest = [c for c in df.columns if c != key]
+    return df.select(key, F.to_json(F.struct(F.lit(tag).alias("__type__"), *rest)).alias("body"))
+
+
+def untagged(bodies: DataFrame, key: str, tag: str, schema: str) -> DataFrame:
+    """The rows of one tag from their JSON; other tags and broken bodies are left out."""
+    read = bodies.select(key, F.from_json("body", f"__type__ string, {schema}").alias("_x")).filter(F.col("_x.__type__") == tag)
+    return read.select(key, "_x.*").drop("__type__")
+
+
+def bundle(elements: DataFrame, path: str, page: str) -> None:
+    """The elements and a summary of how many each page has, side by side."""
+    elements.write.mode("overwrite").parquet(f"{path}/elements")
+    elements.groupBy(page).agg(F.count("*").alias("elements")).write.mode("overwrite").json(f"{path}/summary")
+
+
+def latest_sink(path: str, key: str, at: str):
+    """For writeStream.foreachBatch: keeps the last row of each key. Each batch adds its own last rows as a file of its
+    number (a batch that comes again replaces its own), so nothing is read; latest_of() reads them."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), at).alias("_r")).select("_r.*")
+        last.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def latest_of(spark: SparkSession, path: str, key: str, at: str) -> DataFrame:
+    """What latest_sink() has kept: the last row of each key over all batches."""
+    rows = spark.read.parquet(path).drop("batch")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), at).alias("_r")).select("_r.*")
+
+
 def corpus(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".pptx", ".pdf")) -> DataFrame:
     """path, kind, length of a folder's files with these suffixes, at any depth; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
