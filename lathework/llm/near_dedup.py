@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import remove, written
+from .storage import remove, scratch, written
 from .words import STEP, U64, find_words, mix, room, slices, windows
 
 COORD, HEIGHT, BAND = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
@@ -186,24 +186,8 @@ def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(roots.join(classes.select("id"), "id", "left_anti")), "classes")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 32, rows: int = 6, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, copy_of (smallest id with the same text) and class_id (smallest id of its class).
-
-    Classes are the connected components of links between documents whose sets of `size`-word shingles
-    have a Jaccard similarity of at least `threshold`, verified exactly; weighted, shingles weigh as often as they
-    occur, and the similarity is the sum of the lesser weights over that of the greater ones. Candidates share a band of the
-    signature. At the defaults a pair of similarity 0.8 misses every band with probability 6e-5.
-    Within a bucket, documents are compared with the smallest id, not each with each. Documents of buckets
-    that then still hold several classes are met again at their rarest shingles, where any pair of the wanted
-    similarity must meet; there they are compared across classes with about 8, 64, 512, ... centres, until every
-    member of a place with several classes was one. No bucket and no place is capped.
-
-    Null texts and texts without words are copies of equal texts only (null counts as empty). A shorter
-    text than a shingle is one shingle. Rows sharing an id are one document. A null id stays in the
-    result, in no class. An empty table gives an empty result. Other columns are not read.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    known = docs.filter("doc_id is not null")
+def _classes(known: DataFrame, threshold: float, size: int, bands: int, rows: int, weighted: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, copy_of, bands) of all documents and (id, component) of those with links, as written tables."""
     signed = written(known.mapInArrow(lambda batches: _sign(batches, size, bands, rows, weighted), "doc_id long, text_key binary, bands array<long>"), "signed")
     copies = written(signed.groupBy("text_key").agg(F.min("doc_id").alias("copy_of"), F.max("doc_id").alias("other")).filter("copy_of < other").drop("other"), "copies")
     members = signed.join(copies, "text_key", "left").select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"), "bands")
@@ -221,8 +205,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     rest = written(known.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(lambda batches: _sets(batches, size, weighted), "doc_id long, elements array<long>").dropDuplicates(["doc_id"]), "rest")
     open_ = written(_prefixes(rest, threshold), "prefixes")
     remove(buckets)
-    # Members become centres in order of a random number, so a place needs no sorting: upto is the share asked so far.
-    open_ = open_.withColumn("u", F.pmod(F.xxhash64("doc_id", "place"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    # Members become centres in order of a random number, the same at all their places, so that pairs repeat and no place
+    # needs sorting: upto is the share asked so far.
+    open_ = open_.withColumn("u", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
     asked, more = known.sparkSession.createDataFrame([], "place long, upto double"), 8
     while True:
         open_ = written(_meeting(_mixed(open_, classes), threshold), "open")
@@ -237,6 +222,30 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
         classes = _merged(classes, _verified(pairs, rest, size, threshold, weighted))
         asked = written(asked.unionByName(now.select("place", F.col("share").alias("upto"))).groupBy("place").agg(F.max("upto").alias("upto")), "asked")
         open_, more = open_.drop("component"), more * 8
+    return members, classes
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 32, rows: int = 6, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, copy_of (smallest id with the same text) and class_id (smallest id of its class).
+
+    Classes are the connected components of links between documents whose sets of `size`-word shingles
+    have a Jaccard similarity of at least `threshold`, verified exactly; weighted, shingles weigh as often as they
+    occur, and the similarity is the sum of the lesser weights over that of the greater ones. Candidates share a band of the
+    signature. At the defaults a pair of similarity 0.8 misses every band with probability 6e-5.
+    Within a bucket, documents are compared with the smallest id, not each with each. Documents of buckets
+    that then still hold several classes are met again at their rarest shingles, where any pair of the wanted
+    similarity must meet; there they are compared across classes with about 8, 64, 512, ... centres, until every
+    member of a place with several classes was one. No bucket and no place is capped.
+
+    Null texts and texts without words are copies of equal texts only (null counts as empty). A shorter
+    text than a shingle is one shingle. Rows sharing an id are one document. A null id stays in the
+    result, in no class. An empty table gives an empty result. Other columns are not read.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    known = docs.filter("doc_id is not null")
+    with scratch(docs.sparkSession) as keep:
+        members, classes = _classes(known, threshold, size, bands, rows, weighted)
+        keep(members, classes)
     classes = classes.withColumnRenamed("id", "copy_of")
     # Ids outside any link are their own class; the join by copy_of can be split where a text has very many copies.
     result = members.select("doc_id", "copy_of").join(classes, "copy_of", "left").select("doc_id", "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
@@ -245,16 +254,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
 
 
 def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The rows of docs, with all their columns, whose id is the smallest of its class; of rows that share an id, one.
+    """The rows of docs, with all their columns, whose id is the smallest of its class; of rows that share an id, that
+    whose columns, written as JSON, come first.
 
-    Rows with a null id stay. settings are those of near_duplicates().
+    Rows with a null id stay. Columns pass through, whatever their names. An empty table gives an empty result.
+    settings are those of near_duplicates().
     """
-    key = F.col(id_col).cast("long")
+    key = docs[id_col].cast("long")
     classes = written(near_duplicates(docs, id_col=id_col, **settings), "classes")
-    gone = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, key == F.col("_gone"), "left_anti")
-    shared = written(classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_shared")), "shared")
+    gone = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    kept = docs.join(gone, key == gone["gone_id"], "left_anti")
+    shared = written(classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("shared_id")), "shared")
     if not shared.limit(1).count():
         return kept
-    once = kept.join(shared, key == F.col("_shared"), "left_semi").dropDuplicates([id_col])
-    return kept.join(shared, key == F.col("_shared"), "left_anti").unionByName(once)
+    row = F.struct(*docs.columns)
+    once = kept.join(shared, key == shared["shared_id"], "left_semi").groupBy(F.col(id_col).cast("long").alias("key")).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return kept.join(shared, key == shared["shared_id"], "left_anti").unionByName(once)

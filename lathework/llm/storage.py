@@ -35,15 +35,45 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lathework-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _paths(df: DataFrame) -> set[str]:
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+
+
 def remove(df: DataFrame) -> None:
     """Deletes the files of a table made by written() that nothing needs any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for path in _paths(df):
         _remove(df.sparkSession, path)
 
 
+#: The tables written inside each scratch() that is open, the innermost last.
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables written inside once it ends, but for those passed to the function that it gives."""
+    made: list[str] = []
+    kept: set[str] = set()
+    _open.append(made)
+
+    def keep(*tables: DataFrame) -> None:
+        for df in tables:
+            kept.update(p.rsplit("/", 1)[-1] for p in _paths(df))
+
+    try:
+        yield keep
+    finally:
+        _open.remove(made)
+        for path in made:
+            if path.rsplit("/", 1)[-1] not in kept:
+                _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # at exit the session may be gone
         jvm = spark.sparkContext._jvm
