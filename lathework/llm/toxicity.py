@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import BETWEEN, STEP, U64, find_words, mix, room, slices
@@ -73,18 +73,21 @@ def _learn(table: pa.Table, bits: int, settings: dict) -> pa.Table:
     return pa.table({"feature": np.append(some, -1), "weight": np.append(weights[some], bias)})
 
 
-def fit(docs: DataFrame, labelled: DataFrame, per_class: int = 4096, bits: int = 20, **settings) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labelled: DataFrame, per_class: int = 4096, bits: int = 20, max_features: int = 1 << 26, **settings) -> tuple[np.ndarray, np.ndarray, float]:
     """Features, their weights and the bias, from docs(doc_id, text) and labelled(doc_id, label).
 
-    The fit takes at most per_class rows of each label: those first by a hash of their id. So the examples
-    fit one task; of the weights there are at most 2**bits, and the driver passes on the few that are not 0.
+    The fit takes at most per_class rows of each label, those first by a hash of their id, and of these, in that
+    order, as many as have max_features features together. So the examples fit one task; of the weights there are at most 2**bits, and the driver passes on the few that are not 0.
     The bound takes a larger share of the rarer label; the bias is set right by the shares among all labelled rows.
     """
     rows = labelled.filter("doc_id is not null and label in (0, 1)").distinct().withColumn("place", F.xxhash64("doc_id"))
     chosen = [rows.filter(F.col("label") == label).orderBy("place", "doc_id").limit(per_class) for label in (0, 1)]
     texts = docs.join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").groupBy("doc_id", "place", "label").agg(F.min("text").alias("text"))
     examples = texts.select("place", "label", "text").mapInArrow(lambda batches: _examples(batches, bits), "place long, label int, features array<int>")
-    learnt = examples.groupBy(F.lit(0).alias("all")).applyInArrow(lambda table: _learn(table, bits, settings), "feature long, weight double").collect()
+    examples = examples.withColumn("all", F.lit(0))
+    so_far = F.sum(F.size("features")).over(Window.partitionBy("all").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    examples = examples.withColumn("so_far", so_far).filter(F.col("so_far") <= max_features).drop("so_far")
+    learnt = examples.groupBy("all").applyInArrow(lambda table: _learn(table, bits, settings), "feature long, weight double").collect()
     weights = {r.feature: r.weight for r in learnt}
     bias = weights.pop(-1, 0.0)
     counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
