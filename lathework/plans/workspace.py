@@ -136,7 +136,7 @@ def open_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workspace.over_time(changes, "user_id", "ts", "change", ["event_id"]).select("event_id", "user_id", "open")
 
 
-@query("""select event_id, k, violations from (select event_id, user_id % 3 as k, count(*) over (partition by user_id % 3 order by epoch(ts)::bigint range between 3600 preceding and current row) as violations from events) where violations >= 5""")
+@query("""select event_id, k, violations from (select event_id, user_id % 3 as k, count(*) over (partition by user_id % 3 order by floor(epoch(ts))::bigint range between 3600 preceding and current row) as violations from events) where violations >= 5""")
 def connection_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 3).alias("k"), F.unix_timestamp("ts").alias("at"))
     return workspace.violators(events, "k", "at", seconds=3600, least=5).select("event_id", "k", "violations")
@@ -164,9 +164,9 @@ def change_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.summaries(table(spark, sf_dir, "lineitem").select("l_orderkey", change.alias("change")), "l_orderkey", "change", "element")
 
 
-@query("""with f as (select c_nationkey, c_mktsegment as v, min(c_custkey) as seen from customer group by 1, 2) select c_nationkey, array_to_string(list(v order by seen), ',') as values from f group by 1 having count(*) between 2 and 4""")
+@query("""with f as (select c_nationkey, c_mktsegment as v, min(c_custkey) as seen from customer group by 1, 2) select c_nationkey, array_to_string(list(v order by seen), ',') as values from f group by 1 having count(*) between 2 and 100""")
 def first_seen_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rollups.first_values(table(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment", "c_custkey", most=4)
+    out = rollups.first_values(table(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment", "c_custkey", most=100)
     return out.select("c_nationkey", F.array_join("values", ",").alias("values"))
 
 
