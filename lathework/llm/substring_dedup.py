@@ -8,7 +8,8 @@ share costs one row a block, and the answers go back to the blocks that need the
 
 Below the wanted length, only the short window with the least hash in each surviving long one is reported (at
 the first level of 13, one in about four). Equal long windows choose equally, so no repeated one is missed.
-Short windows only pick candidates; windows of the wanted length are told apart by 96 bits.
+Short windows only pick candidates, by 48 bits; windows of the wanted length are told apart by 96 bits. Reports
+travel as few numbers: a block and a flag, or a block and half a hash, share one.
 """
 
 from __future__ import annotations
@@ -59,13 +60,16 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
         return by_block.cogroup(told.groupBy("block")).applyInArrow(lambda key, table, known: function(key, table, known), schema)
 
     for n in range(len(levels)):
-        found = reports(lambda key, table, known, n=n: _anchors(key, table, known, window, levels[: n + 1]), "h long, block int, several boolean")
+        found = reports(lambda key, table, known, n=n: _anchors(key, table, known, window, levels[: n + 1]), "h long, whence long")
         # A block that has a window in several documents knows that it is repeated; the others are told.
-        repeated = found.withColumn("n", F.count("*").over(Window.partitionBy("h"))).filter("n > 1 and not several").select("block", F.lit(n).alias("level"), "h")
+        repeated = found.withColumn("n", F.count("*").over(Window.partitionBy("h"))).filter("n > 1 and whence % 2 = 0").select(F.shiftright("whence", 1).cast("int").alias("block"), F.lit(n).alias("level"), "h")
         told = repeated if told is None else told.unionAll(repeated)
 
-    found = reports(lambda key, table, known: _candidates(key, table, known, window, levels), "h long, tail int, block int, least long")
-    earlier = found.withColumn("first", F.min("least").over(Window.partitionBy("h", "tail"))).filter("first < least").select("block", "h", "tail", "first")
+    found = reports(lambda key, table, known: _candidates(key, table, known, window, levels), "h long, whence long, least long")
+    # Dealt by h as they are; the two halves of whence are parted only behind the shuffle.
+    found = found.repartition("h").select("h", F.shiftright("whence", 32).cast("int").alias("block"), F.col("whence").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tail"), "least")
+    # Where another block has a smaller id than all of a block's own, all its occurrences go.
+    earlier = found.withColumn("first", F.min("least").over(Window.partitionBy("h", "tail"))).filter("first < least").select("block", "h", "tail")
 
     fields = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return by_block.cogroup(earlier.groupBy("block")).applyInArrow(lambda key, table, known: _cut(table, known, window, with_text), fields)
@@ -106,11 +110,17 @@ def _shared(words: Words, ids: np.ndarray, places: np.ndarray, hashed: np.ndarra
     return hashed[at][order[new]], owner[order[new]] != owner[order[last]]
 
 
+def _short(words: Words, starts: np.ndarray, window: int, short: int) -> tuple[np.ndarray, np.ndarray]:
+    """What _least() gives, with 48 bits of each hash."""
+    places, hashed = _least(words, starts, window, short)
+    return places, hashed >> U64(16)
+
+
 def _surviving(words: Words, ids: np.ndarray, window: int, levels: list[int], known: pa.Table | None) -> np.ndarray:
     """Starts of whole windows whose least short windows of all these levels are repeated."""
     starts = np.flatnonzero(room(words.first) >= window)
     for n, short in enumerate(levels):
-        places, hashed = _least(words, starts, window, short)
+        places, hashed = _short(words, starts, window, short)
         found, several = _shared(words, ids, places, hashed)
         told = known.column("h").to_numpy().view(U64)[known.column("level").to_numpy() == n]
         starts = starts[np.isin(hashed[places], np.concatenate([found[several], told]))]
@@ -119,9 +129,9 @@ def _surviving(words: Words, ids: np.ndarray, window: int, levels: list[int], kn
 
 def _anchors(key: tuple, table: pa.Table, known: pa.Table | None, window: int, levels: list[int]) -> pa.Table:
     _, ids, words = _in_order(table)
-    places, hashed = _least(words, _surviving(words, ids, window, levels[:-1], known), window, levels[-1])
+    places, hashed = _short(words, _surviving(words, ids, window, levels[:-1], known), window, levels[-1])
     found, several = _shared(words, ids, places, hashed)
-    return pa.table({"h": found.view(np.int64), "block": np.full(len(found), key[0].as_py(), np.int32), "several": several})
+    return pa.table({"h": found.view(np.int64), "whence": 2 * key[0].as_py() + several.astype(np.int64)})
 
 
 def _whole(words: Words, window: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +145,7 @@ def _candidates(key: tuple, table: pa.Table, known: pa.Table | None, window: int
     whole, tail = _whole(words, window, starts)
     order, new, _ = _groups(whole, tail)
     first = order[new]
-    return pa.table({"h": whole[first].view(np.int64), "tail": tail[first].view(np.int32), "block": np.full(len(new), key[0].as_py(), np.int32), "least": ids[words.text_of[starts]][first]})
+    return pa.table({"h": whole[first].view(np.int64), "whence": (key[0].as_py() << 32) + tail[first].astype(np.int64), "least": ids[words.text_of[starts]][first]})
 
 
 def _cut(table: pa.Table, known: pa.Table, window: int, with_text: bool) -> pa.Table:
@@ -146,17 +156,18 @@ def _cut(table: pa.Table, known: pa.Table, window: int, with_text: bool) -> pa.T
     order, new, last = _groups(whole, tail)
     least = np.empty(len(whole), np.int64)
     least[order] = np.repeat(owner[order[new]], last - new + 1)
-    told, told_tail = known.column("h").to_numpy().view(U64), known.column("tail").to_numpy().view(np.uint32)
+    told, told_tail = known.column("h").to_numpy().view(U64), known.column("tail").to_numpy()
+    repeated = least < owner
     if len(told) and len(whole):
         by_hash = np.argsort(told, kind="stable")
-        told, told_tail, first = told[by_hash], told_tail[by_hash], known.column("first").to_numpy()[by_hash]
+        told, told_tail = told[by_hash], told_tail[by_hash]
         at, end = np.searchsorted(told, whole), np.searchsorted(told, whole, "right")
         while (at < end).any():  # once, unless answers share the first 64 bits
             here = np.minimum(at, len(told) - 1)
-            least = np.where((at < end) & (told_tail[here] == tail), np.minimum(least, first[here]), least)
+            repeated |= (at < end) & (told_tail[here] == tail)
             at += 1
     cover = np.zeros(len(words.hash) + 1, np.int64)
-    repeated = starts[least < owner]
+    repeated = starts[repeated]
     np.add.at(cover, repeated, 1)
     np.add.at(cover, repeated + window, -1)
     removed = np.cumsum(cover[:-1]) > 0
