@@ -64,12 +64,12 @@ PAIR_TOKENS = "list_distinct([lower(w) for w in regexp_extract_all(coalesce(text
 
 
 @query(f"""with d as (select doc_id as id, list_filter({PAIR_TOKENS}, lambda w: not list_contains([{", ".join(f"'{w}'" for w in text.STOP_WORDS)}], w)) as t from documents),
-    e as (select id, unnest(t) as w from d), r as (select w from e group by 1 having count(*) between 2 and 12),
+    e as (select id, unnest(t) as w from d), r as (select w from e group by 1 having count(*) between 2 and 4),
     p as (select distinct a.id as a, b.id as b from e a join r using (w) join e b using (w) where a.id < b.id)
     select a, b, len(list_intersect(x.t, y.t))::int as shared, round(len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))), 6) as similarity from p join d x on x.id = a join d y on y.id = b where len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) >= 0.2""")
 def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.search_tokens(F.col("text")).alias("tokens"))
-    return workspace.similar_pairs(docs, "id", "tokens", 0.2, 12).withColumn("similarity", F.round("similarity", 6))
+    return workspace.similar_pairs(docs, "id", "tokens", 0.2, 4).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("""with o as (select o_custkey as k, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as nth from orders), e as (select user_id as k, event_id, row_number() over (partition by user_id order by ts, event_id) as nth from events)
