@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, licenses, mixing, quality, secrets, sharding
+from . import filter_audit, fingerprints, licenses, mixing, quality, secrets, sharding
+from .filter_audit import text_filter_interaction
 from .near_dedup import near_duplicates
 from .packing import pack
+from .simhash import simhash_components
+from .spelling import counted_words, spelling_variants
 from .substring_dedup import substring_dedup
 from .toxicity import toxicity
 
@@ -62,10 +65,25 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(counted_words(table(spark, sf_dir, "documents")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_filter_interaction(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_sharding, op3_packing, op4_toxicity, op5_secrets, op6_quality, op7_mixing, op8_near_dedup, op9_fingerprints, op10_licenses)
-}
+    for f in (
+        op1_substring_dedup, op2_sharding, op3_packing, op4_toxicity, op5_secrets, op6_quality, op7_mixing, op8_near_dedup, op9_fingerprints, op10_licenses,
+        op11_simhash, op12_spelling, op13_filter_audit,
+    )
+}
 
 WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 
@@ -142,6 +160,43 @@ def _licenses_sql() -> str:
         select doc_id, array_to_string(ids, ',') as sentence_ids, array_to_string(list_sort(list_distinct([x for x in [{", ".join(rules)}] if x is not null])), ',') as licences, len(ids)::bigint as n_sentences from a"""
 
 
+SPELLING_SQL = r"""
+    with recursive codes as (select list(c order by i) as t from (select i, list_reduce([i] || [0 for _ in range(8)], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(i))),
+    runs as (select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{6,}')) as run from documents),
+    low as (select id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n from runs group by all),
+    hexed as (select run, n, hex(encode(id || ':' || run)) as x from low),
+    bytes as (select run, n, [4294967295] || [('0x' || x[2 * i - 1:2 * i])::bigint for i in range(1, length(x) // 2 + 1)] as b from hexed),
+    hashed as (select run, n, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) as h from bytes, codes),
+    made as (select case when h % 199 = 0 then run[1:h % length(run)] || run[h % length(run) + 2:] else run end as word, n from hashed),
+    w as (select word, sum(n)::bigint as n from made where length(word) >= 6 group by word having sum(n) >= 5),
+    cut as (select word, n, i, left(word, i - 1) || word[i + 1:] as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from w)),
+    pairs as (select a.word, b.word as other from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+              union select cut.word, w.word from cut join w on w.word = rest union select w.word, cut.word from cut join w on w.word = rest),
+    near as (select p.word, other, w.n as other_n from pairs p join w on w.word = other),
+    best as (select word, count(*) as n_near, first(other order by other_n desc, encode(other)) as form, max(other_n) as form_n from near group by word),
+    f as (select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when form_n >= 5 * w.n then form end as form, case when form_n >= 5 * w.n then form_n end as form_n from w left join best using (word)),
+    up(word, place) as (select word, word from f union all select up.word, f.form from up join f on up.place = f.word where f.form is not null),
+    top as (select up.word, up.place as root from up join f on up.place = f.word where f.form is null)
+    select word, form, root, n, n_near, form_n from f join top using (word)"""
+
+
+def _audit_sql() -> str:
+    """Every order applied step by step: the filters before a step stand as a set of bits."""
+    steps = ", ".join(f"('{order}', {step}, {state}, {1 << f}, '{'ABCDE'[f]}')" for order, step, state, f in filter_audit.order_steps("ABCDE"))
+    return f"""
+        with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, {WORDS} as w from documents),
+        marked as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+        c as (select part, (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t))::int
+                     + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int as mask, coalesce(good, false) as good, coalesce(toxic, false) as toxic
+              from d left join marked using (doc_id)),
+        s(filter_order, step, state, bit, name) as (values {steps}),
+        r as (select part, filter_order, step, name, count(*) filter (mask & (state | bit) = 0) as kept, count(*) filter (mask & state = 0 and mask & bit > 0) as removed,
+                     count(*) filter (mask & state > 0 and mask & bit > 0) as redundant, count(*) filter (mask = bit) as unique_fails,
+                     count(*) filter (mask & state = 0 and mask & bit > 0 and good) as good_lost, count(*) filter (mask & state = 0 and mask & bit > 0 and toxic) as toxic_lost
+              from c, s group by all)
+        select * exclude (name), (sum(removed) over (partition by part, name))::bigint as shapley from r"""
+
+
 ORACLE_SQL = {
     "op1_substring_dedup": f"""
         with d as (select doc_id, {WORDS} as w from documents),
@@ -157,4 +212,6 @@ ORACLE_SQL = {
     "op6_quality": _quality_sql(),
     "op7_mixing": MIXING_SQL,
     "op10_licenses": _licenses_sql(),
+    "op12_spelling": SPELLING_SQL,
+    "op13_filter_audit": _audit_sql(),
 }
