@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from .storage import shuffle_partitions
 from .tokens import encoder
-from .words import BETWEEN, STEP, U64, find_words, mix, slices
+from .words import BETWEEN, STEP, U64, bytes_of, find_words, mix, slices
 
 K1, B = 1.2, 0.75
 #: In the table of frequencies these stand for the number of texts, of words and of bytes.
 TEXTS, WORDS, BYTES = -1, -2, -3
+#: A shard of documents at the size bound has that times shard_bytes at most, not counting the long ones that are dealt evenly.
+LONG = 4
 
 
 def _terms(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,10 +46,12 @@ class Statistics:
 
     A document's key is the first of its shared terms in a random order in which a term comes the earlier the
     higher its idf, as in weighted MinHash: alike documents mostly have one key. At most df documents have a
-    key; those of a frequent one are dealt over so many shards that each gets about shard_docs of them.
+    key; those of a frequent one are dealt over so many shards that each gets about shard_docs of them. Documents of over
+    LONG times a shard's mean size are dealt evenly whatever they say, so that no key gathers many: they fill sequences by themselves, but for their ends.
     """
 
-    def __init__(self, df: np.ndarray, texts: int, words: int, shards: int, shard_docs: int):
+    def __init__(self, df: np.ndarray, texts: int, words: int, shards: int, shard_docs: int, long_bytes: int):
+        self.long_bytes = long_bytes
         self.idf = np.log(1 + (texts - df + 0.5) / (df + 0.5)).astype(np.float32)
         self.mean_words, self.shards = words / max(1, texts), shards
         u = ((mix(np.arange(len(df), dtype=U64) * U64(STEP)) >> U64(11)) + U64(1)).astype(float) * 2.0**-53
@@ -56,12 +60,13 @@ class Statistics:
         self.place[order] = np.arange(len(df), dtype=np.int32)
         self.parts = np.maximum(1, -(-df[order] // shard_docs)).astype(np.int32)
 
-    def shard(self, owner: np.ndarray, term: np.ndarray, deal: np.ndarray) -> np.ndarray:
-        """The shard of each text from its terms (owners in order) and a hash of it."""
+    def shard(self, owner: np.ndarray, term: np.ndarray, deal: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The shard of each text from its terms (owners in order), a hash of it and its bytes."""
         key = np.full(len(deal), -1, np.int64)
         some, first = np.unique(owner, return_index=True)
         if len(some):
             key[some] = np.minimum.reduceat(self.place[term], first)
+        key[size > self.long_bytes] = -1
         part = np.where(key >= 0, deal % self.parts[key].astype(U64), deal)
         return (mix(key.astype(U64) * U64(STEP) + part) % U64(self.shards)).astype(np.int64)
 
@@ -79,7 +84,7 @@ def _encoded(batches, vocabulary, statistics, bits: int, end_id: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
-                    pa.array(statistics.value.shard(owner, term, deal)),
+                    pa.array(statistics.value.shard(owner, term, deal, np.diff(bytes_of(part.column("text"))[1]))),
                     pa.array([ids[a:b].tobytes() + end for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
                     pa.array([packed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                 ],
@@ -204,8 +209,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1,
     """Packs every document into sequences of at most `window` tokens.
 
     vocabulary: path of a byte-level BPE tokenizer's JSON file, read on the driver. Each document is its
-    tokens and then end_id. Documents are dealt by content into shards of about shard_docs documents and at
-    most about shard_bytes of text (see Statistics); a shard's BM25 index is asked with a seed's query_terms
+    tokens (strings of added tokens in a text become those tokens) and then end_id. Documents are dealt by content into shards of about
+    shard_docs documents and a few times shard_bytes of text at most (see Statistics); a shard's BM25 index is asked with a seed's query_terms
     rarest shared terms. Term frequencies and lengths cover all documents, as a table of 2**bits hashed terms
     of fixed size; a count beyond 2**(32 - bits) - 1 weighs like that.
 
@@ -222,7 +227,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1,
     df = np.zeros(1 << bits, np.int64)
     df[found.term[found.term >= 0]] = found.n[found.term >= 0]
     shards = max(1, math.ceil(texts / shard_docs), math.ceil(size / shard_bytes))
-    statistics = spark.sparkContext.broadcast(Statistics(df, texts, words, shards, shard_docs))
+    statistics = spark.sparkContext.broadcast(Statistics(df, texts, words, shards, shard_docs, LONG * shard_bytes // shard_docs))
     with open(vocabulary, encoding="utf-8") as file:
         tokenizer = spark.sparkContext.broadcast(file.read())
     encoded = docs.withColumn("deal", F.xxhash64("doc_id", "text")).mapInArrow(lambda batches: _encoded(batches, tokenizer, statistics, bits, end_id), "doc_id long, shard long, ids binary, terms binary")

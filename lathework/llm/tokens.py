@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .words import BETWEEN, WHITE, bytes_of, process_cache
 
@@ -55,18 +56,24 @@ def find_pieces(texts: pa.Array) -> Pieces:
 
 
 class Encoder:
-    """Encodes a text piece by piece and each distinct piece once; known pieces stay in memory, up to about `limit`."""
+    """Encodes a text piece by piece and each distinct piece once; known pieces stay in memory, up to about `limit`.
 
-    def __init__(self, vocabulary: str, limit: int = 1 << 20, together: int = 64):
+    Strings of the tokenizer's added tokens (like <|endoftext|>) get those tokens, as the tokenizer does by itself; texts that hold one are
+    encoded whole. With added_as_text they are ordinary text.
+    """
+
+    def __init__(self, vocabulary: str, limit: int = 1 << 20, together: int = 64, added_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(vocabulary)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        tokenizer.encode_special_tokens = added_as_text
         self.encode = lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         self.dtype = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         # Each character of a byte-level token stands for one byte.
-        tokens = json.loads(vocabulary)["model"]["vocab"]
+        described = json.loads(vocabulary)
+        self.added = [] if added_as_text else [x["content"] for x in described.get("added_tokens") or []]
+        tokens = described["model"]["vocab"]
         self.n_bytes = np.zeros(tokenizer.get_vocab_size(), np.int64)
         self.n_bytes[list(tokens.values())] = list(map(len, tokens))
         self.limit, self.together = limit, together
@@ -91,7 +98,23 @@ class Encoder:
         self.ids = np.concatenate([self.ids, found])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Pieces]:
-        """The ids of all texts, each text's bounds in them, and the pieces."""
+        """The ids of all texts, each text's bounds in them, and the pieces of those without added tokens."""
+        odd = np.zeros(len(texts), bool)
+        for content in self.added:
+            odd |= pc.fill_null(pc.match_substring(texts, content), False).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self.by_pieces(texts)
+        ids, bounds, pieces = self.by_pieces(pc.if_else(pa.array(odd), pa.scalar("", texts.type), texts))
+        at = np.flatnonzero(odd)
+        own = [np.array(self.encode([texts[i].as_py()])[0], self.dtype) for i in at.tolist()]
+        sizes = np.diff(bounds)
+        sizes[at] = list(map(len, own))
+        between = np.split(ids, bounds[at])  # the odd texts have no ids there
+        parts = [part for pair in itertools.zip_longest(between, own) for part in pair if part is not None]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)]), pieces
+
+    def by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Pieces]:
+        """The same of texts without added tokens."""
         pieces = find_pieces(texts)
         if not len(pieces.code):
             return np.zeros(0, self.dtype), np.zeros(len(pieces.first), np.int64), pieces
