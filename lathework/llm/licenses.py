@@ -102,8 +102,8 @@ MARKS = ENDS.removesuffix(r"|\n")
 COMMENT = r"(?md)^[\x20\t]*[#;:*%/!<>'\"-]+(?=[\x20\t\r\n]|$)"
 #: Stands for an end mark or a blank line.
 END = "\x01"
-#: Only texts with one of these words can hold a known sentence.
-HINT = r"(?i)licen[sc]e|copyright|rights reserved|redistribution|permission|warranty"
+#: Only texts with one of these can hold a known sentence. Each is within one word, which no line break, blank or mark divides.
+HINT = r"(?i)licen[sc]e|copyright|rights|redistribution|permission|warranty"
 
 
 def normalised_text(sentence: str) -> str:
