@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import scratch, written
 from .words import BETWEEN, STEP, U64, find_words, mix, room, slices
 
 #: Distances between the two words of a feature: 1 is the bigram, the others are skip-grams; 0 is the word itself.
@@ -36,7 +37,7 @@ def _examples(batches, bits: int):
             pairs = np.unique((owner << bits) | found)
             offsets = np.searchsorted(pairs >> bits, np.arange(len(part) + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array((pairs & ((1 << bits) - 1)).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column("place"), part.column("label"), lists], names=["place", "label", "features"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("place"), part.column("label"), lists], names=["doc_id", "place", "label", "features"])
 
 
 def ftrl(examples: list[tuple[int, np.ndarray]], size: int, epochs: int = 10, alpha: float = 0.5, beta: float = 1.0, noise: float = 0.5, l2: float = 1.0) -> tuple[np.ndarray, float]:
@@ -66,7 +67,7 @@ def ftrl(examples: list[tuple[int, np.ndarray]], size: int, epochs: int = 10, al
 
 
 def _learn(table: pa.Table, bits: int, settings: dict) -> pa.Table:
-    table = table.sort_by("place")
+    table = table.sort_by([("place", "ascending"), ("label", "ascending")])
     examples = list(zip(table.column("label").to_pylist(), (x.values.to_numpy() for x in table.column("features")), strict=True))
     weights, bias = ftrl(examples, 1 << bits, **settings)
     some = np.flatnonzero(weights)
@@ -76,23 +77,30 @@ def _learn(table: pa.Table, bits: int, settings: dict) -> pa.Table:
 def fit(docs: DataFrame, labelled: DataFrame, per_class: int = 4096, bits: int = 20, max_features: int = 1 << 26, **settings) -> tuple[np.ndarray, np.ndarray, float]:
     """Features, their weights and the bias, from docs(doc_id, text) and labelled(doc_id, label).
 
-    The fit takes at most per_class rows of each label, those first by a hash of their id, and of these, in that
+    The fit takes at most per_class rows of each label that have a document, those first by a hash of their id, and of these, in that
     order, as many as have max_features features together. So the examples fit one task; of the weights there are at most 2**bits, and the driver passes on the few that are not 0.
-    The bound takes a larger share of the rarer label; the bias is set right by the shares among all labelled rows.
+    The bound takes a larger share of the rarer label; the bias is set right by the shares among all labelled documents. An id with
+    both labels is an example of each.
     """
-    rows = labelled.filter("doc_id is not null and label in (0, 1)").distinct().withColumn("place", F.xxhash64("doc_id"))
-    chosen = [rows.filter(F.col("label") == label).orderBy("place", "doc_id").limit(per_class) for label in (0, 1)]
-    texts = docs.join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").groupBy("doc_id", "place", "label").agg(F.min("text").alias("text"))
-    examples = texts.select("place", "label", "text").mapInArrow(lambda batches: _examples(batches, bits), "place long, label int, features array<int>")
-    examples = examples.withColumn("all", F.lit(0))
-    so_far = F.sum(F.size("features")).over(Window.partitionBy("all").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    examples = examples.withColumn("so_far", so_far).filter(F.col("so_far") <= max_features).drop("so_far")
-    learnt = examples.groupBy("all").applyInArrow(lambda table: _learn(table, bits, settings), "feature long, weight double").collect()
-    weights = {r.feature: r.weight for r in learnt}
-    bias = weights.pop(-1, 0.0)
-    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
-    if len(counts) == 2:
-        bias += math.log(counts[1] / counts[0]) - math.log(min(counts[1], per_class) / min(counts[0], per_class))
+    with scratch(docs.sparkSession):
+        rows = labelled.filter("doc_id is not null and label in (0, 1)").distinct().join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("place", F.xxhash64("doc_id"))
+        rows = written(rows, "labelled")
+        chosen = [rows.filter(F.col("label") == label).orderBy("place", "doc_id").limit(per_class) for label in (0, 1)]
+        texts = docs.join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").groupBy("doc_id", "place", "label").agg(F.min("text").alias("text"))
+        examples = texts.select("doc_id", "place", "label", "text").mapInArrow(lambda batches: _examples(batches, bits), "doc_id long, place long, label int, features array<int>")
+        examples = written(examples.withColumn("n", F.size("features")), "examples")
+        # Which of them fit is told by their sizes: 2 * per_class rows of four numbers; only the features of those that do are gathered.
+        so_far = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("place", "label").rowsBetween(Window.unboundedPreceding, 0))
+        fitting = examples.select("doc_id", "place", "label", "n").withColumn("so_far", so_far).filter(F.col("so_far") <= max_features)
+        fitting = written(fitting.select("doc_id", "label"), "fitting")
+        examples = examples.join(F.broadcast(fitting), ["doc_id", "label"]).withColumn("all", F.lit(0))
+        learnt = examples.select("all", "place", "label", "features").groupBy("all").applyInArrow(lambda table: _learn(table, bits, settings), "feature long, weight double").collect()
+        weights = {r.feature: r.weight for r in learnt}
+        bias = weights.pop(-1, 0.0)
+        counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
+        used = {r.label: r["count"] for r in fitting.groupBy("label").count().collect()}
+        if len(used) == 2:
+            bias += math.log(counts[1] / counts[0]) - math.log(used[1] / used[0])
     return np.fromiter(weights, np.int64, len(weights)), np.fromiter(weights.values(), float, len(weights)), bias
 
 
@@ -153,7 +161,11 @@ def _model(docs: DataFrame, labels: DataFrame, per_class: int, bits: int, id_col
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 4096, bits: int = 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **settings) -> DataFrame:
-    """The rows of docs, with all their columns, that toxicity() doesn't predict as toxic. No row is shuffled."""
+    """The rows of docs, with all their columns, that toxicity() doesn't predict as toxic; what it says of labels holds here.
+
+    Null and empty texts are judged by the bias alone; repeated rows and null ids are judged each; columns pass through, whatever their
+    names. An empty table stays empty. No row of docs is shuffled.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     model = _model(texts, labels, per_class, bits, id_col, label_col, settings)
     return docs.mapInArrow(lambda batches: _clean(batches, model, bits, text_col), docs.schema)
