@@ -78,11 +78,12 @@ def test_packing_round_trip(docs, rows):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     window = 256
-    got = pack(docs, VOCABULARY, window=window, shard_docs=8).toPandas()
+    special = [(70, "a <|endoftext|> b", "en", "a", 0), (71, "<|endoftext|>", "en", "a", 0), (72, "x<|endoftext|>" * 400, "en", "a", 0)]
+    more = docs.sparkSession.createDataFrame(special, "doc_id long, text string, lang string, source string, n_chars long")
+    got = pack(docs.unionByName(more, allowMissingColumns=True), VOCABULARY, window=window, shard_docs=8).toPandas()
     want = collections.Counter()
-    for i, t, *_ in rows:
+    for i, t, *_ in [*rows, *special]:
         want[i if i is not None else -1, tuple(tokenizer.encode(t or "", add_special_tokens=False).ids + [1])] += 1
     got["doc_id"] = got.doc_id.fillna(-1)
     for (i, ids), n in want.items():
@@ -112,14 +113,47 @@ def test_tokens_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    texts = ["", "a", " a  b\n\n c", "don't we'll I'd", "é à  b  c　 d", "tab\t\tx  ", "<|endoftext|> x", "1 23 4,5", "日本 語", "a\u0085 b", "x   y", "   z"]
+    texts = ["", "a", "<|endoftext|>", "a<|endoftext|>b <|endoftext|>", "<|endoftext |>", " a  b\n\n c", "don't we'll I'd", "é à  b  c　 d", "tab\t\tx  ", "<|endoftext|> x", "1 23 4,5", "日本 語", "a\u0085 b", "x   y", "   z"]
     with open(VOCABULARY, encoding="utf-8") as file:
         encode = Encoder(file.read())
     for _ in range(2):  # the second time every piece is known
         ids, bounds, _ = encode(pa.array(texts))
         for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
             assert ids[a:b].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    tokenizer.encode_special_tokens = True
+    with open(VOCABULARY, encoding="utf-8") as file:
+        plain = Encoder(file.read(), added_as_text=True)
+    ids, bounds, _ = plain(pa.array(texts))
+    for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        assert ids[a:b].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_long_documents_are_dealt_evenly(spark):
+    """Long documents with one frequent word don't meet in its shards; short ones still do, and no shard holds much more than the bound."""
+    from lathework.llm.packing import LONG, Statistics
+
+    rng = np.random.default_rng(2)
+    n, shards = 4000, 40
+    df = np.zeros(1 << 10, np.int64)
+    df[7] = n
+    statistics = Statistics(df, n, 100 * n, shards, shard_docs=n // shards, long_bytes=LONG * 1000)
+    owner, term = np.arange(n), np.full(n, 7)
+    sizes = np.where(rng.random(n) < 0.1, 50_000, 500)
+    dealt = statistics.shard(owner, term, rng.integers(0, 1 << 63, n).astype(np.uint64), sizes)
+    per_shard = np.bincount(dealt, sizes, shards)
+    assert per_shard.max() < 3 * per_shard.mean()
+
+
+def test_packing_over_several_shards(spark):
+    """Round trip and shards by content: whatever the number of shards, each token lies in one piece, and topics mostly stay together."""
+    topics = [[f"{t}{i}" for i in range(60)] for t in "abcdefgh"]
+    rng = np.random.default_rng(4)
+    texts = [(i, " ".join(rng.choice(topics[i % 8], 80))) for i in range(320)]
+    got = pack(spark.createDataFrame(texts, "doc_id long, text string"), VOCABULARY, window=1024, shard_docs=40).toPandas()
+    assert (got.sequence_id // (1 << 32)).nunique() > 2
+    assert (got.groupby("doc_id").length.sum() == got.groupby("doc_id").doc_tokens.first()).all()
+    pairs = [a % 8 == b % 8 for _, s in got.groupby("sequence_id") for a, b in itertools.pairwise(s.sort_values("offset").doc_id)]
+    assert np.mean(pairs) > 0.5  # by chance one in eight
 
 
 def test_packing_empty(empty):
@@ -145,6 +179,22 @@ def test_toxicity_learns(spark):
     assert toxicity(docs, labels).orderBy("doc_id").collect() == toxicity(docs, labels).orderBy("doc_id").collect()
 
 
+def test_toxicity_bound_and_shares(spark):
+    """Training rows end where their features exceed the bound, labels without a document teach nothing, and the bias follows the rows learnt from."""
+    from lathework.llm.toxicity import fit
+
+    texts = [(i, "bad words here " + " ".join(f"t{i}x{j}" for j in range(10)) if i % 3 == 0 else "plain words there " + " ".join(f"c{i}x{j}" for j in range(10))) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labelled = lambda extra=(): spark.createDataFrame([*((i, int(i % 3 == 0)) for i in range(300)), *extra], "doc_id long, label int")
+    whole = fit(docs, labelled(), bits=16)
+    more = fit(docs, labelled([(9000 + i, 1) for i in range(500)]), bits=16)
+    assert all(np.array_equal(a, b) for a, b in zip(whole[:2], more[:2], strict=True)) and whole[2] == more[2]
+    few = fit(docs, labelled(), bits=16, max_features=2000)
+    assert len(few[0]) and not np.array_equal(few[1], whole[1])
+    none = fit(docs, labelled(), bits=16, max_features=1)
+    assert len(none[0]) == 0
+
+
 def test_toxicity_awkward(docs, rows, empty, spark):
     labels = spark.createDataFrame([(1, 0, "x"), (5, 1, "x"), (6, 1, "x"), (8, 0, "x"), (None, 1, "x"), (99, 1, "x"), (9, None, "x")], "doc_id long, toxic int, text string")
     got = toxicity(docs, labels).toPandas()
@@ -461,6 +511,22 @@ def test_licenses(spark, docs, rows, empty):
         licenses.scan(data, {"a": "no hint here"}, ())
 
 
+@pytest.mark.parametrize("name", ["rights_reserved", "apache_notice", "mit_licensed", "cc_by"])
+def test_licenses_over_blanks_breaks_and_marks(spark, name):
+    """A known sentence is found however its words are parted: by blanks, a line's end, marks; not over a blank line or a sentence's end."""
+    rng = np.random.default_rng(1)
+    words = licenses.SENTENCES[name].replace("#", "3").split()
+    rows = []
+    for i in range(40):
+        parts = rng.choice([" ", "  ", "\n", "\t", " - ", "-", "\n * ", " \n// "], len(words))
+        rows.append((i, "x.\n" + "".join(a + b for a, b in zip(words, parts, strict=True)).rstrip(" -/*\n\t") + ". y"))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    lost = [rows[r.doc_id][1] for r in got if name not in r.sentence_ids.split(",")]
+    assert not lost, lost[:3]
+    apart = [(i, "x. " + " ".join(words[:1]) + gap + " ".join(words[1:]) + ". y") for i, gap in enumerate(("\n\n", ". ", "! "))]
+    assert all(r.sentence_ids == "" for r in licenses.scan(spark.createDataFrame(apart, "doc_id long, text string")).collect())
+
+
 def test_licenses_find_every_rule_on_its_standard_notice(spark):
     apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.'
     gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the\nGNU General Public License for more details."
