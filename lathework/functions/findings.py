@@ -28,36 +28,64 @@ def _where_wanted(kind: str, text: Column, then: Column, otherwise: Column) -> C
     return F.when(wanted & text.rlike(PATTERNS[needed]) if needed else wanted, then).otherwise(otherwise)
 
 
-def _found(kind: str, text: Column) -> Column:
-    """(kind, line, secret) of each match; lines are counted by the line feeds before it, match by match."""
-    gaps, secrets = F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+def _bound(value: Column, use) -> Column:
+    """use(value), where value is computed once: what stands in a lambda is computed anew for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _matches(kind: str, text: Column) -> Column:
+    """(kind, line, secret) of each match of a kind in one text, in order.
+
+    The text between and in matches is counted for line feeds match by match; the running sum over them is taken in blocks, so
+    that many matches don't cost their square.
+    """
+    none = F.array().cast("array<struct<kind:string,line:int,secret:string>>")
     feeds = lambda c: F.regexp_count(c, F.lit("\n"))
-    fields = "array<struct<kind:string,line:int,secret:string>>"
+    step = lambda gap, secret: F.struct(feeds(gap).alias("gap"), feeds(secret).alias("own"))
+    told = lambda line, secret: F.struct(F.lit(kind).alias("kind"), line.alias("line"), secret.alias("secret"))
+
+    def located(secrets: Column) -> Column:
+        gaps = F.slice(F.split(text, PATTERNS[kind], -1), F.lit(1), F.size(secrets))
+        return F.zip_with(_bound(F.zip_with(gaps, secrets, step), _lines), secrets, told)
+
+    return _where_wanted(kind, text, _bound(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), located), none)
 
-    def step(state: Column, i: Column) -> Column:
-        line = state["line"] + feeds(F.get(gaps, i))
-        secret = F.get(secrets, i)
-        finding = F.array(F.struct(F.lit(kind).alias("kind"), line.alias("line"), secret.alias("secret")))
-        return F.struct((line + feeds(secret)).alias("line"), F.concat(state["all"], finding).alias("all"))
 
-    none = F.array().cast(fields)
-    places = F.filter(F.sequence(F.lit(0), F.size(secrets)), lambda i: i < F.size(secrets))
-    folded = F.aggregate(places, F.struct(F.lit(1).alias("line"), none.alias("all")), step, lambda state: state["all"])
-    return _where_wanted(kind, text, folded, none)
+BLOCK = 64
+
+
+def _lines(steps: Column) -> Column:
+    """The line of each match, from the line feeds in the gap before it and in itself: sums of whole blocks, then within a block."""
+    none = F.array().cast("array<int>")
+    added = lambda part: F.aggregate(part, F.lit(0), lambda total, x: total + x["gap"] + x["own"])
+    upto = lambda sums, i: F.aggregate(F.slice(sums, F.lit(1), i), F.lit(0), lambda total, x: total + x)
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1)), F.lit(BLOCK)), lambda i: F.slice(steps, i, F.lit(BLOCK)))
+    within = lambda block, start: F.transform(block, lambda x, i: F.lit(1) + start + added(F.slice(block, F.lit(1), i)) + x["gap"])
+    whole = lambda blocks: _bound(F.transform(blocks, added), lambda sums: F.flatten(F.transform(blocks, lambda block, i: _bound(upto(sums, i), lambda start: within(block, start)))))
+    return F.when(F.size(steps) > 0, _bound(starts, whole)).otherwise(none)
 
 
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, kind, line and excerpt (its line, the secret masked by its length, 200 characters at most) of each secret."""
+    """id, kind, line and excerpt (its line, the secret masked by its length, 200 characters at most) of each secret.
+
+    Lines are looked up before findings become rows, so that no row carries its text.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col), text.alias("_text"), F.explode(F.concat(*(_found(kind, text) for kind in PATTERNS))).alias("_x"))
-    line = F.get(F.split("_text", "\n", -1), F.col("_x.line") - 1)
-    mask = F.concat(F.lit("[REDACTED-"), F.length("_x.secret").cast("string"), F.lit("]"))
-    return rows.select(id_col, "_x.kind", "_x.line", F.substring(F.replace(line, F.col("_x.secret"), mask), 1, 200).alias("excerpt"))
+    mask = lambda x: F.concat(F.lit("[REDACTED-"), F.length(x["secret"]).cast("string"), F.lit("]"))
+
+    def shown(found: Column) -> Column:
+        """The lines of a text are cut once, and only if something is found in it."""
+        excerpt = lambda x, all_: F.substring(F.replace(F.get(all_, x["line"] - 1), x["secret"], mask(x)), 1, 200)
+        told = lambda all_: F.transform(found, lambda x: F.struct(x["kind"].alias("kind"), x["line"].alias("line"), excerpt(x, all_).alias("excerpt")))
+        return F.when(F.size(found) > 0, _bound(F.split(text, "\n", -1), told))
+
+    found = _bound(F.concat(*(_matches(kind, text) for kind in PATTERNS)), shown)
+    return docs.select(F.col(id_col), F.explode(found).alias("_x")).select(id_col, "_x.*")
 
 
 def lines(text: Column) -> Column:
     """The line of each secret in a text, kind by kind."""
-    return F.transform(F.concat(*(_found(kind, text) for kind in PATTERNS)), lambda x: x["line"])
+    return F.transform(F.concat(*(_matches(kind, text) for kind in PATTERNS)), lambda x: x["line"])
 
 
 def redacted(text: Column) -> Column:

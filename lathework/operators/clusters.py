@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graphs import components
-
 
 def bounds(elements: DataFrame, group: str, tallies: dict[str, Column] | None = None) -> DataFrame:
     """The box around each group's elements (x, y, w, h), how many there are, and how many of each tally."""
@@ -60,34 +58,6 @@ def twins(elements: DataFrame, owner: str, kind: str, box: list[str], looks: dic
     return grouped.filter(F.col("axes").between(*axes))
 
 
-def snapped(values: DataFrame, group: str, value: str, tolerance: float) -> DataFrame:
-    """Each group's distinct values with the least of its cluster: one that is over the tolerance above a cluster's least opens the next."""
-    lists = values.groupBy(group).agg(F.sort_array(F.collect_set(F.col(value).cast("double"))).alias("_all"))
-    state = F.struct(F.lit(None).cast("double").alias("low"), F.array().cast(f"array<struct<{value}:double,snapped:double>>").alias("out"))
-
-    def step(s: Column, v: Column) -> Column:
-        low = F.when(v - s["low"] <= tolerance, s["low"]).otherwise(v)
-        return F.struct(low.alias("low"), F.array_append(s["out"], F.struct(v.alias(value), low.alias("snapped"))).alias("out"))
-
-    return lists.select(group, F.explode(F.aggregate("_all", state, step, lambda s: s["out"])).alias("_s")).select(group, f"_s.{value}", "_s.snapped")
-
-
-def near_boxes(boxes: DataFrame, group: str, proximity: float) -> DataFrame:
-    """box_id, cluster: boxes(box_id, x0, y0, x1, y1) that lie within `proximity` of one another, link by link; the cluster is its least box.
-
-    Boxes are entered in each cell of a grid that they (widened by half the proximity) touch, so that only
-    neighbours of one cell are compared.
-    """
-    cell = proximity * 4
-    low, high = lambda c: F.floor((F.col(c) - proximity / 2) / cell).cast("long"), lambda c: F.floor((F.col(c) + proximity / 2) / cell).cast("long")
-    entered = boxes.withColumn("cx", F.explode(F.sequence(low("x0"), high("x1")))).withColumn("cy", F.explode(F.sequence(low("y0"), high("y1"))))
-    a, b = entered.alias("a"), entered.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (group, "cx", "cy")]
-    close = [F.col(f"{p}.{c}0") - proximity < F.col(f"{q}.{c}1") for c in ("x", "y") for p, q in (("a", "b"), ("b", "a"))]
-    links = a.join(b, [*same, F.col("a.box_id") < F.col("b.box_id"), *close]).select(F.col("a.box_id").alias("source"), F.col("b.box_id").alias("target")).distinct()
-    return boxes.select("box_id").distinct().join(components(links), F.col("box_id") == F.col("node"), "left").select("box_id", F.coalesce("component", "box_id").alias("cluster"))
-
-
 def grids(cells: DataFrame, page: str, least: int = 2, fill: float = 0.65, tolerance: float = 5.0) -> DataFrame:
     """page, columns, rows, cells, fill, is_table: whether a page's boxes form a grid, filled well and with even column widths."""
     shape = cells.groupBy(page).agg(F.count_distinct("x").alias("columns"), F.count_distinct("y").alias("rows"), F.count_distinct("x", "y").alias("cells"))
@@ -97,22 +67,6 @@ def grids(cells: DataFrame, page: str, least: int = 2, fill: float = 0.65, toler
     return shape.join(widths, page).select(page, "columns", "rows", "cells", share.alias("fill"), is_table.alias("is_table"))
 
 
-def line_grid(lines: DataFrame, page: str, tolerance: float = 1.0) -> DataFrame:
-    """page, x0, x1, y0, y1 of the cells between ruled lines(page, across boolean, at, low, high).
-
-    A line counts if two or more lines of the other direction on its page cross it. Cells lie between neighbouring
-    counted lines.
-    """
-    def crossed(of: DataFrame, by: DataFrame) -> DataFrame:
-        other = by.select(F.col(page).alias("_page"), F.col("at").alias("_at"), F.col("low").alias("_low"), F.col("high").alias("_high"))
-        meets = (F.col(page) == F.col("_page")) & F.col("_at").between(F.col("low") - tolerance, F.col("high") + tolerance) & F.col("at").between(F.col("_low") - tolerance, F.col("_high") + tolerance)
-        return of.join(other, meets).groupBy(page, "at").agg(F.count_distinct("_at").alias("_n")).filter("_n >= 2").select(page, "at")
-
-    across, down = lines.filter("across"), lines.filter("not across")
-    gaps = lambda found, a, b: found.select(page, F.col("at").alias(a), F.lead("at").over(Window.partitionBy(page).orderBy("at")).alias(b)).filter(F.col(b).isNotNull())
-    return gaps(crossed(down, across), "x0", "x1").join(gaps(crossed(across, down), "y0", "y1"), page)
-
-
 def gap_columns(rows: DataFrame, page: str, x: str, gap: float) -> DataFrame:
     """page, col, x0, x1, starts: distinct positions of each page in columns, cut where they lie more than `gap` apart."""
     order = Window.partitionBy(page).orderBy(x)

@@ -24,7 +24,7 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """node, depth: what edges(source, target) lead to from roots(node), by the fewest edges; roots have depth 0.
 
     Each round joins only the nodes found in the last one; cycles end, as known nodes are not visited again.
-    Targets without edges of their own are leaves.
+    Targets without edges of their own are leaves. Runs jobs when it is called, one a level.
     """
     frontier = settled(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     levels = [frontier]
@@ -33,6 +33,8 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
         known = reduce(DataFrame.unionByName, levels).select("node")
         frontier = settled(after.join(known, "node", "left_anti"))
         levels.append(frontier)
+        if len(levels) > 8:  # so that neither the plan nor the number of tables grows with the depth
+            levels = [settled(reduce(DataFrame.unionByName, levels))]
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -40,7 +42,7 @@ def components(links: DataFrame) -> DataFrame:
     """node, component: the least node that links(source, target) connect each node with. Nodes without links are not in it.
 
     Each round a node takes the least label of its neighbours and then that label's own label; rounds are
-    checkpointed, and end when nothing changes.
+    checkpointed, and end when nothing changes. Runs jobs when it is called.
     """
     edges = links.select("source", "target").filter("source <> target")
     edges = settled(edges.union(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct())
@@ -61,7 +63,7 @@ def composed(groups: DataFrame) -> DataFrame:
     groups: id, parent, and the same four against the parent's coordinates. Transforms compose in any
     grouping, so each round doubles how far up a row reaches: depth d takes log2(d) joins, each checkpointed.
     Rounds end when every row has reached a group without a known parent. Groups in a cycle, or below one, have
-    no page to reach and raise a ValueError.
+    no page to reach and raise a ValueError. Runs jobs when it is called.
     """
     axes = ("off_x", "off_y", "scale_x", "scale_y")
     known = groups.select("id", F.col("parent").alias("up"), *(F.col(c).cast("double").alias(c) for c in axes))

@@ -41,7 +41,7 @@ def refreshed(data: DataFrame, formats: DataFrame, key: str) -> DataFrame:
 def merged(cells_: DataFrame, merges: DataFrame, key: str) -> DataFrame:
     """Cells(key, row, col) with is_origin, spanned, row_span and col_span under merges(key, top, left, bottom, right).
 
-    Merges that share a cell are an error: their number is counted over all cells and raised.
+    Merges that share a cell are an error, which a job looks for when this is called.
     """
     opened = merges.withColumn("row", F.explode(F.sequence("top", "bottom"))).withColumn("col", F.explode(F.sequence("left", "right")))
     if opened.groupBy(key, "row", "col").count().filter("count > 1").limit(1).count():
@@ -107,3 +107,47 @@ def sheet_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shown = F.transform(F.filter(made, lambda c: F.trim(F.replace(c["text"], F.lit("\n"), F.lit(""))) != ""), lambda c: F.struct(c["kind"].alias("kind"), c["line_start"].alias("line_start"), c["line_end"].alias("line_end"), F.concat(header, F.lit("\n"), c["text"]).alias("text")))
     first = F.array(F.struct(F.lit("csv_header").alias("kind"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), header.alias("text")))
     return rows.select(id_col, F.explode(F.concat(first, shown)).alias("_c")).select(id_col, "_c.*")
+
+
+def extracted(elements: DataFrame, key: list[str], kind: str = "kind") -> DataFrame:
+    """key, page, shape, idx, name, category, value: the data of all charts and tables among elements, under their page and shape.
+
+    elements(key, page, shape, kind, categories, series(name, values), rows, has_header): a chart gives a row for each point, named by its series
+    (Series_{i} for one without a name); a table a row for each cell below its header, named by its column, with the text as value. Others give none.
+    """
+    at = [*key, "page", "shape"]
+    charts = elements.filter(F.col(kind) == "chart").select(*at, "categories", F.posexplode("series").alias("_i", "_s"))
+    name = F.coalesce(F.nullif("_s.name", F.lit("")), F.concat(F.lit("Series_"), F.col("_i")))
+    points = charts.select(*at, name.alias("name"), "categories", F.posexplode("_s.values").alias("idx", "_v")).select(*at, "idx", "name", F.get("categories", F.col("idx")).alias("category"), F.col("_v").cast("string").alias("value"))
+    tables = elements.filter(F.col(kind) == "table").select(F.struct(*at).alias("_at"), "has_header", "rows")
+    parts = [promoted(tables.filter(flag), "_at", "rows", has) for flag, has in (("has_header", True), ("not coalesce(has_header, false)", False))]
+    cells_ = parts[0].unionByName(parts[1]).select(*(F.col(f"_at.{c}").alias(c) for c in at), F.col("row").alias("idx"), "name", F.lit(None).cast("string").alias("category"), "value")
+    return points.unionByName(cells_)
+
+
+def category_rows(charts: DataFrame, key: str) -> DataFrame:
+    """key, idx, category, series, value of charts(key, categories, series(name, values)), each as long as its longest series or its categories.
+
+    A category that is missing is "Cat n", a series without a name "Series n", a value beyond its series null.
+    """
+    longest = F.greatest(F.size("categories"), F.array_max(F.concat(F.array(F.lit(0)), F.transform("series", lambda s: F.size(s["values"])))))
+    places = F.when(longest > 0, F.sequence(F.lit(0), longest - 1)).otherwise(F.array().cast("array<int>"))
+    each = charts.select(key, "categories", F.posexplode("series").alias("_i", "_s"), places.alias("_at")).select(key, "categories", "_i", "_s", F.explode("_at").alias("idx"))
+    category = F.coalesce(F.get("categories", F.col("idx")), F.concat(F.lit("Cat "), (F.col("idx") + 1).cast("string")))
+    series = F.coalesce(F.nullif("_s.name", F.lit("")), F.concat(F.lit("Series "), (F.col("_i") + 1).cast("string")))
+    return each.select(key, "idx", category.alias("category"), series.alias("series"), F.get("_s.values", F.col("idx")).alias("value"))
+
+
+def flattened_categories(labels: DataFrame, key: str) -> DataFrame:
+    """key, idx, path: the full path of each leaf of labels(key, level, idx, label), the outermost label first.
+
+    Level 0 holds the leaves; on higher levels a label holds from its idx on, up to the next one's. One window a chart: each level's last label so far.
+    A level without a label up to there gives an empty one.
+    """
+    depth = labels.groupBy(key).agg(F.max("level").alias("_depth"))
+    joined = labels.join(depth, key)
+    # Every label stands once for each level, so that a leaf sees the last one of each; at one place it comes behind those of higher levels.
+    so_far = Window.partitionBy(key, "_n").orderBy("idx", F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
+    told = F.last(F.when(F.col("level") == F.col("_n"), F.col("label")), ignorenulls=True).over(so_far)
+    each = joined.withColumn("_n", F.explode(F.sequence(F.lit(0), F.col("_depth")))).withColumn("_told", told).filter("level = 0")
+    return each.groupBy(key, "idx").agg(F.transform(F.reverse(F.sort_array(F.collect_list(F.struct("_n", F.coalesce("_told", F.lit("")).alias("x"))))), lambda s: s["x"]).alias("path"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .geometry import boxes_around
 from .graphs import settled
 
 MOST_PALETTE = 4096
@@ -27,15 +28,9 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: l
 def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float, slack: float = 0.0) -> DataFrame:
     """point_id, box_id: the smallest id of the boxes (box_id, x0, y0, x1, y1) that hold a point (point_id, x, y).
 
-    Boxes are entered in each grid cell that they touch, so that an equi-join on cells replaces all pairs;
-    `cell` should be about a box's size.
+    `cell` should be about the smallest boxes' size; larger boxes are entered in coarser grids (see geometry.boxes_around).
     """
-    place = lambda c: F.floor(c / F.lit(float(cell))).cast("long")
-    wide = boxes.select("box_id", (F.col("x0") - slack).alias("x0"), (F.col("y0") - slack).alias("y0"), (F.col("x1") + slack).alias("x1"), (F.col("y1") + slack).alias("y1"))
-    entered = wide.withColumn("cx", F.explode(F.sequence(place(F.col("x0")), place(F.col("x1"))))).withColumn("cy", F.explode(F.sequence(place(F.col("y0")), place(F.col("y1")))))
-    placed = points.select("point_id", "x", "y", place(F.col("x")).alias("cx"), place(F.col("y")).alias("cy"))
-    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    return placed.join(entered, ["cx", "cy"]).filter(inside).groupBy("point_id").agg(F.min("box_id").alias("box_id"))
+    return boxes_around(points, boxes, [], cell, slack).groupBy("point_id").agg(F.min("box_id").alias("box_id"))
 
 
 def nearest(items: DataFrame, item: str, palette: DataFrame, entry: str, distance: Column) -> DataFrame:
@@ -56,7 +51,7 @@ def inherited(nodes: DataFrame, node: str, parent: str, value: str, default=None
 
     Each round looks up the parent's answer and its ancestor twice as far, so that depth d takes log2(d) joins.
     Rounds are checkpointed and end when no row waits for an ancestor any more, or only those do that wait in a
-    circle: these get the default.
+    circle: these get the default. Runs jobs when it is called.
     """
     known = settled(nodes.select(F.col(node), F.when(F.col(value).isNull(), F.col(parent)).alias("_up"), F.col(value)))
     waiting = known.filter("_up is not null").count()

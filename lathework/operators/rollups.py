@@ -58,14 +58,36 @@ def varying(df: DataFrame, by: str, fields: list[str]) -> DataFrame:
     return counted.unpivot(by, fields, "field", "n_values").filter("n_values >= 2")
 
 
-def first_values(df: DataFrame, by: str, field: str, order: str, most: int = 100) -> DataFrame:
-    """by, values: the distinct values of a field in the order in which they first appear, for groups that have 2 to `most` of them."""
+def first_values(df: DataFrame, by: str, field: str, order: str, least: int = 2) -> DataFrame:
+    """by, values: the distinct values of a field in the order in which they first appear, for groups that have at least `least` of them.
+
+    A group's values are one array in the result, so this is for fields of few values; repeats are gone before they are listed.
+    """
     firsts = df.filter(F.col(field).isNotNull()).groupBy(by, field).agg(F.min(order).alias("_at"))
-    few = firsts.groupBy(by).agg(F.count("*").alias("_n")).filter(F.col("_n").between(2, most)).select(by)
-    lists = firsts.join(few, by).groupBy(by).agg(F.sort_array(F.collect_list(F.struct("_at", field))).alias("_all"))
+    lists = firsts.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("_at", field))).alias("_all")).filter(F.size("_all") >= least)
     return lists.select(by, F.transform("_all", lambda x: x[field]).alias("values"))
 
 
 def longest(df: DataFrame, by: str, items: str, order: str, name: str = "longest") -> DataFrame:
     """The longest list of each group, the first of equally long ones."""
     return df.groupBy(by).agg(F.max_by(items, F.struct(F.size(items), -F.col(order))).alias(name))
+
+
+def style_profile(df: DataFrame, by: str, modes: dict[str, str], lists: dict[str, tuple[str, int]], flags: dict[str, Column], position: str) -> DataFrame:
+    """One row per group: the most frequent value of each of modes, the most frequent values of each of lists (column, how many), whether most of each of flags hold.
+
+    Of equally frequent values that which comes first by position leads; nulls don't count; a flag that is never known is null. All features are
+    counted in one shuffle, as rows of (group, feature, value), before any is ranked.
+    """
+    columns = {**modes, **{name: c for name, (c, _) in lists.items()}}
+    shape = [F.struct(F.lit(name).alias("feature"), F.col(c).cast("string").alias("value")) for name, c in columns.items()]
+    each = df.select(by, F.col(position).alias("_at"), F.explode(F.array(*shape)).alias("_f")).select(by, "_at", "_f.*").filter("value is not null")
+    counted = each.groupBy(by, "feature", "value").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    nth = F.row_number().over(Window.partitionBy(by, "feature").orderBy(F.desc("_n"), "_first"))
+    most = {**dict.fromkeys(modes, 1), **{name: k for name, (_, k) in lists.items()}}
+    wanted = F.create_map(*(F.lit(x) for pair in most.items() for x in pair))
+    top = counted.withColumn("_nth", nth).filter(F.col("_nth") <= F.element_at(wanted, F.col("feature")))
+    listed = top.groupBy(by).pivot("feature", list(columns)).agg(F.sort_array(F.collect_list(F.struct("_nth", "value"))))
+    values = [F.get(F.col(f"{name}.value"), F.lit(0)).alias(name) for name in modes] + [F.col(f"{name}.value").alias(name) for name in lists]
+    held = df.groupBy(by).agg(*(majority(c).alias(name) for name, c in flags.items()), F.count("*").alias("members"))
+    return held.join(listed.select(by, *values), by, "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,35 @@ def bad_transitions(history: DataFrame, key: str, status: str, order: list, allo
     for state, following in allowed.items():
         ok = ok.when(F.col("previous") == state, F.col(status).isin(*following) if following else F.lit(False))
     return history.withColumn("previous", before).filter(~F.coalesce(ok.otherwise(False), F.lit(False)))
+
+
+def updated(rows: DataFrame, changes: DataFrame, key: str, at: str, allowed: list[str]) -> DataFrame:
+    """Rows after changes(key, at, field, value as text): the last change of each allowed field holds, a null value too; other fields and unknown keys change nothing.
+
+    A value that doesn't fit its column's type is an error.
+    """
+    last = changes.filter(F.col("field").isin(*allowed)).groupBy(key).pivot("field", allowed).agg(F.max_by(F.struct("value"), at))
+    joined = rows.join(last.select(key, *(F.col(f).alias(f"_new_{f}") for f in allowed)), key, "left")
+    set_to = lambda f: F.when(F.col(f"_new_{f}").isNotNull(), F.col(f"_new_{f}.value").cast(rows.schema[f].dataType)).otherwise(F.col(f))
+    return joined.select(*(set_to(c).alias(c) if c in allowed else F.col(c) for c in rows.columns))
+
+
+def reordered(rows: DataFrame, operations: DataFrame, group: str, key: str, place: str) -> DataFrame:
+    """Rows(group, key, place, ...) after operations(group, key, at, op, place, new_key), with position from 1 in their group.
+
+    Places are numbers between which there is always another, so an insert or a move names one and touches a single row: of each row the last move
+    or delete (by at) holds. A duplicate adds a copy of the row as new_key at its place, to which later operations may refer; copies of copies are
+    not made here. An operation on a key that isn't there does nothing. Equal places stand in order of key.
+    """
+    copies = operations.filter("op = 'duplicate'").select(F.col(group).alias("_g"), F.col(key).alias("_k"), F.col("new_key").alias("_new"), F.col(place).alias("_place"))
+    added = rows.join(copies, (F.col(group) == F.col("_g")) & (F.col(key) == F.col("_k")))
+    added = added.select(*(F.col("_new").alias(c) if c == key else F.col("_place").alias(c) if c == place else F.col(c) for c in rows.columns))
+    last = operations.filter("op in ('move', 'delete')").groupBy(group, key).agg(F.max_by(F.struct("op", F.col(place).alias("to")), "at").alias("_op"))
+    after = rows.unionByName(added).join(last, [group, key], "left").filter("_op is null or _op.op = 'move'").withColumn(place, F.coalesce("_op.to", place)).drop("_op")
+    return renumbered(after.select(*rows.columns), group, [F.col(place), F.col(key)])
+
+
+def element_print(numbers: dict[str, Column], texts: dict[str, Column], most: int = 120) -> Column:
+    """What of an element counts as a change, as JSON: numbers to 3 places, texts to `most` characters; what is null or empty is left out."""
+    kept = [F.round(c.cast("double"), 3).alias(n) for n, c in numbers.items()] + [F.nullif(F.left(c, F.lit(most)), F.lit("")).alias(n) for n, c in texts.items()]
+    return F.to_json(F.struct(*kept))

@@ -66,8 +66,19 @@ def sketch(df: DataFrame, dimensions: list[Column], measures: list[Measure]) ->
     return grouped.agg(*shown) if shown else df.select(*dimensions[:MOST_SKETCHED]).distinct()
 
 
+#: How aggregates of parts are aggregated for the whole, where they can be.
+MERGED = {"sum": "sum", "min": "min", "max": "max", "cnt": "sum"}
+
+
 def with_totals(df: DataFrame, dimensions: list[str], measures: list[Measure], cube: bool = False) -> DataFrame:
-    """Subtotals over the dimensions from the right, or over each subset of them; grouping_level tells which."""
+    """Subtotals over the dimensions from the right, or over each subset of them; grouping_level tells which.
+
+    If all measures can be merged (sums, counts, least and greatest values), rows are aggregated at the finest level first, and only these
+    few are expanded to all levels.
+    """
+    if all(m.aggregate.lower() in MERGED for m in measures):
+        df = df.groupBy(*dimensions).agg(*(m.column for m in measures))
+        measures = [Measure(m.name, F.col(m.name), MERGED[m.aggregate.lower()]) for m in measures]
     grouped = df.cube(*dimensions) if cube else df.rollup(*dimensions)
     return grouped.agg(*(m.column for m in measures), F.grouping_id().cast("int").alias("grouping_level"))
 

@@ -56,22 +56,6 @@ def overlapping(left: DataFrame, left_id: str, left_names: str, right: DataFrame
     return shared.withColumn("nth", F.row_number().over(Window.partitionBy(left_id).orderBy(F.desc("shared"), right_id)))
 
 
-def similar_pairs(docs: DataFrame, id_col: str, tokens: str, least: float, most_common: int) -> DataFrame:
-    """a, b (a < b), shared, similarity of rows whose token sets share at least `least` of all.
-
-    Rows meet at tokens that at most `most_common` rows have; the similarity then counts all tokens of both.
-    """
-    each = docs.select(id_col, F.explode(F.array_distinct(tokens)).alias("_t"))
-    rare = each.groupBy("_t").agg(F.count("*").alias("_n")).filter(F.col("_n").between(2, most_common)).select("_t")
-    met = each.join(rare, "_t")
-    side = lambda name: met.select(F.col(id_col).alias(name), "_t")
-    pairs = side("a").join(side("b"), "_t").filter("a < b").select("a", "b").distinct()
-    sets = lambda name: docs.select(F.col(id_col).alias(name), F.array_distinct(tokens).alias(f"_{name}"))
-    both = pairs.join(sets("a"), "a").join(sets("b"), "b").withColumn("shared", F.size(F.array_intersect("_a", "_b")))
-    similarity = F.col("shared") / (F.size("_a") + F.size("_b") - F.col("shared"))
-    return both.withColumn("similarity", similarity).filter(F.col("similarity") >= least).select("a", "b", "shared", "similarity")
-
-
 def zipped(left: DataFrame, right: DataFrame, key: str, left_order: list, right_order: list) -> DataFrame:
     """The n-th row of left with the n-th row of right of each key, as long as both have one; `nth` counts from 1."""
     place = lambda df, order: df.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order)))

@@ -88,11 +88,11 @@ def pages_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.structure_changes(every.filter("element_id % 11 <> 3"), every.filter("element_id % 13 <> 5 and page <> 7"), "page", "kind")
 
 
-@query("""with o as (select o_orderkey, case when o_orderkey % 2 = 0 then n_nationkey else 1000 + o_custkey end as g from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where o_orderkey % 40 < 2),
+@query("""with o as (select o_orderkey, case when o_orderkey % 2 = 0 then n_nationkey else 1000 + o_custkey end as g from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
     m as (select s_nationkey as g, s_suppkey from supplier)
     select o_orderkey, coalesce(s_suppkey, o.g)::bigint as target from o left join m on m.g = o.g""")
 def expanded_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 40 < 2").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     target = F.when(F.col("o_orderkey") % 2 == 0, F.col("c_nationkey").cast("long")).otherwise(F.col("o_custkey") + 1000)
     members = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("g"), "s_suppkey")
     return audits.expanded(orders.select("o_orderkey", target.alias("g")), members, "g", "s_suppkey").select("o_orderkey", "target")
@@ -154,7 +154,7 @@ def element_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements(spark, sf_dir).select("element_id", (printed != "").alias("has_print"), digest.alias("digest"), json.alias("json"))
 
 
-@query(f"""with e as ({ELEMENTS_SQL}), v as (select distinct page, x::double as x from e where element_id <= 4000), g as (select page, x, x - coalesce(lag(x) over (partition by page order by x), x) > 2 as jump from v), n as (select page, x, sum(jump::int) over (partition by page order by x) as col from g)
+@query(f"""with e as ({ELEMENTS_SQL}), v as (select distinct page, x::double as x from e), g as (select page, x, x - coalesce(lag(x) over (partition by page order by x), x) > 2 as jump from v), n as (select page, x, sum(jump::int) over (partition by page order by x) as col from g)
     select page, col::bigint as col, min(x)::double as x0, max(x)::double as x1, count(*) as starts from n group by 1, 2""")
 def text_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.gap_columns(elements(spark, sf_dir).filter("element_id <= 4000"), "page", "x", gap=2)
+    return clusters.gap_columns(elements(spark, sf_dir), "page", "x", gap=2)

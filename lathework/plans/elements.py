@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import layout, phrases, values
-from ..operators import brands, clusters, search
+from ..functions.text import STOP_WORDS
+from ..operators import brands, clusters, geometry, search
 from ..sources.files import table
 from .registry import query
 
@@ -41,6 +42,28 @@ def found_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("element_id", "page", F.round("confidence", 6).alias("confidence"), "ambiguous")
 
 
+SAID = "the polished brass widget chart"
+
+
+def _said_sql() -> str:
+    wanted = ", ".join(f"'{w}'" for w in search.query_tokens(SAID))
+    tokens = f"list_distinct([lower(w) for w in regexp_extract_all(label, '[A-Za-z][A-Za-z0-9_]+') if lower(w) not in ({', '.join(repr(w) for w in STOP_WORDS)})])"
+    return f"""with e as ({ELEMENTS_SQL}), d as (select element_id, page, kind, z, {tokens} as tokens from e), t as (select element_id, len(tokens) as n, unnest([w for w in tokens if w in ({wanted})]) as w from d),
+        df as (select w, count(*) as df from t group by 1), g as (select count(*) as docs, avg(len(tokens)) as mean from d),
+        b as (select element_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * greatest(n, 1) / mean))) as said from t join df using (w), g group by 1),
+        r as (select element_id, page, z, coalesce(said, 0) + (case when kind = 'chart' then 1.0 else 0 end) + (case when page = 5 then 1.0 when abs(page - 5) = 1 then 0.3 else 0 end) as raw from d left join b using (element_id)),
+        s as (select *, raw / greatest(max(raw) over (), 1.5) as score from r where raw > 0), k as (select element_id, page, score from s where score >= 0.2 order by round(score, 9) desc, z desc, page, element_id limit 12)
+        select element_id, page, round(score, 6)::double as confidence from k"""
+
+
+@query(_said_sql())
+def elements_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements that a request means by what they say, besides kind and page."""
+    placed = elements(spark, sf_dir).withColumn("place", values.quadrant(F.col("x"), F.col("y"), F.col("w"), F.col("h")))
+    out = search.ranked_elements(placed, SAID, viewing=5, least=0.2, top=12, text_col="label")
+    return out.select("element_id", "page", F.round("confidence", 6).alias("confidence"))
+
+
 def _words_sql(groups: dict[str, list[str]], test: str) -> str:
     return "[x for x in [" + ", ".join(f"case when {test.format('|'.join(words))} then '{name}' end" for name, words in groups.items()) + "] if x is not null]"
 
@@ -81,30 +104,28 @@ def page_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.candidates(out, whole=8, top=25)
 
 
-@query(f"""with e as ({ELEMENTS_SQL}), s as (select page, string_agg(kind || '@' || round_even(x / 0.5, 0)::int || ',' || round_even(y / 0.5, 0)::int || '#' || round_even(w / 0.5, 0)::int || 'x' || round_even(h / 0.5, 0)::int, '|' order by kind, round_even(x / 0.5, 0), round_even(y / 0.5, 0), round_even(w / 0.5, 0), round_even(h / 0.5, 0)) as skeleton, min(font) as font, min(colour) as colour, count(*) as n from e where element_id <= 400 group by page)
+@query(f"""with e as ({ELEMENTS_SQL}), s as (select page, string_agg(kind || '@' || round_even(x / 0.5, 0)::int || ',' || round_even(y / 0.5, 0)::int || '#' || round_even(w / 0.5, 0)::int || 'x' || round_even(h / 0.5, 0)::int, '|' order by kind, round_even(x / 0.5, 0), round_even(y / 0.5, 0), round_even(w / 0.5, 0), round_even(h / 0.5, 0)) as skeleton, min(font) as font, min(colour) as colour, count(*) as n from e group by page)
     select skeleton, count(*) as members, min(page)::int as first, ((count(distinct font) > 1)::int + (count(distinct colour) > 1)::int + (count(distinct n) > 1)::int)::int as axes from s group by 1""")
 def structural_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of the first elements by kind and place on a half-inch grid, and in how many ways their looks vary."""
-    some = elements(spark, sf_dir).filter("element_id <= 400")
-    return clusters.twins(some, "page", "kind", ["x", "y", "w", "h"], {"font": F.min("font"), "colour": F.min("colour"), "n": F.count("*")}, axes=(0, 12))
+    """Pages by kind and place on a half-inch grid, and in how many ways their looks vary."""
+    return clusters.twins(elements(spark, sf_dir), "page", "kind", ["x", "y", "w", "h"], {"font": F.min("font"), "colour": F.min("colour"), "n": F.count("*")}, axes=(0, 12))
 
 
-@query(f"""with recursive e as ({ELEMENTS_SQL}), v as (select page, x::double as v, row_number() over (partition by page order by x) as i from e where element_id <= 4000 group by page, x),
+@query(f"""with recursive e as ({ELEMENTS_SQL}), v as (select page, x::double as v, row_number() over (partition by page order by x) as i from e group by page, x),
     r(page, i, v, low) as (select page, i, v, v from v where i = 1 union all select v.page, v.i, v.v, case when v.v - r.low <= 1.5 then r.low else v.v end from r join v on v.page = r.page and v.i = r.i + 1)
     select page, v as x, low as snapped from r""")
 def snapped_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = elements(spark, sf_dir).filter("element_id <= 4000")
-    return clusters.snapped(some, "page", "x", tolerance=1.5)
+    return geometry.snapped(elements(spark, sf_dir), ["page"], "x", tolerance=1.5)
 
 
-@query(f"""with recursive e as ({ELEMENTS_SQL}), b as (select element_id, page, x, y, x + 0.2 as x1, y + 0.2 as y1 from e where element_id % 3 = 0),
+@query(f"""with recursive e as ({ELEMENTS_SQL}), b as (select element_id, page, x, y, x + 0.2 as x1, y + 0.2 as y1 from e),
     l as (select a.element_id as a, b.element_id as b from b a join b b on a.page = b.page and a.x - 0.3 < b.x1 and b.x - 0.3 < a.x1 and a.y - 0.3 < b.y1 and b.y - 0.3 < a.y1),
     c(id, low) as (select element_id, element_id from b union select l.b, c.low from c join l on l.a = c.id)
     select id as element_id, min(low) as cluster from c group by 1""")
 def near_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("x"), F.col("y")
-    boxes = elements(spark, sf_dir).filter("element_id % 3 = 0").select(F.col("element_id").alias("box_id"), "page", x.alias("x0"), y.alias("y0"), (x + 0.2).alias("x1"), (y + 0.2).alias("y1"))
-    return clusters.near_boxes(boxes, "page", proximity=0.3).select(F.col("box_id").alias("element_id"), "cluster")
+    boxes = elements(spark, sf_dir).select(F.col("element_id").alias("box_id"), "page", x.alias("x0"), y.alias("y0"), (x + 0.2).alias("x1"), (y + 0.2).alias("y1"))
+    return geometry.near_boxes(boxes, ["page"], proximity=0.3).select(F.col("box_id").alias("element_id"), "cluster")
 
 
 @query(f"""with e as ({ELEMENTS_SQL}), g as (select page, count(distinct x) as columns, count(distinct y) as rows, count(distinct (x, y)) as cells from e group by 1),
@@ -149,7 +170,8 @@ def raster_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merged_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Few element colours first, topped up with others not among them."""
     own = brands.counted(elements(spark, sf_dir), "colour", 3)
-    others = table(spark, sf_dir, "orders").select("o_orderpriority").distinct().select(F.concat(F.lit("#"), F.upper(F.substring(F.md5("o_orderpriority"), 1, 6))).alias("hex"), F.dense_rank().over(brands.everything("o_orderpriority")).alias("i"))
+    first = table(spark, sf_dir, "orders").select("o_orderpriority").distinct().orderBy("o_orderpriority").limit(16)  # more than a palette shows
+    others = first.select(F.concat(F.lit("#"), F.upper(F.substring(F.md5("o_orderpriority"), 1, 6))).alias("hex"), F.dense_rank().over(brands.everything("o_orderpriority")).alias("i"))
     return brands.topped_up(own, others.unionByName(own.select("hex", (F.col("i") + 100).alias("i"))), enough=4, top=8)
 
 

@@ -50,7 +50,7 @@ def styles_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     name = F.replace("n_name", F.lit(" "), F.lit("-"))
     asked = asked.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.lower(name)).otherwise(name).alias("wanted"))
-    return asked.join(F.broadcast(nations), charts.same_style(F.col("n_name"), F.col("wanted"))).groupBy("c_custkey").agg(F.min("n_nationkey").alias("style"))
+    return asked.join(nations, charts.same_style(F.col("n_name"), F.col("wanted"))).groupBy("c_custkey").agg(F.min("n_nationkey").alias("style"))
 
 
 @query("""select event_id, k + 1 as k, event_type as kind, '{"k":' || (k + 1) || ',"meta":{"kind":"' || event_type || '"}}' as body from (select *, (props::json->>'k')::bigint as k from events)""")

@@ -47,10 +47,10 @@ def sheet_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.sheet_chunks(table(spark, sf_dir, "documents"), size=5).select("doc_id", "kind", "line_start", "line_end", F.md5("text").alias("text_md5"))
 
 
-@query("""with s as (select o_custkey, o_orderstatus as at, case when o_orderstatus = 'P' then 'Series_P' else o_orderstatus end as name, list(o_orderpriority order by o_orderkey) as c, list(o_totalprice order by o_orderkey) as v from orders where o_custkey % 50 = 1 group by 1, 2)
+@query("""with s as (select o_custkey, o_orderstatus as at, case when o_orderstatus = 'P' then 'Series_P' else o_orderstatus end as name, list(o_orderpriority order by o_orderkey) as c, list(o_totalprice order by o_orderkey) as v from orders group by 1, 2)
     select o_custkey, (i - 1)::int as idx, c[i] as category, name as series, v[i] as value from (select *, unnest(range(1, len(c) + 1)) as i from s)""")
 def chart_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").filter("o_custkey % 50 = 1").groupBy("o_custkey", F.col("o_orderstatus").alias("at")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority", "o_totalprice"))).alias("x"))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey", F.col("o_orderstatus").alias("at")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority", "o_totalprice"))).alias("x"))
     series = rows.select("o_custkey", "at", F.when(F.col("at") != "P", F.col("at")).alias("name"), F.col("x.o_orderpriority").alias("categories"), F.col("x.o_totalprice").alias("values"))
     return grids.chart_frame(series, "o_custkey")
 

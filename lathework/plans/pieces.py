@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, values
-from ..operators import clusters, graphs, grids, reshape, rollups, snapshots, workspace, worksheet
+from ..operators import clusters, geometry, graphs, grids, reshape, rollups, snapshots, workspace, worksheet
 from ..operators.worksheet import Measure
 from ..sources.files import table
 from .elements import ELEMENTS_SQL, PLACE_SQL, elements
@@ -26,12 +26,12 @@ def element_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""with d as (select o_custkey, (row_number() over (partition by o_custkey order by o_orderkey) - 1)::int as idx, o_orderkey, o_totalprice from orders), f as (select * from d where idx < 4 and o_custkey % 2 = 1)
+@query("""with d as (select o_custkey, (row_number() over (partition by o_custkey order by o_orderkey) - 1)::int as idx, o_orderkey, o_totalprice from orders), f as (select * from d where idx < 4)
     select d.o_custkey, d.idx, o_orderpriority as format from d join (select o_custkey, max(idx) as last from f group by 1) l using (o_custkey) join f on f.o_custkey = d.o_custkey and f.idx = least(d.idx, l.last) join orders o on o.o_orderkey = f.o_orderkey""")
 def refreshed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New series in the formats of old ones; those beyond take the last one's."""
     nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
-    data = table(spark, sf_dir, "orders").select("o_custkey", nth.cast("int").alias("idx"), F.col("o_orderpriority").alias("format"), F.array("o_totalprice").alias("values"), F.lit("s").alias("name")).filter("o_custkey % 2 = 1")
+    data = table(spark, sf_dir, "orders").select("o_custkey", nth.cast("int").alias("idx"), F.col("o_orderpriority").alias("format"), F.array("o_totalprice").alias("values"), F.lit("s").alias("name"))
     return reshape.refresh_series(data.filter("idx < 4").select("o_custkey", "idx", "format"), data.drop("format"), ["o_custkey"]).select("o_custkey", "idx", "format")
 
 
@@ -90,13 +90,16 @@ def ordered_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("o_custkey", "o_orderkey", nth.alias("nth"))
 
 
-@query("""with l as (select l_suppkey as page, l_linenumber % 2 = 0 as across, (l_partkey % 12)::double as pos, (l_orderkey % 4)::double as low, (6 + l_orderkey % 5)::double as high from lineitem where l_orderkey < 400),
-    g as (select a.page, a.across, a.pos from l a join l b on a.page = b.page and a.across <> b.across and b.pos between a.low - 1 and a.high + 1 and a.pos between b.low - 1 and b.high + 1 group by a.page, a.across, a.pos having count(distinct b.pos) >= 2),
-    s as (select page, across, pos, lead(pos) over (partition by page, across order by pos) as next from g)
-    select x.page, x.pos as x0, x.next as x1, y.pos as y0, y.next as y1 from s x join s y on x.page = y.page and not x.across and y.across where x.next is not null and y.next is not null""")
+@query("""with recursive l as (select l_suppkey as page, (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey as id, l_linenumber % 2 = 0 as across, (l_partkey % 12)::double as pos, (l_orderkey % 4)::double as low, (6 + l_orderkey % 5)::double as high from lineitem),
+    g as (select a.page, a.across, a.pos from l a join l b on a.page = b.page and a.across <> b.across and b.pos between a.low - 1 and a.high + 1 and a.pos between b.low - 1 and b.high + 1 group by a.page, a.id, a.across, a.pos having count(*) >= 2),
+    v as (select page, across, pos, row_number() over (partition by page, across order by pos) as i from (select distinct page, across, pos from g)),
+    r(page, across, i, first) as (select page, across, i, pos from v where i = 1 union all select v.page, v.across, v.i, case when v.pos - r.first <= 1 then r.first else v.pos end from r join v on v.page = r.page and v.across = r.across and v.i = r.i + 1),
+    s as (select page, across, first as pos, row_number() over w - 1 as i, lead(first) over w as next from (select distinct page, across, first from r) window w as (partition by page, across order by first))
+    select x.page, y.i::int as row, x.i::int as col, x.pos as x0, y.pos as y0, x.next as x1, y.next as y1 from s x join s y on x.page = y.page and not x.across and y.across where x.next is not null and y.next is not null""")
 def ruled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey < 400").select(F.col("l_suppkey").alias("page"), (F.col("l_linenumber") % 2 == 0).alias("across"), (F.col("l_partkey") % 12).cast("double").alias("at"), (F.col("l_orderkey") % 4).cast("double").alias("low"), (6 + F.col("l_orderkey") % 5).cast("double").alias("high"))
-    return clusters.line_grid(lines, "page")
+    key, number = F.col("l_orderkey"), F.col("l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), ((key * 10 + number) * 100000000 + F.col("l_partkey")).alias("line_id"), (number % 2 == 0).alias("across"), (F.col("l_partkey") % 12).cast("double").alias("at"), (key % 4).cast("double").alias("low"), (6 + key % 5).cast("double").alias("high"))
+    return geometry.ruled_cells(lines, ["page"], tolerance=1.0)
 
 
 @query("""select event_id, user_id, value as "props.n", k as "props.inner.k", md5(event_type)[1:12] as source_id from (select *, (props::json->>'k')::bigint as k from events)""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import colours, findings, prompts
@@ -110,3 +110,32 @@ def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = docs.select("doc_id", "text", findings.lines(F.col("text")).alias("lines"))
     return found.select("doc_id", F.size("lines").cast("long").alias("findings"), F.array_min("lines").alias("first_line"), F.md5(findings.redacted(F.col("text"))).alias("clean_md5"))
+
+
+#: Strings with the shape of secrets, made of ids, behind each text; their beginnings are put together so that none stands here.
+PLANTED_SQL = """chr(10) || ' Password = "' || left(md5(doc_id::varchar), 12) || '"' || chr(10) || 'key AKI' || 'A' || upper(left(md5(doc_id::varchar), 16)) || ' and ' || sha1(doc_id::varchar) || chr(10) || repeat('gh' || 'p_' || md5(doc_id::varchar) || '0000 ', (doc_id % 4)::int)"""
+
+
+def with_planted(text, key) -> Column:
+    digest = F.md5(key.cast("string"))
+    line = lambda *parts: F.concat(F.lit("\n"), *parts)
+    pat = F.concat(F.lit("gh"), F.lit("p_"), digest, F.lit("0000 "))
+    return F.concat(text, line(F.lit(' Password = "'), F.left(digest, F.lit(12)), F.lit('"')), line(F.lit("key AKI"), F.lit("A"), F.upper(F.left(digest, F.lit(16))), F.lit(" and "), F.sha1(key.cast("string"))), line(F.repeat(pat, (key % 4).cast("int"))))
+
+
+def _excerpts_sql() -> str:
+    parts = []
+    for kind, pattern in findings.PATTERNS.items():
+        p, needed = _quoted(pattern), findings.PATTERNS.get(findings.ONLY_WITH.get(kind))
+        wanted = f"regexp_matches(t, {p})" + (f" and regexp_matches(t, {_quoted(needed)})" if needed else "")
+        parts.append(f"select doc_id, t, '{kind}' as kind, regexp_split_to_array(t, {p}) as gaps, regexp_extract_all(t, {p}) as secrets from d where {wanted}")
+    return f"""with d as (select doc_id, coalesce(text, '') || {PLANTED_SQL} as t from documents), m as ({" union all ".join(parts)}), e as (select *, unnest(range(1, len(secrets) + 1)) as i from m),
+        l as (select doc_id, t, kind, secrets[i] as secret, len(string_split(array_to_string(gaps[1:i], '') || array_to_string(secrets[1:i - 1], ''), chr(10)))::int as line from e)
+        select doc_id, kind, line, left(replace(string_split(t, chr(10))[line], secret, '[REDACTED-' || length(secret) || ']'), 200) as excerpt from l"""
+
+
+@query(_excerpts_sql())
+def secret_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each secret's kind, line and masked excerpt."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", with_planted(F.coalesce("text", F.lit("")), F.col("doc_id")).alias("text"))
+    return findings.findings(docs)

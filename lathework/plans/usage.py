@@ -22,15 +22,15 @@ def cents() -> Column:
 SHEET = [("click", "c", 0.003, 0.015), ("click", "cli", 0.015, 0.075), ("view", "", 0.0, 0.0), ("purchase", "cha", 0.0025, 0.01), ("purchase", "purchase-1", 0.03, 0.06)]
 
 
-@query(f"""with p(provider, part, i, o) as (values {", ".join(map(str, SHEET))}),
+@query(f"""with p(nth, provider, part, i, o) as (values {", ".join(str((n, p, m, round(i * 10**9), round(o * 10**9))) for n, (p, m, i, o) in enumerate(SHEET))}),
     c as (select event_id, event_type as provider, event_type || '-' || user_id % 3 as model, event_id % 5000 as tokens_in, user_id % 900 as tokens_out from events),
-    m as (select model, provider, arg_max((i, o), length(part)) as r from (select distinct provider, model from c) join p using (provider) where contains(model, part) group by 1, 2)
-    select provider, model, count(*) as calls, round(sum(coalesce(tokens_in / 1000 * r[1] + tokens_out / 1000 * r[2], 0)), 4) as cost from c left join m using (provider, model) group by 1, 2""")
+    m as (select model, provider, arg_max((i, o), (length(part), -nth)) as r from (select distinct provider, model from c) join p using (provider) where contains(model, part) group by 1, 2)
+    select provider, model, count(*) as calls, ((sum(coalesce(tokens_in * r[1] + tokens_out * r[2], 0))::bigint + 50000000) // 100000000 / 10000.0)::double as cost from c left join m using (provider, model) group by 1, 2""")
 def priced_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = F.concat_ws("-", "event_type", (F.col("user_id") % 3).cast("string"))
     calls = table(spark, sf_dir, "events").select(F.col("event_type").alias("provider"), model.alias("model"), (F.col("event_id") % 5000).alias("input_tokens"), (F.col("user_id") % 900).alias("output_tokens"))
-    sheet = spark.createDataFrame(SHEET, "provider string, part string, in_per_1k double, out_per_1k double")
-    return spend.priced(calls, sheet).groupBy("provider", "model").agg(F.count("*").alias("calls"), F.round(F.sum("cost"), 4).alias("cost"))
+    sheet = spark.createDataFrame([(n, *x) for n, x in enumerate(SHEET)], "nth int, provider string, part string, in_per_1k double, out_per_1k double")
+    return spend.priced(calls, sheet).groupBy("provider", "model").agg(F.count("*").alias("calls"), F.round(F.sum("cost"), 4).cast("double").alias("cost"))
 
 
 @query(f"""with c as (select event_id, user_id, {CENTS_SQL} as cents, epoch_us(ts) as us from events),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import phrases, text
-from ..operators import rollups, snapshots, workspace
+from ..operators import rollups, similarity, snapshots, workspace
 from ..sources.files import table
 from .registry import query
 
@@ -64,12 +64,11 @@ PAIR_TOKENS = "list_distinct([lower(w) for w in regexp_extract_all(coalesce(text
 
 
 @query(f"""with d as (select doc_id as id, list_filter({PAIR_TOKENS}, lambda w: not list_contains([{", ".join(f"'{w}'" for w in text.STOP_WORDS)}], w)) as t from documents),
-    e as (select id, unnest(t) as w from d), r as (select w from e group by 1 having count(*) between 2 and 4),
-    p as (select distinct a.id as a, b.id as b from e a join r using (w) join e b using (w) where a.id < b.id)
-    select a, b, len(list_intersect(x.t, y.t))::int as shared, round(len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))), 6) as similarity from p join d x on x.id = a join d y on y.id = b where len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) >= 0.2""")
+    e as (select id, unnest(t) as w from d), p as (select a.id as a, b.id as b, count(*) as shared from e a join e b using (w) where a.id < b.id group by 1, 2)
+    select a, b, shared::int as shared, round(shared / (len(x.t) + len(y.t) - shared), 6) as similarity from p join d x on x.id = a join d y on y.id = b where shared / (len(x.t) + len(y.t) - shared) >= 0.2""")
 def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.search_tokens(F.col("text")).alias("tokens"))
-    return workspace.similar_pairs(docs, "id", "tokens", 0.2, 4).withColumn("similarity", F.round("similarity", 6))
+    return similarity.similar_pairs(docs, "id", "tokens", 0.2).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("""with o as (select o_custkey as k, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as nth from orders), e as (select user_id as k, event_id, row_number() over (partition by user_id order by ts, event_id) as nth from events)
@@ -89,7 +88,7 @@ def free_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workspace.free_number(used, "o_custkey", "name", "rId")
 
 
-@query("""with t as (select p_partkey, 'Dear {{who}}, {{ what }} of {{size}} {{none}}.' as body from part where p_partkey <= 120),
+@query("""with t as (select p_partkey, 'Dear {{who}}, {{ what }} of {{size}} {{none}}.' as body from part),
     s as (select p_partkey, unnest(['who', 'what', 'size', 'note']) as name, unnest([true, p_partkey % 4 <> 0, false, false]) as required, unnest([null, case when p_partkey % 3 = 0 then 'goods' end, '0', null]) as def from t),
     i as (select p_partkey, name, case name when 'who' then p_brand when 'what' then p_type else p_size::varchar end as value from part join s using (p_partkey) where (name = 'who' and p_partkey % 5 <> 0) or (name = 'what' and p_partkey % 2 = 0) or (name = 'size' and p_partkey % 7 = 0)),
     j as (select p_partkey, name, required, coalesce(value, def) as v from s left join i using (p_partkey, name)),
@@ -97,7 +96,7 @@ def free_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     select p_partkey, missing, case when missing = '' then 'Dear ' || coalesce(who, '') || ', ' || coalesce(what, '') || ' of ' || coalesce(size, '') || ' .' end as body from m""")
 def materialised_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
-    parts = table(spark, sf_dir, "part").filter("p_partkey <= 120")
+    parts = table(spark, sf_dir, "part")
     templates = parts.select(key, F.lit("Dear {{who}}, {{ what }} of {{size}} {{none}}.").alias("body"))
     entry = lambda name, required, default: F.struct(F.lit(name).alias("name"), required.alias("required"), default.cast("string").alias("default"))
     no, none = F.lit(False), F.lit(None)
@@ -164,9 +163,9 @@ def change_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.summaries(table(spark, sf_dir, "lineitem").select("l_orderkey", change.alias("change")), "l_orderkey", "change", "element")
 
 
-@query("""with f as (select c_nationkey, c_mktsegment as v, min(c_custkey) as seen from customer group by 1, 2) select c_nationkey, array_to_string(list(v order by seen), ',') as values from f group by 1 having count(*) between 2 and 100""")
+@query("""with f as (select c_nationkey, c_mktsegment as v, min(c_custkey) as seen from customer group by 1, 2) select c_nationkey, array_to_string(list(v order by seen), ',') as values from f group by 1 having count(*) >= 2""")
 def first_seen_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rollups.first_values(table(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment", "c_custkey", most=100)
+    out = rollups.first_values(table(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment", "c_custkey")
     return out.select("c_nationkey", F.array_join("values", ",").alias("values"))
 
 
