@@ -8,7 +8,7 @@ import time
 from lathework import catalog
 from pyspark.sql import SparkSession
 
-HEADLINES = ["ranked_bar", "time_axis", "worksheet_totals", "fixed_level", "table_calculations", "element_search", "snapshot_diff", "structure_groups", "crossed_bands", "rolling_spend", "last_view_as_of", "points_in_boxes", "inherited_style"]
+HEADLINES = ["ranked_bar", "time_axis", "worksheet_totals", "fixed_level", "table_calculations", "element_search", "snapshot_diff", "structure_groups", "crossed_bands", "rolling_spend", "last_view_as_of", "points_in_boxes", "inherited_style", "page_clusters", "near_rectangles", "secret_findings", "undo_log", "consumed_blocks"]
 
 
 def main() -> None:

@@ -123,3 +123,17 @@ def filled_template(template: Column, values: dict[str, Column]) -> Column:
     for name, value in values.items():
         out = F.replace(out, F.lit("{{" + name + "}}"), F.coalesce(value.cast("string"), F.lit("")))
     return F.regexp_replace(out, r"\{\{\s*\w+\s*\}\}", "")
+
+
+def typed_template(template: Column, inputs: Column) -> Column:
+    """A template's text filled from inputs (a map of JSON values), as JSON.
+
+    A template that is one {{name}} alone is that input as it is: a list stays a list, a number a number. Any other is a text, in which each {{name}} is
+    replaced by its input, a text without its quotes. A name without an input gives an empty text. Null for a null template.
+    """
+    lone = F.regexp_extract(template, r"^\s*\{\{\s*([A-Za-z_]\w*)\s*\}\}\s*$", 1)
+    holes, names = F.split(template, r"\{\{[^}]+\}\}", -1), F.regexp_extract_all(template, F.lit(r"\{\{([^}]+)\}\}"), F.lit(1))
+    plain = lambda value: F.coalesce(F.from_json(F.concat(F.lit('{"v":'), value, F.lit("}")), "v string")["v"], F.lit(""))
+    text = F.array_join(F.zip_with(holes, names, lambda gap, name: F.concat(gap, F.coalesce(plain(F.element_at(inputs, F.trim(name))), F.lit("")))), "")
+    quoted = F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    return F.when((lone != "") & F.map_contains_key(inputs, lone), F.element_at(inputs, lone)).otherwise(quoted)

@@ -79,3 +79,17 @@ def is_pale(hexed: Column, least: int = 220) -> Column:
 
 def ratio(a: Column, b: Column, otherwise: float | None = None) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(otherwise))
+
+
+RULES = {">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, "=": lambda a, b: a == b, ">": lambda a, b: a > b, "<": lambda a, b: a < b}
+
+
+def by_rule(text: Column, rule: str, limit: float, then: str | None, otherwise: str | None) -> Column:
+    """The format of a cell by its number: `then` where the rule against the limit holds, else `otherwise`; null for a cell without a number.
+
+    A cell's number is what its text begins with: "12 %" is 12.
+    """
+    if rule not in RULES:
+        raise ValueError(f"unknown rule {rule}; known are {' '.join(RULES)}")
+    number = F.regexp_extract(text, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1).try_cast("double")
+    return F.when(number.isNotNull(), F.when(RULES[rule](number, F.lit(float(limit))), F.lit(then)).otherwise(F.lit(otherwise)))

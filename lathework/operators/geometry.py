@@ -56,27 +56,26 @@ def snapped(values: DataFrame, by: list[str], value: str, tolerance: float) -> D
     points to opens the next: openers are found by pointers that double their reach each round, so in log2(clusters) joins, and no group
     is held as a whole. A value's cluster is the last opener up to it. Nulls go. Runs jobs when it is called.
     """
-    own = values.select(*by, F.col(value).cast("double").alias("v")).filter("v is not null").distinct()
-    # In descending order, with each value's bound v + tolerance behind the values equal to it: the last value seen is the first one above.
-    both = own.select(*by, "v", F.col("v").alias("at"), F.lit(0).alias("bound")).unionByName(own.select(*by, "v", (F.col("v") + tolerance).alias("at"), F.lit(1).alias("bound")))
-    above = Window.partitionBy(*by).orderBy(F.desc("at"), F.desc("bound")).rowsBetween(Window.unboundedPreceding, -1)
-    pointed = both.withColumn("next", F.last(F.when(F.col("bound") == 0, F.col("v")), ignorenulls=True).over(above)).filter("bound = 1").select(*by, "v", "next")
-    pointers = settled(pointed)
-    # Null-safe by a struct of the group, so that a null group is a group.
-    group = F.struct(*by).alias("g") if by else F.struct(F.lit(0).alias("one")).alias("g")
-    jumps = settled(pointers.select(F.to_json(group).alias("g"), "v", "next"))
-    openers = settled(jumps.groupBy("g").agg(F.min("v").alias("v")))
-    jumps = jumps.filter("next is not null")
+    own = values.select(*by, F.col(value).cast("double").alias("_v")).filter("_v is not null").distinct()
+    # In descending order, with each value's bound (the value + tolerance) behind the values equal to it: the last value seen is the first one above.
+    both = own.select(*by, "_v", F.col("_v").alias("_at"), F.lit(0).alias("_bound")).unionByName(own.select(*by, "_v", (F.col("_v") + tolerance).alias("_at"), F.lit(1).alias("_bound")))
+    above = Window.partitionBy(*by).orderBy(F.desc("_at"), F.desc("_bound")).rowsBetween(Window.unboundedPreceding, -1)
+    following = F.last(F.when(F.col("_bound") == 0, F.col("_v")), ignorenulls=True).over(above)
+    # A group is named by its columns as JSON, so that a null group is one, too.
+    group = F.to_json(F.struct(*by)) if by else F.lit("")
+    pointers = settled(both.withColumn("_next", following).filter("_bound = 1").select(*by, "_v", "_next", group.alias("_g")))
+    openers = settled(pointers.groupBy("_g").agg(F.min("_v").alias("_v")))
+    jumps = pointers.filter("_next is not null").select("_g", "_v", "_next")
     while True:
-        found = openers.join(jumps, ["g", "v"]).select("g", F.col("next").alias("v"))
+        found = openers.join(jumps, ["_g", "_v"]).select("_g", F.col("_next").alias("_v"))
         if not found.limit(1).count():
             break
         openers = settled(openers.unionByName(found).distinct())
-        further = jumps.select("g", F.col("v").alias("next"), F.col("next").alias("far"))
-        jumps = settled(jumps.join(further, ["g", "next"]).select("g", "v", F.col("far").alias("next")))
-    marked = pointers.withColumn("g", F.to_json(group)).join(openers.select("g", F.col("v"), F.lit(True).alias("opens")), ["g", "v"], "left")
-    upto = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.select(*by, F.col("v").alias(value), F.last(F.when(F.col("opens"), F.col("v")), ignorenulls=True).over(upto).alias("snapped"))
+        further = jumps.select("_g", F.col("_v").alias("_next"), F.col("_next").alias("_far"))
+        jumps = settled(jumps.join(further, ["_g", "_next"]).select("_g", "_v", F.col("_far").alias("_next")))
+    marked = pointers.join(openers.withColumn("_opens", F.lit(True)), ["_g", "_v"], "left")
+    upto = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    return marked.select(*by, F.col("_v").alias(value), F.last(F.when(F.col("_opens"), F.col("_v")), ignorenulls=True).over(upto).alias("snapped"))
 
 
 def crossings(lines: DataFrame, by: list[str], tolerance: float) -> DataFrame:

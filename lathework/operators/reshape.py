@@ -57,3 +57,13 @@ def pasted_series(lines: DataFrame, text: str = "line") -> DataFrame:
     out = lines.withColumn("_cells", cells).filter(F.size("_cells") >= 2)
     rest = F.slice("_cells", F.lit(2), F.size("_cells") - 1)
     return out.select(F.get("_cells", F.lit(0)).alias("name"), F.transform(rest, lambda c: finite(number(c))).alias("values"))
+
+
+def shares(long: DataFrame, value: str, of: list[str], name: str = "share") -> DataFrame:
+    """Each value's share of the sum over its group, or over all rows if `of` is empty; 0 where that sum is 0 or null.
+
+    Sums are joined, so that neither one group's rows nor all rows meet in a task.
+    """
+    total = long.groupBy(*of).agg(F.sum(value).alias("_total"))
+    joined = long.join(total.select(*(F.col(c).alias(f"_{c}") for c in of), "_total"), [long[c].eqNullSafe(F.col(f"_{c}")) for c in of], "left") if of else long.join(F.broadcast(total))
+    return joined.withColumn(name, F.coalesce(F.try_divide(F.col(value), F.col("_total")), F.lit(0.0))).drop("_total", *(f"_{c}" for c in of))

@@ -91,3 +91,8 @@ def style_profile(df: DataFrame, by: str, modes: dict[str, str], lists: dict[str
     values = [F.get(F.col(f"{name}.value"), F.lit(0)).alias(name) for name in modes] + [F.col(f"{name}.value").alias(name) for name in lists]
     held = df.groupBy(by).agg(*(majority(c).alias(name) for name, c in flags.items()), F.count("*").alias("members"))
     return held.join(listed.select(by, *values), by, "left")
+
+
+def percent_where(df: DataFrame, by: list[str], flags: dict[str, Column]) -> DataFrame:
+    """by, count, and per cent of the rows for which each flag holds, to one place; a null flag doesn't hold."""
+    return df.groupBy(*by).agg(F.count("*").alias("count"), *(F.round(100 * F.count_if(c) / F.count("*"), 1).alias(name) for name, c in flags.items()))

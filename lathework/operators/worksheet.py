@@ -163,3 +163,10 @@ def table_calculations(table: DataFrame, value: str, order: list[Column], within
         F.lead(v).over(ordered).alias("next"),
         F.try_divide(v - before, F.abs(before)).alias("difference"),
     )
+
+
+def shelf_sorted(df: DataFrame, dimension: str, measure: str | None = None, direction: str | None = None) -> DataFrame:
+    """Sorted as a shelf is: by the measure if there is one, else by the dimension; ascending unless the direction is DESC, nulls last. Equal measures stand by dimension."""
+    by = measure or dimension
+    first = F.desc_nulls_last(by) if (direction or "ASC").upper() == "DESC" else F.asc_nulls_last(by)
+    return df.orderBy(first, dimension) if measure else df.orderBy(first)

@@ -160,3 +160,42 @@ def flattened(df: DataFrame) -> list[Column]:
     for field in df.schema.fields:
         walk(field, F.col(field.name), field.name)
     return out
+
+
+def where_given(rows: DataFrame, equals: dict[str, object], since: tuple[str, object] | None = None, until: tuple[str, object] | None = None) -> DataFrame:
+    """Rows that agree with all wishes that are given; None and empty texts are none. since and until are (column, bound), the latter excluded."""
+    out = rows
+    for column, value in equals.items():
+        if value is not None and value != "":
+            out = out.filter(F.col(column) == value)
+    if since and since[1] is not None:
+        out = out.filter(F.col(since[0]) >= since[1])
+    if until and until[1] is not None:
+        out = out.filter(F.col(until[0]) < until[1])
+    return out
+
+
+def dispatched(jobs: DataFrame, now: Column, after: Column) -> DataFrame:
+    """Jobs(enabled, next_run, status, ...) as they are once the due ones are started: status dispatched, next_run as `after` says, so that none starts twice."""
+    is_due = F.coalesce(F.col("enabled") & (F.col("next_run") <= now), F.lit(False))
+    marked = jobs.withColumn("_due", is_due)
+    return marked.withColumns({"status": F.when(F.col("_due"), "dispatched").otherwise(F.col("status")), "next_run": F.when(F.col("_due"), after).otherwise(F.col("next_run"))}).drop("_due")
+
+
+#: Ends of paths whose requests are not recorded; fixed values.
+UNRECORDED = (
+    "/element-png", "/bridge.png", "/original.png", "/rebuilt.png", "/diagnostics", "/render-status", "/export", "/export-pdf", "/export-png-zip", "/export-html", "/export-script", "/export-markdown",
+    "/notes-export", "/notes-html-export", "/notes-pages-pdf", "/notes-summary", "/snapshots", "/undo-state", "/save-to-cloud", "/templates", "/template-variables", "/style", "/text", "/elements",
+)
+
+
+def recorded_requests(requests: DataFrame) -> DataFrame:
+    """requests(method, path, status int, handled boolean, ...) that an audit log records, with result (executed or failed) and error.
+
+    Reads are never recorded, nor what its handler has recorded itself; paths with an exempt end only if the server failed. Works on a stream, too; follow it
+    with dropDuplicatesWithinWatermark on the request's id where the source may send one twice.
+    """
+    exempt = F.rlike("path", F.lit("(?:" + "|".join(x.replace(".", r"\.") for x in UNRECORDED) + ")$"))
+    kept = requests.filter((F.upper("method") != "GET") & ~F.coalesce("handled", F.lit(False))).filter((F.col("status") >= 500) | ~exempt)
+    failed = F.col("status") >= 400
+    return kept.withColumns({"result": F.when(failed, "failed").otherwise("executed"), "error": F.when(failed, F.concat(F.lit("HTTP "), F.col("status").cast("string")))})

@@ -94,7 +94,20 @@ def json_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def markdown(df: DataFrame, path: str) -> None:
-    """Rows as lines of a Markdown table, in as many files as df has partitions."""
+def markdown(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """Rows as lines of a Markdown table. With an order the files, read by name, are one table in that order under its header; else there are lines alone, in
+    as many files as df has partitions."""
+    line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
     cells = [F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in df.columns]
-    df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value")).write.mode("overwrite").text(path)
+    lines = df.select(line(cells).alias("value"), *(F.col(c) for c in order or []))
+    if order:
+        head = df.sparkSession.range(2).select(F.when(F.col("id") == 0, line([F.lit(c) for c in df.columns])).otherwise(line([F.lit("---")] * len(df.columns))).alias("value"), F.col("id").alias("_top"))
+        lines = head.unionByName(lines.withColumn("_top", F.lit(2).cast("long")), allowMissingColumns=True).orderBy("_top", *order)
+    lines.select("value").write.mode("overwrite").text(path)
+
+
+def extract(df: DataFrame, path: str, category: str | None = None) -> None:
+    """Parquet for other tools: with a category column in long form (category, series, value), else as it is."""
+    from ..operators.reshape import melt
+
+    (melt(df, category) if category else df).write.mode("overwrite").parquet(path)

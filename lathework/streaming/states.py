@@ -70,7 +70,8 @@ class _Limited(StatefulProcessor):
             limit.tokens, limit.last = self.bucket.get()
             limit.overflows = deque(x[0] for x in self.overflows.get())
         for r in sorted(rows, key=lambda r: (r.at, r.event_id)):  # a key's part of one micro-batch
-            yield Row(key[0], r.event_id, *limit.request(r.at))
+            accepted, overflows, ends = limit.request(r.at)
+            yield Row(key=key[0], event_id=r.event_id, accepted=accepted, overflows=overflows, ends=ends)
         self.bucket.update((limit.tokens, limit.last))
         self.overflows.put([(at,) for at in limit.overflows]) if limit.overflows else self.overflows.clear()
         for timer in list(self.handle.listTimers()):
@@ -166,7 +167,7 @@ class _Saved(StatefulProcessor):
         self._arm(rest)
         for at, value, differs in saves:
             if differs:
-                yield Row(key[0], datetime.datetime.fromtimestamp(at, datetime.UTC), value)
+                yield Row(key=key[0], saved_at=datetime.datetime.fromtimestamp(at, datetime.UTC), value=value)
 
     def close(self) -> None:
         pass
