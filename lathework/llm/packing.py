@@ -20,6 +20,8 @@ K1, B = 1.2, 0.75
 TEXTS, WORDS, BYTES = -1, -2, -3
 #: A shard of documents at the size bound has that times shard_bytes at most, not counting the long ones that are dealt evenly.
 LONG = 4
+#: Bytes of a batch that are encoded at once; a task's arrays are some fifty times as large.
+STEP_BYTES = 1 << 20
 
 
 def _terms(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,7 +77,8 @@ def _encoded(batches, vocabulary, statistics, bits: int, end_id: int):
     encode, most = encoder(vocabulary.value), (1 << (32 - bits)) - 1
     end = np.array([end_id], encode.dtype).tobytes()
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, STEP_BYTES):
+            pa.default_memory_pool().release_unused()
             ids, bounds, _ = encode(part.column("text"))
             owner, term, count = _terms(part.column("text"), bits)
             packed = ((term << (32 - bits)) | np.minimum(count, most)).astype(np.uint32)
