@@ -6,7 +6,7 @@ import json
 import math
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import bound
@@ -110,7 +110,8 @@ def likelihood_ratios(counts: list[tuple[int, str, int]], smooth: float = 0.5, b
         alone = (second[label, b] + smooth) / (total[label] + smooth * SYMBOLS)
         return math.log((pair[label, a, b] + back_off * alone) / (first[label, a] + back_off))
 
-    return [round(1000 * (log(1, a, b) - log(0, a, b))) for a in signs for b in signs]
+    # A character again and again is no sign of chance, however rare it is in words.
+    return [round(1000 * (log(1, a, b) - log(0, a, b))) * (a != b or log(1, a, b) < log(0, a, b)) for a in signs for b in signs]
 
 
 def ratio(value, table: list[int]) -> F.Column:
@@ -120,13 +121,45 @@ def ratio(value, table: list[int]) -> F.Column:
     return bound(codes, lambda at: F.aggregate(F.sequence(F.lit(1), F.size(at)), F.lit(0).cast("long"), lambda sum_, i: sum_ + F.coalesce(F.get(ratios, F.get(at, i - 1) * SYMBOLS + F.get(at, i)), F.lit(0))))
 
 
+#: Longest part of what counts as an ordinary identifier; random strings are longer.
+LONGEST_PART = 15
+#: The mean log-likelihood ratio a pair, in thousandths, from which a string is random. Measured on planted strings (README): all random ones are found
+#: from 300 to 2,100, ordinary ones are taken for random in 1.1 % of the worst kind from 1,800 on.
+LEAST_MEAN = 1800
+#: Random strings of each alphabet that are learnt from.
+DRAWN = 1024
+
+
+def random_samples(spark: SparkSession, n: int = DRAWN) -> DataFrame:
+    """(value, label 1): n random strings of 24 to 40 characters of each alphabet that keys are written in: base 64, letters and digits, and those of one case, hex digits.
+
+    Drawn from SHA-512 of numbers, so the same each time.
+    """
+    digest = F.sha2(F.col("id").cast("string"), 512)
+    wide = F.base64(F.unhex(digest))
+    plain = F.translate(wide, "+/=", "")
+    alphabets = F.array(wide, plain, F.lower(plain), F.upper(plain), digest)
+    rows = spark.range(n).select("id", F.explode(alphabets).alias("value"))
+    return rows.select(F.substring(F.col("value"), F.lit(1), (24 + F.col("id") % 17).cast("int")).alias("value"), F.lit(1).alias("label"))
+
+
 def labelled_samples(docs: DataFrame) -> DataFrame:
-    """(value, label): what the patterns find in the documents is 1, other identifiers are 0."""
+    """(value, label): what the patterns find in the documents and drawn random strings are 1, ordinary identifiers 0.
+
+    An identifier outside of the patterns' matches is ordinary if its parts, between separators, have at most LONGEST_PART characters: a secret that no
+    pattern knows is mostly longer, and must not teach what is ordinary. Words written together, with capitals for gaps, are
+    ordinary, too: of each word the place where it would meet itself is learnt from.
+    """
     text, other = F.col("text"), F.col("text")
     secrets = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in ((ASSIGN, 2), (ACCESS, 0), (HEX, 0))))
     for pattern in (ASSIGN, ACCESS, HEX):
         other = F.regexp_replace(other, pattern, " ")
-    return docs.select(F.explode(F.filter(secrets, lambda x: F.length(x) >= 6)).alias("value"), F.lit(1).alias("label")).unionAll(docs.select(F.explode(F.regexp_extract_all(other, F.lit(IDENTIFIER), F.lit(0))).alias("value"), F.lit(0).alias("label")))
+    found_ = docs.select(F.explode(F.filter(secrets, lambda x: F.length(x) >= 6)).alias("value"), F.lit(1).alias("label"))
+    ordinary = docs.select(F.explode(F.regexp_extract_all(other, F.lit(IDENTIFIER), F.lit(0))).alias("value"), F.lit(0).alias("label")).filter(~F.col("value").rlike(f"[A-Za-z0-9]{{{LONGEST_PART + 1}}}"))
+    word = F.col("value").rlike("^[a-z]+$")
+    joined = F.concat(F.right("value", F.lit(1)), F.upper(F.left("value", F.lit(1))), F.substring("value", 2, 1))
+    seams = ordinary.filter(word).select(joined.alias("value"), "label")
+    return found_.unionAll(ordinary).unionAll(seams).unionAll(random_samples(docs.sparkSession))
 
 
 def train(samples: DataFrame) -> list[int]:
@@ -134,7 +167,7 @@ def train(samples: DataFrame) -> list[int]:
     return likelihood_ratios([(r.label, r.pair, r.n) for r in pair_counts(samples).collect()])  # at most 2 * 95 * 95 rows
 
 
-def scan(docs: DataFrame, table: list[int] | None = None, least_mean: int = 700, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, table: list[int] | None = None, least_mean: int = LEAST_MEAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, text and found, an array of (start, kind, end) in code points by start, then kind.
 
     Kinds: assign, access, hex (patterns) and model: strings of 16 characters or more that no pattern's span
@@ -178,7 +211,7 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *counts[:3], F.sha2(written_out(F.col("base")), 256).alias("base_sha256"), written_out(F.col("found")).alias("spans"), counts[3])
 
 
-def redacted(docs: DataFrame, table: list[int] | None = None, mask: str = "[REDACTED]", least_mean: int = 700, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redacted(docs: DataFrame, table: list[int] | None = None, mask: str = "[REDACTED]", least_mean: int = LEAST_MEAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every found span of the text replaced by mask; spans that overlap become one mask. All rows stay.
 
     Null texts stay null. Other columns pass through, whatever their names. An empty table gives an empty result.

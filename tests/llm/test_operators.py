@@ -259,7 +259,32 @@ def test_secret_ratio(spark):
 def test_secret_model_learns_from_every_document(spark):
     last = max(range(9000), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
     docs = spark.range(9000).selectExpr("id as doc_id", f"if(id = {last}, 'password=zK9vQ2xLw8Rt', 'a b') as text")
-    assert [r.value for r in secrets.labelled_samples(docs).filter("label = 1").collect()] == ["zK9vQ2xLw8Rt"]
+    found = [r.value for r in secrets.labelled_samples(docs).filter("label = 1").collect()]
+    drawn = [r.value for r in secrets.random_samples(spark).collect()]
+    assert sorted(found) == sorted([*drawn, "zK9vQ2xLw8Rt"]) and len(drawn) == 5 * secrets.DRAWN
+
+
+def test_secret_model_finds_what_no_pattern_knows(spark):
+    """Planted among prose: random strings of five kinds are found, ordinary identifiers of six kinds are left alone, also where many random ones are learnt beside them."""
+    rng = np.random.default_rng(3)
+    words = "account user list item total value name index file config handler service request response session manager update create order price count error buffer stream parser token cache queue table the of and was for with that".split()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    drawn = lambda signs, n: "".join(rng.choice(list(signs), n))
+    some = lambda n: list(rng.choice(words, n))
+    kinds = {
+        1: [lambda: drawn(letters + letters.upper() + "0123456789", 24), lambda: drawn(letters + letters.upper() + "0123456789+/", 40), lambda: drawn(letters + "0123456789", 32), lambda: drawn(letters.upper() + "0123456789", 20), lambda: "sk-" + drawn(letters + letters.upper() + "0123456789", 32)],
+        0: [lambda: "_".join(some(4)), lambda: "".join([some(1)[0], *map(str.title, some(4))]), lambda: "/".join(some(5)), lambda: "-".join([*some(4), "1.2.3"]), lambda: "_".join(some(4)).upper(), lambda: "".join(some(5))[:15] + "_" + some(1)[0]],
+    }
+    rows, want = [], {}
+    for i in range(660):
+        kind = int(i % 2 == 0)
+        planted = kinds[kind][i // 2 % len(kinds[kind])]()
+        rows.append((i, " ".join([*some(60), planted, *some(60)])))
+        want[i] = (kind, planted)
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    missed = [want[i][1] for i in want if want[i][0] and not got[i]]
+    wrong = [want[i][1] for i in want if not want[i][0] and got[i]]
+    assert len(missed) <= 2 and len(wrong) <= 4, (missed[:5], wrong[:9])
 
 
 def test_secret_redaction(docs, rows, spark, empty):
