@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Checkpointed in the session's folder; a temporary one is set only where none is named and one machine runs all."""
+    """Checkpointed in the session's folder; a temporary one is set only where none is named and one machine runs all.
+
+    Spark deletes a checkpoint once nothing refers to it if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)

@@ -1,7 +1,12 @@
-"""Metadata of workbooks (XML) as tables, read by Spark's own XML reader. Formulas stay text."""
+"""Metadata of workbooks (XML) as tables, read by Spark's own XML functions. Formulas stay text."""
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +44,29 @@ def workbook_files(spark: SparkSession, folder: str, pattern: str = "*.twb") ->
     return files.select("path", F.decode("content", "UTF-8").alias("xml"))
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, xml): of each package the workbook nearest to its root, of several the one with the shortest name; null for a package that is none."""
+    for batch in batches:
+        out = []
+        for content in batch.column("content"):
+            try:
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as package:
+                    name = min((n for n in package.namelist() if n.lower().endswith(".twb")), key=lambda n: (n.count("/"), len(n)), default=None)
+                    out.append(package.read(name).decode("utf-8", "replace") if name else None)
+            except zipfile.BadZipFile:
+                out.append(None)
+        yield pa.record_batch([batch.column("path"), pa.array(out, pa.string())], ["path", "xml"])
+
+
+def packed_workbook_files(spark: SparkSession, folder: str, pattern: str = "*.twbx") -> DataFrame:
+    """path, xml of the packed workbooks below a folder: of each package the workbook that is nearest to its root. xml is null for a package without one.
+
+    Files are read and unpacked where they lie, one after the other in a task; a package is in memory as a whole.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    return files.select("path", "content").mapInArrow(_unpacked, "path string, xml string")
+
+
 def datasources(workbooks: DataFrame, key: str, xml: str = "xml") -> DataFrame:
     """key, nth (from 0), name, caption, version, source (all that was read) of each datasource. Broken or null XML has none."""
     read = workbooks.select(key, F.from_xml(F.col(xml), SCHEMA, {"mode": "PERMISSIVE"}).alias("_w"))

@@ -229,6 +229,22 @@ def test_workbook_files(spark, tmp_path):
     assert [tuple(r)[2:] for r in workbooks.metadata_records(sources, "path").collect()] == [("column", "Sales", "[Sales]", "[t]", "real", "Sum")]
 
 
+def test_packed_workbooks(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.twbx", "w") as package:
+        package.writestr("deep/er/other.twb", "<workbook/>")
+        package.writestr("longer name.twb", "<workbook/>")
+        package.writestr("book.TWB", WORKBOOK)
+        package.writestr("Data/x.csv", "1")
+    with zipfile.ZipFile(tmp_path / "none.twbx", "w") as package:
+        package.writestr("x.csv", "1")
+    (tmp_path / "broken.twbx").write_bytes(b"no zip")
+    files = workbooks.packed_workbook_files(spark, str(tmp_path))
+    assert {r.path.rsplit("/", 1)[1]: r.xml for r in files.collect()} == {"a.twbx": WORKBOOK, "none.twbx": None, "broken.twbx": None}
+    assert [r.name for r in workbooks.datasources(files, "path").collect()] == ["orders"]
+
+
 def test_prices(spark):
     sheet = [(0, "a", "big", 0.003, 0.015), (1, "A", "bigger", 0.015, 0.075), (2, "a", "", 0.001, 0.001), (3, "b", "xyz", 1.0, 1.0), (4, "b", "abc", 2.0, 2.0), (5, "local", "", 0.0, 0.0)]
     prices = spark.createDataFrame(sheet, "nth int, provider string, part string, in_per_1k double, out_per_1k double")
