@@ -32,6 +32,19 @@ def test_similar_pairs(spark, monkeypatch, least, block):
     assert sorted((r.a, r.b, r.shared, round(r.similarity, 9)) for r in got) == plain_pairs(plain, least)
 
 
+def test_similar_pairs_shuffle_no_candidates(spark, monkeypatch):
+    """Sets that all share frequent tokens and are hardly alike: blocks are compared without a shuffle of pairs. Copies come once, with their set's first row."""
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    monkeypatch.setattr(similarity, "STEP", 64)
+    rng = random.Random(4)
+    sets = [(i, [f"t{j}" for j in range(12) if rng.random() < 0.7] + [f"u{rng.randrange(200)}" for _ in range(20)]) for i in range(90)]
+    sets += [(100 + i, sets[i % 3][1]) for i in range(40)]
+    found = similarity.similar_pairs(spark.createDataFrame(sets, "id long, tokens array<string>"), "id", "tokens", 0.2, copies=False)
+    assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+    star = [(i % 3, 100 + i, len(set(sets[i % 3][1])), 1.0) for i in range(40)]
+    assert sorted((r.a, r.b, r.shared, round(r.similarity, 9)) for r in found.collect()) == sorted(plain_pairs(sets[:90], 0.2) + star)
+
+
 def test_similar_pairs_of_nothing(spark):
     assert similarity.similar_pairs(spark.createDataFrame([], "id long, tokens array<string>"), "id", "tokens", 0.5).count() == 0
     with pytest.raises(ValueError):
