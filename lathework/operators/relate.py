@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .geometry import boxes_around
+from .geometry import least_box_at
 from .graphs import settled
 
 MOST_PALETTE = 4096
@@ -28,9 +28,11 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: l
 def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float, slack: float = 0.0) -> DataFrame:
     """point_id, box_id: the smallest id of the boxes (box_id, x0, y0, x1, y1) that hold a point (point_id, x, y).
 
-    `cell` should be about the smallest boxes' size; larger boxes are entered in coarser grids (see geometry.boxes_around).
+    `cell` should be about the smallest boxes' size; larger boxes are entered in coarser grids (see geometry.boxes_around),
+    and places and boxes that repeat are looked up once (see geometry.least_box_at).
     """
-    return boxes_around(points, boxes, [], cell, slack).groupBy("point_id").agg(F.min("box_id").alias("box_id"))
+    first = least_box_at(points, boxes, [], cell, slack)
+    return points.join(first, ["x", "y"]).groupBy("point_id").agg(F.min("box_id").alias("box_id"))
 
 
 def nearest(items: DataFrame, item: str, palette: DataFrame, entry: str, distance: Column) -> DataFrame:

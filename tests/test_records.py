@@ -154,6 +154,22 @@ def test_points_in_boxes_of_very_unequal_size(spark):
     assert geometry.boxes_around(p, b.limit(0), ["page"]).count() == 0
 
 
+def test_heaps_of_boxes_and_points_meet_once(spark, monkeypatch):
+    """Copies of a few boxes and places, nulls among them: only different ones are looked up."""
+    rng = random.Random(9)
+    boxes = [(1000 - i, *[(0.0, 0.0, 9.0, 9.0), (4.0, 4.0, 20.0, 6.0), (30.0, 30.0, 30.0, 31.0), (None, 0.0, 1.0, 1.0)][i % 4]) for i in range(80)]
+    points = [(i, *[(5.0, 5.0), (1.0, 2.0), (30.0, 30.5), (None, 3.0), (70.0, 1.0)][rng.randrange(5)]) for i in range(200)]
+    b, p = spark.createDataFrame(boxes, "box_id long, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame(points, "point_id long, x double, y double")
+    met = []
+    around = geometry.boxes_around
+    monkeypatch.setattr(geometry, "boxes_around", lambda *args: met.append(around(*args)) or met[-1])
+    got = {r.point_id: r.box_id for r in relate.points_in_boxes(p, b, 2.0, 0.5).collect()}
+    holds = lambda box, x, y: None not in (*box, x) and box[1] - 0.5 <= x <= box[3] + 0.5 and box[2] - 0.5 <= y <= box[4] + 0.5
+    want = {i: [box[0] for box in boxes if holds(box, x, y)] for i, x, y in points}
+    assert got == {i: min(ids) for i, ids in want.items() if ids}
+    assert met and met[0].count() <= 6
+
+
 def test_consumed_blocks(spark):
     lines = [(1, 7, n, x, 0.0, x + 2, 2.0, full) for n, (x, full) in enumerate([(0, True), (1, True), (2, True), (3, True), (90, True), (95, False)])] + [(1, 8, 9, 200.0, 0.0, 201.0, 1.0, False), (2, 7, 10, 0.0, 0.0, 1.0, 1.0, True)]
     lines = [(a, b, c, float(d), e, float(f), g, h) for a, b, c, d, e, f, g, h in lines]
