@@ -135,9 +135,19 @@ def over_time(changes: DataFrame, key: str, at: str, change: str, ties: list[str
 
 
 def violators(events: DataFrame, key: str, at: str, seconds: int = 30, least: int = 5) -> DataFrame:
-    """Events(key, at in seconds) of a key that were at least the `least`-th within the trailing seconds."""
-    trailing = Window.partitionBy(key).orderBy(at).rangeBetween(-seconds, 0)
-    return events.withColumn("violations", F.count("*").over(trailing)).filter(F.col("violations") >= least)
+    """Events(key, at in seconds) of a key that were at least the `least`-th within the trailing seconds.
+
+    Events are counted by key and time; a count is needed in its own span of that many seconds and in the next one. So a window holds two spans'
+    distinct times, however long the table and however few the keys. Events without a time count one another.
+    """
+    counted = events.groupBy(F.col(key).alias("_key"), F.col(at).alias("_at")).agg(F.count("*").alias("_n"))
+    span = F.floor(F.col("_at") / max(seconds, 1))
+    both = counted.withColumn("_span", F.explode(F.when(F.col("_at").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(span, span + 1))))
+    trailing = Window.partitionBy("_key", "_span").orderBy("_at").rangeBetween(-seconds, 0)
+    own = F.col("_at").isNull() | (F.col("_span") == span)
+    seen = both.withColumn("violations", F.sum("_n").over(trailing)).filter(own).filter(F.col("violations") >= least)
+    joined = events.join(seen, F.col(key).eqNullSafe(F.col("_key")) & F.col(at).eqNullSafe(F.col("_at")))
+    return joined.select(*(events[c] for c in events.columns), "violations")
 
 
 def kept_versions(versions: DataFrame, key: str, version: str, most: int) -> DataFrame:

@@ -229,6 +229,20 @@ def test_near_boxes_of_very_unequal_size(spark):
     assert got == {i: find(i) for i in root} and len(set(got.values())) > 6
 
 
+def test_violators_count_across_spans_in_bounded_windows(spark):
+    """Few keys, many events at one time, negative and null times and keys: counts are those of the trailing seconds, and no window holds a key."""
+    rng = random.Random(11)
+    events = [(i, rng.choice([1, 2, None]), rng.choice([None, *range(-40, 60)])) for i in range(400)]
+    df = spark.createDataFrame(events, "event_id long, k int, at long")
+    for seconds in (0, 7, 30):
+        trails = lambda a, b: a[1] == b[1] and (a[2] is None and b[2] is None or None not in (a[2], b[2]) and a[2] - seconds <= b[2] <= a[2])  # noqa: B023, E731
+        want = {a[0]: n for a in events if (n := sum(trails(a, b) for b in events)) >= 5}
+        found = workspace.violators(df, "k", "at", seconds, 5)
+        assert found.columns == ["event_id", "k", "at", "violations"]
+        assert {r.event_id: r.violations for r in found.collect()} == want
+    assert "_span" in found._jdf.queryExecution().analyzed().toString()
+
+
 def test_stored_sketches_are_merged(spark, tmp_path):
     """Written, read again and rolled up twice: as close to the exact answers as the sketches promise."""
     rows = spark.range(60000).select((F.col("id") % 7).alias("day"), (F.col("id") % 3).alias("kind"), (F.col("id") * 7919 % 20011).alias("who"), (F.col("id") * 31 % 1000).cast("double").alias("v"))
