@@ -56,13 +56,14 @@ def find_pieces(texts: pa.Array) -> Pieces:
 
 
 class Encoder:
-    """Encodes a text piece by piece and each distinct piece once; known pieces stay in memory, up to about `limit`.
+    """Encodes a text piece by piece and each distinct piece once; known pieces stay in memory, up to about `limit`. Beyond it
+    those that came in several calls stay, up to half of that, so that the many that come once don't push out the common ones.
 
     Strings of the tokenizer's added tokens (like <|endoftext|>) get those tokens, as the tokenizer does by itself; texts that hold one are
     encoded whole. With added_as_text they are ordinary text.
     """
 
-    def __init__(self, vocabulary: str, limit: int = 1 << 20, together: int = 64, added_as_text: bool = False):
+    def __init__(self, vocabulary: str, limit: int = 1 << 18, together: int = 64, added_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -77,12 +78,23 @@ class Encoder:
         self.n_bytes = np.zeros(tokenizer.get_vocab_size(), np.int64)
         self.n_bytes[list(tokens.values())] = list(map(len, tokens))
         self.limit, self.together = limit, together
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(0, self.dtype)
         self.bounds = np.zeros(1, np.int64)
+        self.calls = np.zeros(0, np.int32)
+
+    def forget(self) -> None:
+        """Keeps of the known pieces those of several calls, the most frequent ones if they are too many; older calls count half."""
+        kept = np.flatnonzero(self.calls > 1)
+        if len(kept) > self.limit // 2:
+            kept = np.sort(kept[np.argsort(-self.calls[kept], kind="stable")[: self.limit // 2]])
+        keys = list(self.known)  # in order of their numbers
+        self.known = {keys[i]: n for n, i in enumerate(kept.tolist())}
+        counts = np.diff(self.bounds)[kept]
+        ends = np.cumsum(counts)
+        self.ids = self.ids[np.repeat(self.bounds[kept] - ends + counts, counts) + np.arange(counts.sum())]
+        self.bounds = np.concatenate([[0], ends])
+        self.calls = self.calls[kept] // 2
 
     def learn(self, joint: list[bytes], alone: list[bytes]) -> None:
         """Encodes further pieces; those that are cut from one another there, too, many in one text."""
@@ -128,6 +140,8 @@ class Encoder:
             joint, alone = fresh[cut], fresh[~cut]
             at[np.concatenate([joint, alone])] = np.arange(len(self.known), len(self.known) + len(fresh))
             self.learn([keys[i] for i in joint.tolist()], [keys[i] for i in alone.tolist()])
+        self.calls = np.concatenate([self.calls, np.zeros(len(self.known) - len(self.calls), np.int32)])
+        self.calls[at] += 1  # at holds each piece once
         piece = at[pieces.code]
         counts = (self.bounds[1:] - self.bounds[:-1])[piece]
         ends = np.cumsum(counts)

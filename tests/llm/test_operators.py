@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from lathework.llm import fingerprints, licenses, mixing, quality, secrets, sharding
@@ -128,6 +129,24 @@ def test_tokens_equal_the_tokenizer():
         assert ids[a:b].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_few_known_pieces_stay_in_memory():
+    """An encoder past its limit keeps the pieces of several calls, forgets those that came once, and encodes alike before and after."""
+    import public_tokenizers
+    from lathework.llm.tokens import Encoder
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        vocabulary = file.read()
+    few, many = Encoder(vocabulary, limit=60), Encoder(vocabulary, limit=1 << 20)
+    for call in range(12):
+        texts = pa.array([" ".join(["common", " words", "stay"] + [f"once{call}x{i}" for i in range(40)]), "common stay, été", ""])
+        (ids, bounds, _), (want, want_bounds, _) = few(texts), many(texts)
+        assert ids.tolist() == want.tolist() and bounds.tolist() == want_bounds.tolist()
+        assert len(few.known) <= 60 + 60 and len(few.known) == len(few.bounds) - 1 == len(few.calls)
+    few.forget()
+    assert b" stay" in few.known and b" once3x1" not in few.known
+    assert Encoder(vocabulary).limit <= 1 << 18
+
+
 def test_long_documents_are_dealt_evenly(spark):
     """Long documents with one frequent word don't meet in its shards; short ones still do, and no shard holds much more than the bound."""
     from lathework.llm.packing import LONG, Statistics
