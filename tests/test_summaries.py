@@ -217,3 +217,16 @@ def test_shelf_order(spark):
     df = spark.createDataFrame([("b", 1), ("a", 1), ("c", None), ("d", 5)], "d string, m int")
     order = lambda *a: "".join(r.d for r in worksheet.shelf_sorted(df, "d", *a).collect())
     assert (order("m", "DESC"), order("m"), order(), order(None, "desc")) == ("dabc", "abdc", "abcd", "dcba")
+
+
+def test_expanded_operations_lie_together_by_member(spark):
+    operations = spark.range(20_000).selectExpr("id", "if(id % 10 = 0, id + 100, id % 2) as g").unionByName(spark.sql("select -1L as id, null as g union all select 7, 1 union all select 7, 1"))
+    members = spark.range(30).selectExpr("id % 2 as g", "id + 1000000 as m")
+    got = audits.expanded(operations, members, "g", "m")
+    assert got.columns == ["id", "g", "target"]
+    plain = operations.join(members, "g", "left").selectExpr("id", "g", "coalesce(m, g) as target")
+    assert got.count() == plain.count() and got.exceptAll(plain).isEmpty()
+    target = got.filter("g < 2").select("target").toPandas().target
+    assert (target != target.shift()).sum() < len(target) / 20
+    assert audits.expanded(operations.limit(0), members, "g", "m").isEmpty()
+    assert got.filter("id = -1").first().target is None
