@@ -6,7 +6,6 @@ import math
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +26,10 @@ STEP_BYTES = 1 << 20
 def _terms(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashed terms (words without punctuation) of each text, texts in order: text, term, count."""
     words = find_words(texts, outside=BETWEEN)
-    codes, keys = pd.factorize((words.text_of << bits) | (words.hash >> U64(64 - bits)).astype(np.int64))
-    return keys >> bits, keys & ((1 << bits) - 1), np.bincount(codes, minlength=len(keys))
+    both = np.sort((words.text_of << bits) | (words.hash >> U64(64 - bits)).astype(np.int64))
+    new = np.flatnonzero(np.diff(both, prepend=-1))
+    keys = both[new]
+    return keys >> bits, keys & ((1 << bits) - 1), np.diff(new, append=len(both))
 
 
 def _frequencies(batches, bits: int):
@@ -104,7 +105,7 @@ class Index:
         doc, term, tf = np.repeat(np.arange(len(terms)), counts), (packed >> (32 - bits)).astype(np.int64), (packed & ((1 << (32 - bits)) - 1)).astype(np.float64)
         words = np.bincount(doc, tf, len(terms))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[doc] / max(mean_words, 1e-9)))
-        order = np.argsort(term, kind="stable")
+        order = np.sort((term << 32) | np.arange(len(term))) & 0xFFFFFFFF  # numbers sort faster than their places
         term = term[order]
         new = np.flatnonzero(np.diff(term, prepend=-1))
         # Terms of one document alone find no neighbour.
@@ -113,11 +114,13 @@ class Index:
         self.docs, self.weights = doc[order], weight[order]
         self.begin, self.sizes = new[shared], sizes[shared]
         # Query terms of each document: the rarest of those it shares.
-        number = np.repeat(np.where(shared, np.cumsum(shared) - 1, -1), sizes)
-        has = number >= 0
-        asker, asked = self.docs[has], number[has]
-        rank = np.lexsort((asked, -idf[term[has]], asker))
-        asker, asked = asker[rank], asked[rank]
+        n_shared = max(1, len(self.begin))
+        by_idf = np.argsort(-idf[term[self.begin]], kind="stable")
+        place = np.empty(len(by_idf), np.int64)
+        place[by_idf] = np.arange(len(by_idf))
+        has = np.repeat(shared, sizes)
+        asker, rank = np.divmod(np.sort(self.docs[has] * n_shared + np.repeat(place, self.sizes)), n_shared)
+        asked = by_idf[rank]
         self.first = np.searchsorted(asker, np.arange(len(terms) + 1))
         self.asked, self.query_terms, self.n = asked, query_terms, len(terms)
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .words import BETWEEN, WHITE, bytes_of, process_cache
+from .words import BETWEEN, SEEDS, U64, WHITE, bytes_of, hash_runs, process_cache
 
 #: ASCII letters, and ASCII punctuation but for the apostrophe.
 LETTERS = ~BETWEEN
@@ -22,18 +22,30 @@ MARKS[:0x21], MARKS[0x7F], MARKS[ord("'")] = False, False, False
 
 @dataclass
 class Pieces:
-    """Pieces of consecutive texts: text d has the pieces first[d]:first[d+1], and piece i is distinct[code[i]]."""
+    """Pieces of consecutive texts, which cover all bytes of data: piece i is data[bounds[i]:bounds[i+1]], and text d has the pieces first[d]:first[d+1]."""
 
-    code: np.ndarray
-    distinct: pa.LargeBinaryArray
+    data: np.ndarray
+    bounds: np.ndarray
     first: np.ndarray
 
-    def cut_from_others(self) -> np.ndarray:
-        """Whether each distinct piece, between others of this sort, is cut from them: it begins with white space and ends with another ASCII character."""
-        _, offsets, data = self.distinct.buffers()
-        offsets, data = np.frombuffer(offsets, np.int64)[: len(self.distinct) + 1], np.frombuffer(data, np.uint8)
-        last = data[offsets[1:] - 1]
-        return WHITE[data[offsets[:-1]]] & (last < 0x80) & ~WHITE[last]
+    def names(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two numbers that name each piece: a hash and its size, which are one piece's alone up to 8 bytes; for longer ones two independent hashes."""
+        start, end = self.bounds[:-1], self.bounds[1:]
+        check = (end - start).astype(U64)
+        long = np.flatnonzero(check > 8)
+        check[long] = hash_runs(self.data, start[long], end[long], SEEDS[1])
+        return hash_runs(self.data, start, end), check
+
+    def cut_from_others(self, some: np.ndarray) -> np.ndarray:
+        """Whether each of some pieces, between others of this sort, is cut from them: it begins with white space and ends with another ASCII character."""
+        last = self.data[self.bounds[some + 1] - 1]
+        return WHITE[self.data[self.bounds[some]]] & (last < 0x80) & ~WHITE[last]
+
+
+def of_runs(values: np.ndarray, start: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """values[start[i] : start[i] + counts[i]] of all i, one after the other."""
+    ends = np.cumsum(counts)
+    return values[np.repeat(start - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def find_pieces(texts: pa.Array) -> Pieces:
@@ -48,11 +60,53 @@ def find_pieces(texts: pa.Array) -> Pieces:
     begin[1:] |= LETTERS[data[:-1]] & MARKS[data[1:]]
     begin[offsets[:-1][offsets[:-1] < len(data)]] = True
     start = np.flatnonzero(begin)
-    # Pieces cover all bytes, so their starts are the offsets of an Arrow column; Arrow compares whole pieces.
-    bounds = np.append(start, len(data)).astype(np.int64)
-    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
-    coded = column.dictionary_encode()
-    return Pieces(coded.indices.to_numpy(), coded.dictionary, np.searchsorted(start, offsets))
+    return Pieces(data, np.append(start, len(data)).astype(np.int64), np.searchsorted(start, offsets))
+
+
+class Known:
+    """Numbers pieces in order of entry by their two names, in an open hash table of numpy arrays."""
+
+    def __init__(self, key: np.ndarray | None = None, check: np.ndarray | None = None):
+        self.key, self.check = np.zeros(0, U64), np.zeros(0, U64)
+        self.slots = np.full(1 << 10, -1, np.int32)
+        if key is not None:
+            self.add(key, check)
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    def __contains__(self, piece: bytes) -> bool:
+        one = Pieces(np.frombuffer(piece, np.uint8), np.array([0, len(piece)]), np.array([0, 1]))
+        return bool(self.find(*one.names())[0] >= 0)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key >> U64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The number of each piece, -1 of those that are not known."""
+        out, left, slot = np.full(len(key), -1, np.int64), np.arange(len(key)), self._slot(key)
+        while len(left) and len(self):
+            n = self.slots[slot]
+            used = n >= 0
+            same = used & (self.key[n] == key[left]) & (self.check[n] == check[left])
+            out[left[same]] = n[same]
+            on = used & ~same
+            left, slot = left[on], (slot[on] + 1) & (len(self.slots) - 1)
+        return out
+
+    def add(self, key: np.ndarray, check: np.ndarray) -> None:
+        """Enters distinct pieces that are not known; at least three slots of four stay free."""
+        new = np.arange(len(self.key), len(self.key) + len(key), dtype=np.int32)
+        self.key, self.check = np.concatenate([self.key, key]), np.concatenate([self.check, check])
+        if 4 * len(self.key) > len(self.slots):
+            self.slots = np.full(1 << (4 * len(self.key)).bit_length(), -1, np.int32)
+            new = np.arange(len(self.key), dtype=np.int32)
+        slot = self._slot(self.key[new])
+        while len(new):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = new[free]
+            on = self.slots[slot] != new
+            new, slot = new[on], (slot[on] + 1) & (len(self.slots) - 1)
 
 
 class Encoder:
@@ -78,7 +132,7 @@ class Encoder:
         self.n_bytes = np.zeros(tokenizer.get_vocab_size(), np.int64)
         self.n_bytes[list(tokens.values())] = list(map(len, tokens))
         self.limit, self.together = limit, together
-        self.known: dict[bytes, int] = {}
+        self.known = Known()
         self.ids = np.zeros(0, self.dtype)
         self.bounds = np.zeros(1, np.int64)
         self.calls = np.zeros(0, np.int32)
@@ -88,26 +142,28 @@ class Encoder:
         kept = np.flatnonzero(self.calls > 1)
         if len(kept) > self.limit // 2:
             kept = np.sort(kept[np.argsort(-self.calls[kept], kind="stable")[: self.limit // 2]])
-        keys = list(self.known)  # in order of their numbers
-        self.known = {keys[i]: n for n, i in enumerate(kept.tolist())}
+        self.known = Known(self.known.key[kept], self.known.check[kept])
         counts = np.diff(self.bounds)[kept]
-        ends = np.cumsum(counts)
-        self.ids = self.ids[np.repeat(self.bounds[kept] - ends + counts, counts) + np.arange(counts.sum())]
-        self.bounds = np.concatenate([[0], ends])
+        self.ids = of_runs(self.ids, self.bounds[kept], counts)
+        self.bounds = np.concatenate([[0], np.cumsum(counts)])
         self.calls = self.calls[kept] // 2
 
-    def learn(self, joint: list[bytes], alone: list[bytes]) -> None:
-        """Encodes further pieces; those that are cut from one another there, too, many in one text."""
-        texts = [b"".join(joint[i : i + self.together]) for i in range(0, len(joint), self.together)] + alone
-        found = np.concatenate([np.array(x, self.dtype) for x in self.encode([t.decode() for t in texts])])
-        keys = joint + alone
-        ends, wanted = np.cumsum(self.n_bytes[found]), np.cumsum(list(map(len, keys)))
+    def learn(self, pieces: Pieces, fresh: np.ndarray) -> np.ndarray:
+        """Encodes further pieces; those that are cut from one another there, too, many in one text. Returns them in the order in which they are kept."""
+        cut = pieces.cut_from_others(fresh)
+        n_joint = int(cut.sum())
+        fresh = np.concatenate([fresh[cut], fresh[~cut]])
+        sizes = np.diff(pieces.bounds)[fresh]
+        data, wanted = of_runs(pieces.data, pieces.bounds[fresh], sizes).tobytes(), np.cumsum(sizes)
+        ends = wanted[np.union1d(np.arange(self.together - 1, n_joint, self.together), np.arange(max(0, n_joint - 1), len(fresh)))].tolist()
+        found = np.concatenate([np.array(x, self.dtype) for x in self.encode([data[a:b].decode() for a, b in itertools.pairwise([0, *ends])])])
+        ends = np.cumsum(self.n_bytes[found])
         last = np.searchsorted(ends, wanted)
         if not np.array_equal(ends[np.minimum(last, len(ends) - 1)], wanted):
             raise ValueError("the tokenizer is not byte-level BPE that cuts texts at white space")
-        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + last + 1])
         self.ids = np.concatenate([self.ids, found])
+        return fresh
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Pieces]:
         """The ids of all texts, each text's bounds in them, and the pieces of those without added tokens."""
@@ -128,29 +184,29 @@ class Encoder:
     def by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Pieces]:
         """The same of texts without added tokens."""
         pieces = find_pieces(texts)
-        if not len(pieces.code):
+        if len(pieces.bounds) < 2:
             return np.zeros(0, self.dtype), np.zeros(len(pieces.first), np.int64), pieces
         if len(self.known) > self.limit:
             self.forget()
-        keys = pieces.distinct.to_pylist()
-        at = np.fromiter(map(self.known.get, keys, itertools.repeat(-1)), np.int64, len(keys))
-        fresh = np.flatnonzero(at < 0)
-        if len(fresh):
-            cut = pieces.cut_from_others()[fresh]
-            joint, alone = fresh[cut], fresh[~cut]
-            at[np.concatenate([joint, alone])] = np.arange(len(self.known), len(self.known) + len(fresh))
-            self.learn([keys[i] for i in joint.tolist()], [keys[i] for i in alone.tolist()])
-        self.calls = np.concatenate([self.calls, np.zeros(len(self.known) - len(self.calls), np.int32)])
-        self.calls[at] += 1  # at holds each piece once
-        piece = at[pieces.code]
-        counts = (self.bounds[1:] - self.bounds[:-1])[piece]
-        ends = np.cumsum(counts)
-        ids = self.ids[np.repeat(self.bounds[piece] - ends + counts, counts) + np.arange(ends[-1])]
-        return ids, np.concatenate([[0], ends])[pieces.first], pieces
+        key, check = pieces.names()
+        piece = self.known.find(key, check)
+        missed = np.flatnonzero(piece < 0)
+        if len(missed):
+            order = missed[np.lexsort((check[missed], key[missed]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (key[order[1:]] != key[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+            fresh = self.learn(pieces, order[new])
+            self.known.add(key[fresh], check[fresh])
+            piece[missed] = self.known.find(key[missed], check[missed])
+        called = np.zeros(len(self.known), bool)
+        called[piece] = True
+        self.calls = np.concatenate([self.calls, np.zeros(len(self.known) - len(self.calls), np.int32)]) + called
+        counts = np.diff(self.bounds)[piece]
+        return of_runs(self.ids, self.bounds[piece], counts), np.concatenate([[0], np.cumsum(counts)])[pieces.first], pieces
 
 
 def encoder(vocabulary: str) -> Encoder:
     cache = process_cache()
     if cache.get("vocabulary") != vocabulary:
-        cache["vocabulary"], cache["encoder"] = vocabulary, Encoder(vocabulary)
+        cache["vocabulary"], cache["encoder"] = vocabulary, Encoder(vocabulary, limit=1 << 19)  # some 50 bytes a piece
     return cache["encoder"]

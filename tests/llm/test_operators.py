@@ -699,3 +699,39 @@ def test_secrets_of_very_long_texts(spark):
     clean = secrets.redacted(long.filter("doc_id = 1"), table).first().text
     assert clean == "x [REDACTED] " * 20_000
     assert time.perf_counter() - began < 90
+
+
+def test_known_pieces_are_numbered_in_arrays():
+    """Numbers are those of a dictionary, through growth, clashes of slots and equal first names; a piece takes a few dozen bytes."""
+    from lathework.llm.tokens import Encoder, Known
+
+    rng = np.random.default_rng(1)
+    known, plain = Known(), {}
+    for _ in range(6):
+        key = rng.integers(0, 40, 3000).astype(np.uint64) << np.uint64(rng.integers(0, 59))
+        check = rng.integers(0, 60, 3000).astype(np.uint64)
+        pairs = list(zip(key.tolist(), check.tolist(), strict=True))
+        assert known.find(key, check).tolist() == [plain.get(x, -1) for x in pairs]
+        fresh = sorted(set(pairs) - plain.keys())
+        plain.update(zip(fresh, range(len(plain), len(plain) + len(fresh)), strict=True))
+        known.add(*np.array(fresh, np.uint64).reshape(-1, 2).T)
+        assert known.find(key, check).tolist() == [plain[x] for x in pairs] and len(known) == len(plain)
+    with open(VOCABULARY, encoding="utf-8") as file:
+        encode = Encoder(file.read())
+    encode(pa.array([" ".join(f"w{i}" for i in range(100_000))]))
+    arrays = [encode.known.key, encode.known.check, encode.known.slots, encode.ids, encode.bounds, encode.calls]
+    assert len(encode.known) == 100_000 and sum(x.nbytes for x in arrays) < 80 * 100_000
+
+
+def test_index_asks_the_rarest_shared_terms_first():
+    from lathework.llm.packing import Index
+
+    rng = np.random.default_rng(3)
+    bits, idf = 6, np.round(rng.random(1 << 6) * 4).astype(np.float32)
+    texts = [rng.permutation(1 << bits)[: rng.integers(0, 20)] for _ in range(50)]
+    index = Index([((t << (32 - bits)) | 1).astype(np.uint32) for t in texts], bits, idf, 9.5, 5)
+    among = np.bincount(np.concatenate(texts), minlength=1 << bits)
+    number = {t: i for i, t in enumerate(np.flatnonzero(among > 1).tolist())}
+    for doc, t in enumerate(texts):
+        want = [number[x] for x in sorted((x for x in t.tolist() if x in number), key=lambda x: (-idf[x], x))]
+        assert index.asked[index.first[doc] : index.first[doc + 1]].tolist() == want
