@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import remove, scratch, written
+from .storage import remove, scratch, small_batches, written
 from .words import STEP, U64, find_words, mix, room, slices, windows
 
 COORD, HEIGHT, BAND = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
@@ -208,7 +208,7 @@ def _classes(known: DataFrame, threshold: float, size: int, bands: int, rows: in
     # Members become centres in order of a random number, the same at all their places, so that pairs repeat and no place
     # needs sorting: upto is the share asked so far.
     open_ = open_.withColumn("u", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    asked, more = known.sparkSession.createDataFrame([], "place long, upto double"), 8
+    asked, more = known.sparkSession.range(0).select(F.col("id").alias("place"), F.lit(0.0).alias("upto")), 8
     while True:
         open_ = written(_meeting(_mixed(open_, classes), threshold), "open")
         waiting = open_.join(asked, "place", "left").withColumn("upto", F.coalesce("upto", F.lit(0.0)))
@@ -243,6 +243,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     known = docs.filter("doc_id is not null")
+    small_batches(docs.sparkSession)
     with scratch(docs.sparkSession) as keep:
         members, classes = _classes(known, threshold, size, bands, rows, weighted)
         keep(members, classes)

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import shuffle_partitions
-from .tokens import encoder
+from .storage import shuffle_partitions, small_batches
+from .tokens import drop_encoder, encoder
 from .words import BETWEEN, STEP, U64, bytes_of, find_words, mix, slices
 
 K1, B = 1.2, 0.75
@@ -191,6 +191,7 @@ def best_first(scores: np.ndarray, few: int = 16):
 
 
 def _pack(key: tuple, table: pa.Table, statistics, window: int, query_terms: int, bits: int, dtype: str) -> pa.Table:
+    drop_encoder()  # all is encoded, and the worker lives on for other steps
     table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
     ids = [np.frombuffer(x, dtype) for x in table.column("ids").to_pylist()]
     terms = [np.frombuffer(x, np.uint32) for x in table.column("terms").to_pylist()]
@@ -225,6 +226,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1,
     table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     counted = docs.select("text").mapInArrow(lambda batches: _frequencies(batches, bits), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     found = counted.toPandas()  # at most 2**bits + 3 rows

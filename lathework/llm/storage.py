@@ -83,3 +83,13 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """From now on Arrow batches that the session sends to Python have about `size` bytes, unless it has a bound of its own.
+
+    A batch is held by the executor and by its worker at once; without a bound it has 10,000 rows, however long.
+    """
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) is None:
+        spark.conf.set(bound, str(size))

@@ -210,3 +210,10 @@ def encoder(vocabulary: str) -> Encoder:
     if cache.get("vocabulary") != vocabulary:
         cache["vocabulary"], cache["encoder"] = vocabulary, Encoder(vocabulary, limit=1 << 19)  # some 50 bytes a piece
     return cache["encoder"]
+
+
+def drop_encoder() -> None:
+    """Frees what encoder() keeps in this process."""
+    cache = process_cache()
+    for name in ("vocabulary", "encoder"):
+        cache.pop(name, None)

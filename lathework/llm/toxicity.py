@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import scratch, written
+from .storage import scratch, small_batches, written
 from .words import BETWEEN, STEP, U64, find_words, mix, room, slices
 
 #: Distances between the two words of a feature: 1 is the bigram, the others are skip-grams; 0 is the word itself.
@@ -67,8 +67,10 @@ def ftrl(examples: list[tuple[int, np.ndarray]], size: int, epochs: int = 10, al
 
 
 def _learn(table: pa.Table, bits: int, settings: dict) -> pa.Table:
-    table = table.sort_by([("place", "ascending"), ("label", "ascending")])
-    examples = list(zip(table.column("label").to_pylist(), (x.values.to_numpy() for x in table.column("features")), strict=True))
+    # The features are read where they lie, not copied into order.
+    order = pc.sort_indices(table, [("place", "ascending"), ("label", "ascending")]).to_pylist()
+    labels, found = table.column("label").to_pylist(), [x.values.to_numpy() for x in table.column("features")]
+    examples = [(labels[i], found[i]) for i in order]
     weights, bias = ftrl(examples, 1 << bits, **settings)
     some = np.flatnonzero(weights)
     return pa.table({"feature": np.append(some, -1), "weight": np.append(weights[some], bias)})
@@ -156,6 +158,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4096, bits: in
 
 
 def _model(docs: DataFrame, labels: DataFrame, per_class: int, bits: int, id_col: str, label_col: str, settings: dict):
+    small_batches(docs.sparkSession)
     labelled = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(~held_out(F.col("doc_id")))
     return docs.sparkSession.sparkContext.broadcast(fit(docs, labelled, per_class, bits, **settings))
 

@@ -143,7 +143,7 @@ def windows(hashed: np.ndarray, size: int) -> np.ndarray:
         width *= 2
 
 
-def slices(batch: pa.RecordBatch, step: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, step: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in pieces of about `step` bytes, so that a task's memory does not follow its batch."""
     each = max(1, min(len(batch), int(step * len(batch) / max(1, batch.nbytes))))
     for at in range(0, len(batch), each):
