@@ -45,6 +45,33 @@ def test_similar_pairs_shuffle_no_candidates(spark, monkeypatch):
     assert sorted((r.a, r.b, r.shared, round(r.similarity, 9)) for r in found.collect()) == sorted(plain_pairs(sets[:90], 0.2) + star)
 
 
+@pytest.mark.parametrize("step, short, later, dense", [(1 << 22, 64, 0.4, 0.01), (512, 2, 0.9, 0.05), (64, 0, 0.0, 0.3), (4096, 0, 1.0, 2.0)])
+def test_similar_pairs_by_kind(spark, monkeypatch, step, short, later, dense):
+    """Two kinds that share few tokens, sets of unequal sizes, a kind that is null: whatever is counted by which means, all pairs come, also across kinds."""
+    for name, value in {"BLOCK": 40, "STEP": step, "SHORT": short, "LATER": later, "DENSE": dense}.items():
+        monkeypatch.setattr(similarity, name, value)
+    rng = random.Random(9)
+    draw = lambda letter: [f"{letter}{min(int(rng.paretovariate(0.5)), 90)}" for _ in range(rng.choice([2, 8, 30]))]
+    rows = [(i, "xyz"[i % 3], draw("x" if i % 3 else "y") + (["both"] if i % 5 else [])) for i in range(150)]
+    rows += [(200, None, rows[0][2] + rows[1][2]), (201, "x", rows[3][2])]
+    want = plain_pairs([(i, tokens) for i, _, tokens in rows], 0.2)
+    got = similarity.similar_pairs(spark.createDataFrame(rows, "id long, lang string, tokens array<string>"), "id", "tokens", 0.2, kind="lang").collect()
+    assert sorted((r.a, r.b, r.shared, round(r.similarity, 9)) for r in got) == want and len(want) > 300
+
+
+def test_similar_pairs_take_tokens_twice(spark):
+    """Tokens are made once for the digests and once for the blocks, not again to tell which are empty or where sets belong."""
+    made = spark.sparkContext.accumulator(0)
+
+    def tokens(n):
+        made.add(1)
+        return [f"t{n % 7}", f"u{n % 5}", f"v{n}"] if n else []
+
+    docs = spark.range(0, 400, 1, 4).select("id", F.udf(tokens, "array<string>")("id").alias("tokens"))
+    assert similarity.similar_pairs(docs, "id", "tokens", 0.4).count() > 0
+    assert made.value <= 2 * 400
+
+
 def test_similar_pairs_of_nothing(spark):
     assert similarity.similar_pairs(spark.createDataFrame([], "id long, tokens array<string>"), "id", "tokens", 0.5).count() == 0
     with pytest.raises(ValueError):
